@@ -111,7 +111,7 @@ def write_archives(
                     sink = None
                 if sink is None:
                     name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * compress
-                    sink, count, size = fs.open_output_stream(f"{root}/{name}"), 0, 0
+                    sink, count, size = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 data = payload.encode("utf-8", "surrogatepass")
                 again = len(data) >= least_bytes and key != top and top is not None
                 record = record_bytes(f"urn:page:{'none' if key is None else key}", url, data, f"urn:page:{top}" if again else None)
