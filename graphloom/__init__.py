@@ -1 +1 @@
-
+"""Code-graph analytics on PySpark."""

@@ -1,11 +1,448 @@
-"""Views that make the driver's star-schema tables look like a code graph, and the queries over them."""
+"""Views that make the driver's star-schema tables look like a code graph, and one query per operator over them.
+
+    symbols        part (symbol_id=p_partkey, name=p_name, kind=p_type, file=p_brand)
+    references     lineitem (source=l_suppkey, target=l_partkey)
+    files          documents (file_id=doc_id, path=source/doc_id, language=lang, content=text)
+    spans          conversations (start=turn)
+    containment    customer/supplier -> nation -> region
+    calls, changes events in the order of ts
+    markup         pages.html
+
+The SQL beside each query is the same result in ANSI SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import scalar as S
+from graphloom.operators import aggregates as A
+from graphloom.operators import joins as J
+from graphloom.operators import traversal as T
+
+_registry: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def wrap(f):
+        _registry[f.__name__] = (f, sql)
+        return f
+
+    return wrap
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _registry.items() if s}
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("source_symbol_id"), F.col("l_partkey").alias("target_symbol_id"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("ordinal"), "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate"
+    )
+
+
+def heavy_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A thinned bipartite graph; parts are numbered apart from suppliers."""
+    r = t(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'")
+    return r.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+
+
+def both_ways(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst").unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+HEAVY = "SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R'"
+
+
+@query("SELECT doc_id AS file_id, source || '/' || doc_id AS path, lang AS language, CAST(octet_length(encode(text)) AS BIGINT) AS byte_len FROM documents WHERE lang IN ('en','fr') AND source LIKE 'src1%'")
+def scan_filter_files(spark, d):
+    docs = t(spark, d, "documents").where(F.col("lang").isin("en", "fr") & F.col("source").startswith("src1"))
+    return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.col("lang").alias("language"), F.octet_length("text").cast("long").alias("byte_len"))
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM lineitem) AS refs,
+ (SELECT count(*) FROM orders) AS imports, (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM documents) AS bytes""")
+def summary_counts(spark, d):
+    one = lambda n, e, a: t(spark, d, n).agg(e.alias(a))
+    out = one("documents", F.count("*"), "files")
+    for n, e, a in (("part", F.count("*"), "symbols"), ("lineitem", F.count("*"), "refs"), ("orders", F.count("*"), "imports"), ("documents", F.sum(F.octet_length("text")).cast("long"), "bytes")):
+        out = out.join(F.broadcast(one(n, e, a)))  # one row each
+    return out
+
+
+@query("SELECT p_partkey AS symbol_id, p_name AS name, p_type AS kind FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'gear') ORDER BY p_name, p_partkey LIMIT 200")
+def symbols_search(spark, d):
+    p = t(spark, d, "part").where(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).contains("gear"))
+    return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind")).orderBy("name", "symbol_id").limit(200)
+
+
+@query("SELECT l_suppkey AS source_symbol_id, l_partkey AS target_symbol_id, array_to_string(list_sort(list(l_orderkey)), ',') AS reference_ids, count(*) AS reference_count FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1, 2")
+def dependencies_group(spark, d):
+    return A.dependencies(references(spark, d)).withColumn("reference_ids", F.array_join(F.col("reference_ids").cast("array<string>"), ","))
+
+
+@query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)")
+def external_anti(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"))
+    return J.unmatched(p, t(spark, d, "lineitem").where("l_quantity >= 49"), [("symbol_id", "l_partkey")])
+
+
+@query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)")
+def semi_used(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"))
+    return J.matched(p, t(spark, d, "lineitem").where("l_quantity >= 49"), [("symbol_id", "l_partkey")])
+
+
+@query("""SELECT o.o_orderkey AS import_id, coalesce(a.v, b.v, c.v) AS target, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS rung
+ FROM orders o
+ LEFT JOIN (SELECT l_orderkey AS k, max(l_partkey) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.k = o.o_orderkey
+ LEFT JOIN (SELECT l_orderkey AS k, max(l_partkey) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b ON b.k = o.o_orderkey
+ LEFT JOIN (SELECT c_custkey AS k, max(c_custkey) AS v FROM customer GROUP BY 1) c ON c.k = o.o_custkey""")
+def resolve_ladder(spark, d):
+    line = t(spark, d, "lineitem")
+    rungs = [
+        (line.where("l_returnflag = 'R'"), [("o_orderkey", "l_orderkey")], "l_partkey"),
+        (line.where("l_linestatus = 'O'"), [("o_orderkey", "l_orderkey")], "l_partkey"),
+        (t(spark, d, "customer"), [("o_custkey", "c_custkey")], "c_custkey"),
+    ]
+    out = J.ladder(t(spark, d, "orders").select("o_orderkey", "o_custkey"), rungs, "target", "rung")
+    return out.select(F.col("o_orderkey").alias("import_id"), "target", "rung")
+
+
+@query("SELECT user_id, event_type AS name, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def last_wins_dedupe(spark, d):
+    e = t(spark, d, "events").select("user_id", F.col("event_type").alias("name"), "value", "event_id", "ts")
+    return J.last_wins(e, ["user_id", "name"], ["ts", "event_id"]).select("user_id", "name", "value", "event_id")
+
+
+_spans = "SELECT conv_id, turn, turn AS s, turn + 1 + length(text) % 5 AS e, conv_id * 1000 + turn AS id FROM conversations"
+
+
+def spans(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("s"), (F.col("turn") + 1 + F.length("text") % 5).alias("e"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id")).distinct()
+
+
+@query(f"""WITH s AS (SELECT DISTINCT * FROM ({_spans})) SELECT p.id AS "row", arg_min(q.id, (q.e - q.s, q.id)) AS container
+ FROM s p LEFT JOIN s q ON p.conv_id = q.conv_id AND q.s <= p.s AND p.s + 1 <= q.e AND q.id <> p.id GROUP BY 1""")
+def innermost_span(spark, d):
+    s = spans(spark, d)
+    points = s.select(F.col("id").alias("row"), "conv_id", "s", (F.col("s") + 1).alias("e"))
+    hit = points.join(s.select(F.col("conv_id").alias("g"), F.col("s").alias("a"), F.col("e").alias("b"), "id"), (F.col("conv_id") == F.col("g")) & (F.col("a") <= F.col("s")) & (F.col("e") <= F.col("b")) & (F.col("id") != F.col("row")))
+    best = hit.groupBy("row").agg(F.min_by("id", F.struct(F.col("b") - F.col("a"), F.col("id"))).alias("container"))
+    return points.select("row").join(best, "row", "left")
+
+
+@query("""SELECT min_id AS "row", container FROM (SELECT conv_id * 1000 + turn AS min_id, (SELECT 1) AS one, arg_min(q.id, (q.e - q.s, q.id)) AS container FROM (SELECT DISTINCT conv_id, turn FROM conversations) c
+ JOIN (SELECT DISTINCT conv_id AS g, turn AS s, turn + 1 + length(text) % 5 AS e, conv_id * 1000 + turn AS id FROM conversations) q ON c.conv_id = q.g AND q.s <= c.turn AND c.turn + 1 <= q.e GROUP BY 1)""")
+def span_containers(spark, d):
+    s = spans(spark, d)
+    points = s.select("conv_id", "turn").distinct().select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "conv_id", F.col("turn").alias("s"), (F.col("turn") + 1).alias("e"))
+    return J.innermost(points, s, "conv_id", "s", "e", "id").select("row", "container")
+
+
+@query(f"WITH s AS (SELECT DISTINCT * FROM ({_spans})) SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.s < b.e AND b.s < a.e AND a.id < b.id")
+def overlap_join(spark, d):
+    s = spans(spark, d)
+    b = s.select("conv_id", F.col("s").alias("bs"), F.col("e").alias("be"), F.col("id").alias("b_id"))
+    return J.overlaps(s.withColumnRenamed("id", "a_id"), b, "conv_id", ("s", "e"), ("bs", "be")).where("a_id < b_id").select("a_id", "b_id")
+
+
+@query("""SELECT p.event_id, max(v.ts) AS prev_ts FROM events p LEFT JOIN events v ON v.user_id = p.user_id AND v.event_type = 'view' AND v.ts < p.ts
+ WHERE p.event_type = 'purchase' GROUP BY 1""")
+def asof_definition(spark, d):
+    e = t(spark, d, "events")
+    uses = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    defs = e.where("event_type = 'view'").select("user_id", "ts", F.col("ts").alias("def_ts"))
+    return J.as_of(uses, defs, ["user_id"], "ts", ["def_ts"]).select("event_id", F.col("prev_def_ts").alias("prev_ts"))
+
+
+@query("SELECT l_partkey AS symbol_id, l_orderkey AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS nth FROM lineitem WHERE l_returnflag = 'A'")
+def usages_desc(spark, d):
+    w = Window.partitionBy("target_symbol_id").orderBy(F.desc("l_shipdate"), F.desc("id"), F.desc("ordinal"))
+    r = references(spark, d).where("l_returnflag = 'A'")
+    return r.select(F.col("target_symbol_id").alias("symbol_id"), "id", F.row_number().over(w).cast("long").alias("nth"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS ordinal, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 2 ELSE 4 END + CASE WHEN l_linestatus = 'O' THEN 8 ELSE 0 END AS usage_type
+ FROM lineitem WHERE ((CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 2 ELSE 4 END + CASE WHEN l_linestatus = 'O' THEN 8 ELSE 0 END) & 9) <> 0""")
+def usage_type_filter(spark, d):
+    kind = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(4) + F.when(F.col("l_linestatus") == "O", 8).otherwise(0)
+    r = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ordinal"), kind.alias("usage_type"))
+    return r.where(F.col("usage_type").bitwiseAND(9) != 0)
+
+
+def _trace_sql(start: str, depth: int, e: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({e})), r AS (SELECT {start} AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < {depth - 1}),
+ f AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT e.src, e.dst, f.depth + 1 AS depth FROM f JOIN e ON e.src = f.node"""
+
+
+BOTH = f"SELECT src, dst FROM ({HEAVY}) UNION ALL SELECT dst, src FROM ({HEAVY})"
+
+
+@query(_trace_sql("(SELECT CAST(min(s_suppkey) AS BIGINT) FROM supplier)", 2, BOTH))
+def trace_out_depth2(spark, d):
+    start = t(spark, d, "supplier").agg(F.min("s_suppkey").alias("node"))
+    return T.trace(both_ways(heavy_edges(spark, d)), start, 2)
+
+
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({HEAVY})), s AS (SELECT min(dst) AS node FROM e) SELECT src, dst, 1 AS depth FROM e WHERE dst = (SELECT node FROM s)""")
+def trace_in_depth2(spark, d):
+    e = heavy_edges(spark, d)
+    return T.trace(e, e.agg(F.min("dst").alias("node")), 2, inbound=True)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({BOTH})), r AS (SELECT s_suppkey AS root, CAST(s_suppkey AS BIGINT) AS node, 0 AS level FROM supplier WHERE s_suppkey <= 5
+  UNION SELECT r.root, e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 3)
+ SELECT root, node, min(level) AS level FROM r GROUP BY 1, 2 HAVING min(level) > 0""")
+def deps_depth(spark, d):
+    start = t(spark, d, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"))
+    return T.reach(both_ways(heavy_edges(spark, d)), start, 3)
+
+
+_parents = """SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"""
+
+
+def parents(spark, d):
+    one = lambda n, a, x, b, y: t(spark, d, n).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    return one("customer", "c", "c_custkey", "n", "c_nationkey").unionAll(one("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionAll(one("nation", "n", "n_nationkey", "r", "n_regionkey"))
+
+
+@query(f"""WITH p AS ({_parents}) SELECT src AS root, dst AS node, 1 AS level FROM p UNION ALL SELECT a.src, b.dst, 2 FROM p a JOIN p b ON a.dst = b.src""")
+def superclass_levels(spark, d):
+    p = parents(spark, d)
+    return T.reach(p, p.select(F.col("src").alias("node")).distinct())
+
+
+@query("""WITH m AS (SELECT n_regionkey AS class_id, 0 AS level, n_nationkey AS pos, substr(n_name, 1, 1) AS name, n_name AS v FROM nation
+ UNION ALL SELECT r_regionkey, 1, r_regionkey, substr(r_name, 1, 1), r_name FROM region)
+ SELECT class_id, name, arg_min(v, (level, pos)) AS method FROM m GROUP BY 1, 2""")
+def mro_first_wins(spark, d):
+    own = t(spark, d, "nation").select(F.col("n_regionkey").alias("class_id"), F.lit(0).alias("level"), F.col("n_nationkey").alias("pos"), F.substring("n_name", 1, 1).alias("name"), F.col("n_name").alias("method"))
+    base = t(spark, d, "region").select(F.col("r_regionkey").alias("class_id"), F.lit(1).alias("level"), F.col("r_regionkey").alias("pos"), F.substring("r_name", 1, 1).alias("name"), F.col("r_name").alias("method"))
+    return J.last_wins(own.unionAll(base), ["class_id", "name"], ["level", "pos"], first=True).select("class_id", "name", "method")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({HEAVY})) SELECT p_partkey + 1000000 AS node, 1 AS round FROM part WHERE p_partkey + 1000000 NOT IN (SELECT dst FROM e)""")
+def dead_code(spark, d):
+    return T.dead(t(spark, d, "part").select((F.col("p_partkey") + 1_000_000).alias("node")), heavy_edges(spark, d))
+
+
+_chain = "SELECT o_orderkey AS src, o_custkey + 10000000 AS dst FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT c_custkey + 10000000, c_nationkey + 20000000 FROM customer WHERE c_acctbal > 0"
+
+
+@query(f"""WITH e AS ({_chain}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d1 AS (SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)),
+ d2 AS (SELECT node FROM n WHERE node NOT IN (SELECT node FROM d1) AND node NOT IN (SELECT dst FROM e WHERE src NOT IN (SELECT node FROM d1)))
+ SELECT node, 1 AS round FROM d1 UNION ALL SELECT node, 2 FROM d2""")
+def second_order_dead(spark, d):
+    o = t(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 10_000_000).alias("dst"))
+    c = t(spark, d, "customer").where("c_acctbal > 0").select((F.col("c_custkey") + 10_000_000).alias("src"), (F.col("c_nationkey") + 20_000_000).cast("long").alias("dst"))
+    e = o.unionAll(c)
+    return T.dead(e.select(F.col("src").alias("node")).unionAll(e.select("dst")), e, rounds=2)
+
+
+@query("""SELECT l_suppkey AS from_file, l_partkey AS to_file, count(*) FILTER (WHERE l_returnflag = 'R') AS dynamic_imports, count(*) FILTER (WHERE l_returnflag <> 'R') AS static_imports
+ FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0 AND count(*) FILTER (WHERE l_returnflag <> 'R') > 0""")
+def import_pair_counts(spark, d):
+    r = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("from_file"), F.col("l_partkey").alias("to_file"))
+    return r.agg(F.count_if(F.col("l_returnflag") == "R").alias("dynamic_imports"), F.count_if(F.col("l_returnflag") != "R").alias("static_imports")).where("dynamic_imports > 0 and static_imports > 0")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({HEAVY})), k AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 HAVING count(*) >= 2)
+ SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)""")
+def degree_prune(spark, d):
+    return T.prune_degree(heavy_edges(spark, d))
+
+
+@query("SELECT DISTINCT l_suppkey AS source, l_partkey AS target, l_returnflag AS call FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag NOT IN ('A') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def edge_filter_dedupe(spark, d):
+    e = t(spark, d, "lineitem").where("l_linestatus = 'O' and l_returnflag <> 'A'").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("call"))
+    return J.matched(e.distinct(), t(spark, d, "part").where("p_size > 10"), [("target", "p_partkey")])
+
+
+@query("SELECT CASE WHEN max(n) * 10 >= sum(n) THEN arg_max(lang, (n, lang)) ELSE 'OTHER' END AS language FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
+def top_language(spark, d):
+    n = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return n.agg(F.when(F.max("n") * 10 >= F.sum("n"), F.max_by("lang", F.struct("n", "lang"))).otherwise("OTHER").alias("language"))
+
+
+@query("SELECT source, lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source, lang)")
+def file_rollup(spark, d):
+    return t(spark, d, "documents").rollup("source", "lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+
+
+@query("""SELECT symbol_id, complexity, CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' WHEN complexity <= 30 THEN 'D' WHEN complexity <= 40 THEN 'E' ELSE 'F' END AS rank
+ FROM (SELECT l_suppkey AS symbol_id, CAST(1 + sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS complexity FROM lineitem WHERE l_quantity > 45 GROUP BY 1)""")
+def complexity_rank(spark, d):
+    s = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("symbol_id"), F.when(F.col("l_returnflag") == "R", "if").otherwise("return").alias("kind"))
+    return A.cyclomatic(s).withColumn("rank", A.cc_rank(F.col("complexity")))
+
+
+_words = r"regexp_extract_all(lower(text), '[a-z]+')"
+
+
+@query(f"""SELECT doc_id AS symbol_id, count(*) AS total, count(DISTINCT w) AS distinct_tokens, round(count(*) * log2(count(DISTINCT w)), 6) AS volume
+ FROM (SELECT doc_id, unnest({_words}) AS w FROM documents) GROUP BY 1""")
+def halstead(spark, d):
+    w = t(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    return A.halstead(w, "symbol_id", "w").withColumn("volume", F.round("volume", 6))
+
+
+@query(r"""SELECT doc_id AS file_id, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS loc,
+ CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS sloc FROM documents""")
+def line_metrics(spark, d):
+    lines = F.split("text", "\n", -1)
+    return t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), A.line_count(F.col("text")).alias("loc"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("sloc"))
+
+
+@query("""SELECT p_partkey AS symbol_id, CAST(greatest(0, least(100, floor((171 - 5.2 * ln(greatest(p_retailprice, 1.0)) - 0.23 * p_size - 16.2 * ln(greatest(p_size, 1))) * 100 / 171))) AS INTEGER) AS mi FROM part""")
+def maintainability(spark, d):
+    p = t(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("symbol_id"), A.maintainability(F.col("p_retailprice"), F.col("p_size"), F.col("p_size")).alias("mi"))
+
+
+@query(r"SELECT doc_id AS file_id, CAST(len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) AS BIGINT) AS hits FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')")
+def regex_search(spark, d):
+    p = r"[0-9]{3}-[0-9]{4}"
+    return t(spark, d, "documents").where(F.col("text").rlike(p)).select(F.col("doc_id").alias("file_id"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias("hits"))
+
+
+@query("""SELECT page_id, rtrim('site/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?]*)', 1), '/') AS path,
+ CASE WHEN page_id % 3 = 0 THEN NULL ELSE rtrim(regexp_extract(url, '^[a-z]+://[^/]+/([^?]*)', 1), '/') END AS up FROM pages""")
+def path_normalize(spark, d):
+    rest = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?]*)", 1)
+    up = F.when(F.col("page_id") % 3 == 0, F.lit("../../")).otherwise(F.lit("../"))
+    return t(spark, d, "pages").select("page_id", S.normal_path(F.lit("site"), F.concat(F.lit("./x/../"), rest)).alias("path"), S.normal_path(F.lit("site"), F.concat(up, rest)).alias("up"))
+
+
+@query("SELECT doc_id AS file_id, source || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '.m' || doc_id END AS module_name FROM documents")
+def module_name(spark, d):
+    path = F.concat("source", F.when(F.col("doc_id") % 5 == 0, "/__init__.py").otherwise(F.concat(F.lit("/m"), F.col("doc_id"), F.lit(".py"))))
+    return t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), S.python_module(path).alias("module_name"))
+
+
+@query("SELECT p_partkey AS import_id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS alias FROM part")
+def alias_split(spark, d):
+    text = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" as "), "p_brand")).otherwise(F.col("p_name"))
+    name, alias = S.split_alias(text)
+    return t(spark, d, "part").select(F.col("p_partkey").alias("import_id"), name.alias("name"), alias.alias("alias"))
+
+
+@query("SELECT p_partkey AS flag_id, p_brand AS owner, CAST(floor((row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1) / 10) AS BIGINT) AS chunk FROM part")
+def chunk_groups(spark, d):
+    f = t(spark, d, "part").select(F.col("p_partkey").alias("flag_id"), F.col("p_brand").alias("owner"), "p_name")
+    return A.flag_groups(f, "owner", 10, ["p_name", "flag_id"]).select("flag_id", "owner", "chunk")
+
+
+@query("""SELECT event_id, lag(event_type) OVER w AS predecessor, lead(event_type) OVER w AS successor FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def lead_lag_chain(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t(spark, d, "events").select("event_id", F.lag("event_type").over(w).alias("predecessor"), F.lead("event_type").over(w).alias("successor"))
+
+
+@query("SELECT l_orderkey AS parent, l_linenumber AS start_byte, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem")
+def sibling_index(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("start_byte"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
+
+
+@query("""SELECT 'missing' AS side, count(*) AS n FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F')
+ UNION ALL SELECT 'added', count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F' EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+def validation_except(spark, d):
+    line = t(spark, d, "lineitem")
+    a, b = (line.where(c).select("l_partkey", "l_suppkey") for c in ("l_returnflag = 'R'", "l_linestatus = 'F'"))
+    one = lambda x, y, n: x.exceptAll(y).agg(F.count("*").alias("n")).select(F.lit(n).alias("side"), "n")
+    return one(a, b, "missing").unionAll(one(b, a, "added"))
+
+
+@query("SELECT DISTINCT id, kind FROM (SELECT s_suppkey AS id, 'function' AS kind FROM supplier UNION ALL SELECT l_suppkey, 'function' FROM lineitem UNION ALL SELECT p_partkey, 'method' FROM part)")
+def union_dedupe(spark, d):
+    a = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("function").alias("kind"))
+    b = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.lit("function").alias("kind"))
+    c = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("method").alias("kind"))
+    return a.unionByName(b).unionByName(c).dropDuplicates(["id", "kind"])
+
+
+@query("SELECT o_custkey AS file FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
+def intersect_commit(spark, d):
+    return t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("file")).intersect(t(spark, d, "customer").where("c_acctbal > 5000").select("c_custkey"))
+
+
+@query("""SELECT user_id AS path, CASE arg_max(event_type, (ts, event_id)) WHEN 'view' THEN 'ADD' WHEN 'click' THEN 'REPARSE' WHEN 'purchase' THEN 'REPARSE' WHEN 'error' THEN 'DELETE' ELSE 'ADD' END AS action FROM events GROUP BY 1""")
+def change_last_wins(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").alias("path"), "event_type", "ts", "event_id")
+    k = F.col("event_type")
+    action = F.when(k.isin("click", "purchase"), "REPARSE").when(k == "error", "DELETE").otherwise("ADD")
+    return J.last_wins(e, ["path"], ["ts", "event_id"]).select("path", action.alias("action"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_events(spark, d):
+    w = t(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '2 hours' THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""")
+def session_events(spark, d):
+    s = t(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT l_partkey AS symbol_id, count(*) FILTER (WHERE l_returnflag = 'R') AS direct, count(*) FILTER (WHERE l_returnflag = 'A') AS aliased, count(*) FILTER (WHERE l_returnflag = 'N') AS chained FROM lineitem GROUP BY 1""")
+def pivot_usage_kinds(spark, d):
+    p = references(spark, d).groupBy(F.col("target_symbol_id").alias("symbol_id")).pivot("l_returnflag", ["R", "A", "N"]).count()
+    return p.select("symbol_id", *[F.coalesce(k, F.lit(0)).alias(n) for k, n in (("R", "direct"), ("A", "aliased"), ("N", "chained"))])
+
+
+@query()
+def scc_import_loops(spark, d):
+    e = t(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'").select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst"))
+    return T.strongly_connected(e)
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages")
+def markup_elements(spark, d):
+    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, ' (href|lang|class|charset)="[^"]*"', 1)) AS prop FROM pages""")
+def markup_props(spark, d):
+    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(' (href|lang|class|charset)="[^"]*"'), F.lit(1))).alias("prop"))
+
+
+@query("""SELECT DISTINCT unnest(['site', 'site/' || source]) AS directory FROM documents""")
+def directories(spark, d):
+    path = F.concat(F.lit("site/"), "source", F.lit("/"), "doc_id")
+    return t(spark, d, "documents").select(F.explode(S.directory_prefixes(path)).alias("directory")).distinct()
+
+
+@query("""SELECT p.p_partkey AS symbol_id, n.n FROM part p LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) n ON n.l_partkey = p.p_partkey WHERE coalesce(n.n, 0) >= 2""")
+def widely_used(spark, d):
+    n = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("symbol_id")).agg(F.countDistinct("l_suppkey").alias("n"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("symbol_id")).join(n.where("n >= 2"), "symbol_id")
+
+
+@query("""SELECT doc_id, regexp_replace(text, '!!|\\*\\*\\*|\\$\\$\\$|###|&&&|%%%', '', 'g') AS text FROM documents WHERE regexp_matches(text, '!!|\\*\\*\\*|\\$\\$\\$|###|&&&|%%%')""".replace("\\\\", "\\"))
+def regex_replace(spark, d):
+    p = r"!!|\*\*\*|\$\$\$|###|&&&|%%%"
+    return t(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_replace("text", p, "").alias("text"))
+
+
+@query("""SELECT node, level FROM (WITH p AS (SELECT DISTINCT src, dst FROM (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier))
+ SELECT src AS node, CASE WHEN src LIKE 's%' THEN 0 WHEN EXISTS (SELECT 1 FROM p q WHERE q.dst = p.src) THEN 1 ELSE 0 END AS level FROM p
+ UNION SELECT dst, max(CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.dst = p.src) THEN 2 ELSE 1 END) FROM p WHERE dst LIKE 'r%' GROUP BY 1)""")
+def topological_levels(spark, d):
+    one = lambda n, a, x, b, y: t(spark, d, n).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    e = one("nation", "n", "n_nationkey", "r", "n_regionkey").unionAll(one("supplier", "s", "s_suppkey", "n", "s_nationkey"))
+    return T.topological_levels(e, e.select(F.col("src").alias("node")).unionAll(e.select("dst")))
