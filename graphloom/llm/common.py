@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,38 +46,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, per_partition_mb: int = 0) -> DataFrame:
-    """Kept as a seam for inputs of few, large files; scans are split by Spark itself."""
-    return df
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """Connected components of an undirected graph as rows (node, root), root the least node reachable.
 
-    Alternating large-star and small-star steps. Each step replaces an edge by one to a smaller node, found as a
-    minimum that is combined before the shuffle, so no neighbour list is ever gathered into one task; the joins are
-    plain equi-joins, which adaptive execution splits where a node is hot. The number of edges never grows. Null
-    nodes and self loops are ignored, repeated edges are harmless; only nodes of some edge are returned.
+    Alternating large-star and small-star steps: the first hangs every node's greater neighbours, the second its
+    smaller ones, under its least neighbour. That neighbour is a minimum which is combined before the shuffle, so no
+    neighbour list is ever gathered into one task; the joins are plain equi-joins, which adaptive execution splits where
+    a node is hot. Null nodes and self loops are ignored, repeated edges are harmless; only nodes of some edge are
+    returned.
     """
     pairs = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     pairs = cut(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+
+    def hung(under: DataFrame, x: DataFrame) -> DataFrame:
+        both = under.unionAll(x).where("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
+        return cut(both.distinct())
+
     for _ in range(max_rounds):
-        # every node's least neighbour, itself included
         both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(pairs.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        least = cut(least)
-        # large star: hang every greater neighbour of u under m(u); small star: hang u itself there
-        large = pairs.join(least, pairs.lo == least.u).select("m", F.col("hi").alias("x"))
-        small = least.select("m", F.col("u").alias("x"))
-        nxt = large.unionAll(small).where("m <> x").select(F.col("m").alias("lo"), F.col("x").alias("hi")).distinct()
-        nxt = cut(nxt)
-        # done once every node hangs directly and only under a node that hangs nowhere
-        stat = nxt.groupBy("hi").agg(F.count("*").alias("n"))
-        many = stat.where("n > 1").limit(1).count()
-        chained = 0 if many else nxt.join(nxt.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count()
-        pairs = nxt
-        if not many and not chained:
-            break
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = pairs.join(least, pairs.lo == least.u).select(F.col("m").alias("lo"), "hi")
+        pairs = hung(least.select(F.col("m").alias("lo"), F.col("u").alias("hi")), large)
+        least = cut(pairs.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+        if not least.where("n > 1").limit(1).count() and not least.join(least.select(F.col("u").alias("m")), "m", "left_semi").limit(1).count():
+            break  # every node hangs under one node, which hangs under none
+        small = pairs.join(least, pairs.hi == least.u).select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        pairs = hung(least.select(F.col("m").alias("lo"), F.col("u").alias("hi")), small)
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.select("lo").distinct()
@@ -87,7 +80,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
-__all__ = ["BATCH_ROWS", "StorageLevel", "components", "cut", "fresh_path", "shared_dir", "spread", "tune"]
 
 
 def in_fold(column: str, modulus: int, *remainders: int):
