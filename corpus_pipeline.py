@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm import bpe, contamination, pii, quality, simhash
-from graphloom.llm.common import fresh_path
+from graphloom.llm.common import free_name, fresh_path
 from graphloom.llm.queries import PII_KEY, quality_network, table, tokenizer_path
 
 #: A document stays if its quality reaches this.
@@ -17,16 +17,18 @@ QUALITY = 0.7
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network doesn't reject; it learns from the labelled documents of its input."""
     net = quality_network(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net, keep=True).where(F.col("_score") >= QUALITY).select(*docs.columns)
+    score = free_name(docs, "_score")
+    return quality.score(docs, net, keep_as=score).where(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; documents without id stay."""
     found = simhash.near_duplicates(docs)
-    least = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(least, F.col("doc_id") == F.col("_keep"), "left_semi")
+    keep, nth = free_name(docs, "_keep"), free_name(docs, "_nth")
+    least = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(least, F.col("doc_id") == F.col(keep), "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")  # repeated rows: one stays
-    named = named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    named = named.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
     return named.unionAll(docs.where(F.col("doc_id").isNull()))
 
 

@@ -80,6 +80,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column (column names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def in_fold(column: str, modulus: int, *remainders: int):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import tune
+from graphloom.llm.common import free_name, tune
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -207,14 +207,15 @@ def without_items(
 ) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item in the sense of contaminated(). Null texts stay."""
     tune(docs.sparkSession)
-    out = docs.withColumn("_text", F.col(text_col).cast("string"))
+    text = free_name(docs, "_text")
+    out = docs.withColumn(text, F.col(text_col).cast("string"))
 
     def sift(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signatures = Signatures(block, width, threshold)
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for at, texts in _groups([t or "" for t in batch.column("_text").to_pylist()]):
+                for at, texts in _groups([t or "" for t in batch.column(text).to_pylist()]):
                     clean[[at + f[0] for f in _search(texts, signatures)]] = False
                 yield batch.filter(pa.array(clean))
 
@@ -222,7 +223,7 @@ def without_items(
 
     for block in _blocks(items, item_col, item_text_col):
         out = out.mapInArrow(sift(block), schema=out.schema)
-    return out.drop("_text")
+    return out.drop(text)
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import free_name
+
 ROUNDS = 8
 #: 400 Gregorian years have 146,097 = 189 * 773 days.
 FIRST_DAY, DAY_SIZES = "1800-01-01", (189, 773)
@@ -180,16 +182,15 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str
     and no Python: texts are cut at the candidates, and the pieces joined with the pseudonyms between them.
     """
     text = F.col(text_col).cast("string")
-    has = text.rlike(SCREEN)
+    hits, names = free_name(df, "_hits"), free_name(df, "_names")
     none = F.array().cast("array<string>")
-    m = F.when(has, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
-    found = df.withColumn("_m", m)
-    found = found.withColumn("_p", F.transform(F.col("_m"), lambda x: pseudonym(x, key)))
+    m = F.when(text.rlike(SCREEN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    found = df.withColumn(hits, m)
+    found = found.withColumn(names, F.transform(F.col(hits), lambda x: pseudonym(x, key)))
     gaps = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("_p"), lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
-    out = found.withColumn("_t", F.when(F.size("_m") > 0, whole).otherwise(text))
-    count = F.coalesce(F.size(F.filter(F.zip_with("_m", "_p", lambda a, b: a != b), lambda x: x)), F.lit(0))
-    columns = [F.col("_t").alias(c) if c == text_col else F.col(c) for c in df.columns]
+    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col(names), lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
+    count = F.coalesce(F.size(F.filter(F.zip_with(hits, names, lambda a, b: a != b), lambda x: x)), F.lit(0))
+    columns = [F.when(F.size(hits) > 0, whole).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns]
     if count_col:
         columns.append(count.alias(count_col))
-    return out.select(*columns)
+    return found.select(*columns)

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from graphloom.llm.common import sample_ids, tune
+from graphloom.llm.common import free_name, sample_ids, tune
 
 CHUNK, OVERLAP = 512, 64
 TAPS, FILTERS, HIDDEN = 6, 24, 12
@@ -172,23 +173,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(data, np.array(got.column("label").to_pylist(), dtype=np.float32))
 
 
-def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Rows (id_col, score), one per row of df; with keep, all columns of df and the score as _score.
+def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep_as: str | None = None) -> DataFrame:
+    """Rows (id_col, score), one per row of df; with keep_as, all columns of df and the score in one of that name.
 
     Whole texts, no shuffle. Null texts count as empty, whose score is that of a chunk of zeros. Ids are passed through.
     """
     tune(df.sparkSession)
+    text = free_name(df, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [net.probability(t or "") for t in batch.column("_text").to_pylist()]
-            rest = [n for n in batch.schema.names if n != "_text"] if not keep else batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(scores, pa.float64())], names=[*rest, "_score"])
-
-    if keep:
-        wide = df.withColumn("_text", F.col(text_col).cast("string"))
-        schema = df.schema.add("_score", "double")
-        return wide.mapInArrow(run, schema=schema)
-    named = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    key = df.schema[id_col].dataType.simpleString()
-    return named.mapInArrow(run, schema=f"_id {key}, _score double").select(F.col("_id").alias(id_col), F.col("_score").alias("score"))
+            scores = pa.array([net.probability(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
+            names = [*batch.schema.names[:-1], keep_as or "score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=names)
+
+    rest = df if keep_as else df.select(id_col)
+    named = df.select(*rest.columns, F.col(text_col).cast("string").alias(text))
+    return named.mapInArrow(run, schema=StructType([*rest.schema.fields, StructField(keep_as or "score", DoubleType())]))
