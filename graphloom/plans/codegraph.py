@@ -107,13 +107,14 @@ class CodeGraph:
     @cached_property
     def exports(self) -> DataFrame:
         return self._records("exports").select(
-            (F.col("first_exports") + F.col("r.id")).alias("id"), "file_id", F.col("r.kind").alias("kind"), F.col("r.name").alias("name"), F.col("r.local_name").alias("local_name"), F.col("r.source_module").alias("source_module"), F.col("r.range").alias("range")
+            (F.col("first_exports") + F.col("r.id")).alias("id"), "file_id", F.col("r.kind").alias("kind"), F.col("r.name").alias("name"), F.col("r.local_name").alias("local_name"), F.col("r.source_module").alias("source_module"),
+            self._symbol("r.symbol_id").alias("symbol_id"), (F.col("first_imports") + F.col("r.import_id")).alias("import_id"), F.col("r.range").alias("range"),
         )
 
     @cached_property
     def candidates(self) -> DataFrame:
         return self._records("candidates").select(
-            (F.col("first_candidates") + F.col("pos_in_file")).alias("row"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), F.col("r.name").alias("name"), F.col("r.qualifier").alias("qualifier"), F.col("r.range").alias("range"), F.col("r.is_subclass").alias("is_subclass")
+            (F.col("first_candidates") + F.col("pos_in_file")).alias("row"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), F.col("r.name").alias("name"), F.col("r.qualifier").alias("qualifier"), F.col("r.range").alias("range"), F.col("r.is_subclass").alias("is_subclass"), self._symbol("r.local").alias("local_symbol_id"),
         )
 
     @cached_property
@@ -184,6 +185,12 @@ class CodeGraph:
         first = F.col("first_statements")
         return self._records("statements").select((first + F.col("r.id")).alias("id"), (first + F.col("r.parent")).alias("parent_id"), "file_id", "r.pos", "r.level", "r.kind", self._symbol("r.symbol_id").alias("symbol_id"), F.col("r.range").alias("range"))
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """Attributes and methods that classes, interfaces, enums and object types list in their bodies."""
+        r = self._records("members")
+        return r.select("file_id", self._symbol("r.symbol_id").alias("symbol_id"), "r.pos", "r.name", "r.kind", "r.annotation", "r.value", "r.is_optional", "r.is_static", F.col("r.range").alias("range"), S.is_private(F.col("r.name")).alias("is_private"))
+
     @cached_property
     def tokens(self) -> DataFrame:
         return self._records("tokens").select("file_id", self._symbol("r.symbol_id").alias("symbol_id"), "r.group", "r.token")
@@ -195,15 +202,15 @@ class CodeGraph:
     @cached_property
     def jsx_elements(self) -> DataFrame:
         first = F.col("first_jsx_elements")
-        return self._records("jsx_elements").select((first + F.col("r.id")).alias("id"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), (first + F.col("r.parent")).alias("parent_jsx_element_id"), F.col("r.name").alias("name"), F.col("r.range").alias("range"))
+        return self._records("jsx_elements").select((first + F.col("r.id")).alias("id"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), (first + F.col("r.parent")).alias("parent_jsx_element_id"), F.col("r.name").alias("name"), F.col("r.range").alias("range"), F.col("r.name_start").alias("name_start"), F.col("r.name_end").alias("name_end"))
 
     @cached_property
     def jsx_props(self) -> DataFrame:
-        return self._records("jsx_props").select("file_id", (F.col("first_jsx_elements") + F.col("r.element")).alias("parent_jsx_element_id"), "r.pos", "r.name", "r.value", "r.value_is_expression")
+        return self._records("jsx_props").select("file_id", (F.col("first_jsx_elements") + F.col("r.element")).alias("parent_jsx_element_id"), "r.pos", "r.name", "r.value", "r.value_is_expression", F.col("r.range").alias("range"))
 
     @cached_property
     def promise_chains(self) -> DataFrame:
-        return self._records("promise_chains").select((F.col("first_promise_chains") + F.col("r.id")).alias("id"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), F.col("r.stage_names").alias("stage_names"), F.col("r.range").alias("range"))
+        return self._records("promise_chains").select((F.col("first_promise_chains") + F.col("r.id")).alias("id"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), F.col("r.stage_names").alias("stage_names"), F.col("r.range").alias("range"), F.col("r.base_start").alias("base_start"), F.col("r.base_end").alias("base_end"))
 
     # lookups -------------------------------------------------------------------------------------------------------
     def symbols_of(self, kind: str | None = None, top_level: bool = True) -> DataFrame:

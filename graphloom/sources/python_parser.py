@@ -10,6 +10,8 @@ import ast
 import re
 from dataclasses import dataclass, field
 
+from graphloom.sources.spans import Nest
+
 FUNCTION, CLASS, VARIABLE = "function", "class", "global_variable"
 
 
@@ -23,6 +25,7 @@ class Extracted:
     statements: list[dict] = field(default_factory=list)
     bases: list[dict] = field(default_factory=list)
     tokens: list[dict] = field(default_factory=list)
+    members: list[dict] = field(default_factory=list)
     all_names: list[str] | None = None
     has_error: bool = False
 
@@ -100,7 +103,9 @@ class Extractor:
         self.bindings: dict[int, set[str]] = {}
         self.globals: dict[int, set[str]] = {}
         self.scopes: list[tuple[int, int, int, set[str]]] = []  # symbol, start, end, names
-        self.statement_of: dict[int, int] = {}
+        self.nest: tuple[int, Nest] | None = None
+        self.named_at: set[int] = set()
+        self.of_node: dict[int, int] = {}
 
     def run(self) -> Extracted:
         try:
@@ -126,6 +131,7 @@ class Extractor:
     def add_symbol(self, name: str, kind: str, span: dict, name_at: int, parent: int | None, **more) -> int:
         sid = len(self.out.symbols)
         end = name_at + len(name.encode())
+        self.named_at.add(name_at)
         self.out.symbols.append(
             {"id": sid, "parent": parent, "is_top_level": parent is None, "name": name, "kind": kind, "range": span, "name_start": name_at, "name_end": end, "is_async": False, "decorators": [], "docstring": None, "returns": None} | more
         )
@@ -146,7 +152,9 @@ class Extractor:
             is_async=isinstance(node, ast.AsyncFunctionDef), decorators=[ast.unparse(d) for d in node.decorator_list], docstring=ast.get_docstring(node),
             returns=None if is_class or node.returns is None else ast.unparse(node.returns),
         )
+        self.of_node[id(node)] = sid
         if is_class:
+            self.attributes(node, sid)
             for pos, b in enumerate(node.bases):
                 self.out.bases.append({"symbol_id": sid, "pos": pos, "name": dotted(b) or ast.unparse(b), **{f"r_{k}": v for k, v in self.at.span(b).items() if k.endswith("byte")}})
         else:
@@ -158,6 +166,17 @@ class Extractor:
         for child in node.body:
             self.nested(child, sid)
 
+    def attributes(self, node: ast.ClassDef, sid: int) -> None:
+        """Names assigned in a class body, with annotation and value."""
+        for child in node.body:
+            if not isinstance(child, (ast.Assign, ast.AnnAssign)):
+                continue
+            annotation = ast.unparse(child.annotation) if isinstance(child, ast.AnnAssign) else None
+            value = None if child.value is None else ast.unparse(child.value)
+            for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
+                for n in targets(t):
+                    self.out.members.append({"symbol_id": sid, "pos": len(self.out.members), "name": n.id, "kind": "attribute", "annotation": annotation, "value": value, "is_optional": annotation is not None and annotation.startswith("Optional["), "is_static": True, "range": self.at.span(child)})
+
     def nested(self, node: ast.AST, parent: int) -> None:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             self.definition(node, parent)
@@ -203,12 +222,9 @@ class Extractor:
 
     # bindings ----------------------------------------------------------------------------------------------------
     def owner(self, start: int, end: int) -> int | None:
-        best, size = None, None
-        for s in self.out.symbols:
-            r = s["range"]
-            if r["start_byte"] <= start and end <= r["end_byte"] and (size is None or r["end_byte"] - r["start_byte"] < size):
-                best, size = s["id"], r["end_byte"] - r["start_byte"]
-        return best
+        if self.nest is None or self.nest[0] != len(self.out.symbols):
+            self.nest = (len(self.out.symbols), Nest([(s["range"]["start_byte"], s["range"]["end_byte"], s["id"]) for s in self.out.symbols]))
+        return self.nest[1].innermost(start, end)
 
     def owner_of(self, node: ast.AST) -> int | None:
         r = self.at.span(node)
@@ -223,7 +239,7 @@ class Extractor:
             here = owner
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 self.bind_names(owner, [child.name])
-                here = next((s["id"] for s in self.out.symbols if s["name"] == child.name and s["kind"] != VARIABLE and s["range"]["end_byte"] == self.at.span(child)["end_byte"] and s["range"]["end_row"] == child.end_lineno - 1), owner)
+                here = self.of_node.get(id(child), owner)
                 if not isinstance(child, ast.ClassDef):
                     self.bind_names(here, [p.arg for p, _ in all_parameters(child.args)])
             elif isinstance(child, ast.Assign):
@@ -248,7 +264,6 @@ class Extractor:
                 self.scope(child, [p.arg for p, _ in all_parameters(child.args)])
             self.bind(child, here)
 
-
     def scope(self, node: ast.AST, names: list[str]) -> None:
         r = self.at.span(node)
         owner = self.owner(r["start_byte"], r["end_byte"])
@@ -303,8 +318,7 @@ class Extractor:
             self.visit(child)
 
     def is_definition(self, node: ast.Name) -> bool:
-        at = self.at.of(node.lineno, node.col_offset)
-        return any(s["name_start"] == at for s in self.out.symbols)
+        return self.at.of(node.lineno, node.col_offset) in self.named_at
 
     def call(self, node: ast.Call) -> None:
         r = self.at.span(node)
