@@ -52,17 +52,29 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def heavy_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A thinned bipartite graph; parts are numbered apart from suppliers."""
-    r = t(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'")
-    return r.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+def supply_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The bipartite graph of all line items; parts are numbered apart from suppliers."""
+    return t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PARTS).alias("dst"))
+
+
+def order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders to customers to nations to regions, each numbered apart."""
+    one = lambda n, a, k, b, j: t(spark, d, n).select((F.col(a) + k).alias("src"), (F.col(b) + j).cast("long").alias("dst"))
+    o, c, n = one("orders", "o_orderkey", 0, "o_custkey", CUSTOMERS), one("customer", "c_custkey", CUSTOMERS, "c_nationkey", NATIONS), one("nation", "n_nationkey", NATIONS, "n_regionkey", REGIONS)
+    return o.unionAll(c).unionAll(n)
+
+
+#: What keeps the ids of the tables apart.
+PARTS, CUSTOMERS, NATIONS, REGIONS = 10**12, 2 * 10**12, 3 * 10**12, 4 * 10**12
+ORDER_EDGES = f"""SELECT o_orderkey AS src, o_custkey + {CUSTOMERS} AS dst FROM orders UNION ALL SELECT c_custkey + {CUSTOMERS}, CAST(c_nationkey AS BIGINT) + {NATIONS} FROM customer
+ UNION ALL SELECT CAST(n_nationkey AS BIGINT) + {NATIONS}, CAST(n_regionkey AS BIGINT) + {REGIONS} FROM nation"""
 
 
 def both_ways(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-HEAVY = "SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R'"
+SUPPLY = f"SELECT l_suppkey AS src, l_partkey + {PARTS} AS dst FROM lineitem"
 
 
 @query("SELECT doc_id AS file_id, source || '/' || doc_id AS path, lang AS language, CAST(octet_length(encode(text)) AS BIGINT) AS byte_len FROM documents WHERE lang IN ('en','fr') AND source LIKE 'src1%'")
@@ -187,27 +199,28 @@ def _trace_sql(start: str, depth: int, e: str) -> str:
  f AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT e.src, e.dst, f.depth + 1 AS depth FROM f JOIN e ON e.src = f.node"""
 
 
-BOTH = f"SELECT src, dst FROM ({HEAVY}) UNION ALL SELECT dst, src FROM ({HEAVY})"
+BOTH = f"SELECT src, dst FROM ({SUPPLY}) UNION ALL SELECT dst, src FROM ({SUPPLY})"
 
 
 @query(_trace_sql("(SELECT CAST(min(s_suppkey) AS BIGINT) FROM supplier)", 2, BOTH))
 def trace_out_depth2(spark, d):
     start = t(spark, d, "supplier").agg(F.min("s_suppkey").alias("node"))
-    return T.trace(both_ways(heavy_edges(spark, d)), start, 2)
+    return T.trace(both_ways(supply_edges(spark, d)), start, 2)
 
 
-@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({HEAVY})), s AS (SELECT min(dst) AS node FROM e) SELECT src, dst, 1 AS depth FROM e WHERE dst = (SELECT node FROM s)""")
+@query(f"""WITH e AS ({ORDER_EDGES}), s AS (SELECT min(n_nationkey) + {NATIONS} AS node FROM nation), one AS (SELECT src, dst FROM e WHERE dst = (SELECT node FROM s))
+ SELECT src, dst, 1 AS depth FROM one UNION ALL SELECT e.src, e.dst, 2 FROM e WHERE e.dst IN (SELECT src FROM one)""")
 def trace_in_depth2(spark, d):
-    e = heavy_edges(spark, d)
-    return T.trace(e, e.agg(F.min("dst").alias("node")), 2, inbound=True)
+    start = t(spark, d, "nation").agg((F.min("n_nationkey") + NATIONS).alias("node"))
+    return T.trace(order_edges(spark, d), start, 2, inbound=True)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({BOTH})), r AS (SELECT s_suppkey AS root, CAST(s_suppkey AS BIGINT) AS node, 0 AS level FROM supplier WHERE s_suppkey <= 5
+@query(f"""WITH RECURSIVE e AS ({ORDER_EDGES}), r AS (SELECT DISTINCT src AS root, src AS node, 0 AS level FROM e
   UNION SELECT r.root, e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 3)
  SELECT root, node, min(level) AS level FROM r GROUP BY 1, 2 HAVING min(level) > 0""")
 def deps_depth(spark, d):
-    start = t(spark, d, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"))
-    return T.reach(both_ways(heavy_edges(spark, d)), start, 3)
+    e = order_edges(spark, d)
+    return T.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
 
 
 _parents = """SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"""
@@ -233,21 +246,17 @@ def mro_first_wins(spark, d):
     return J.last_wins(own.unionAll(base), ["class_id", "name"], ["level", "pos"], first=True).select("class_id", "name", "method")
 
 
-@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({HEAVY})) SELECT p_partkey + 1000000 AS node, 1 AS round FROM part WHERE p_partkey + 1000000 NOT IN (SELECT dst FROM e)""")
+@query("SELECT doc_id AS node, 1 AS round FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def dead_code(spark, d):
-    return T.dead(t(spark, d, "part").select((F.col("p_partkey") + 1_000_000).alias("node")), heavy_edges(spark, d))
+    uses = t(spark, d, "labels").select((F.col("doc_id") + PARTS).alias("src"), F.col("doc_id").alias("dst"))
+    return T.dead(t(spark, d, "documents").select(F.col("doc_id").alias("node")), uses)
 
 
-_chain = "SELECT o_orderkey AS src, o_custkey + 10000000 AS dst FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT c_custkey + 10000000, c_nationkey + 20000000 FROM customer WHERE c_acctbal > 0"
-
-
-@query(f"""WITH e AS ({_chain}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d1 AS (SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)),
+@query(f"""WITH e AS ({ORDER_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d1 AS (SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)),
  d2 AS (SELECT node FROM n WHERE node NOT IN (SELECT node FROM d1) AND node NOT IN (SELECT dst FROM e WHERE src NOT IN (SELECT node FROM d1)))
  SELECT node, 1 AS round FROM d1 UNION ALL SELECT node, 2 FROM d2""")
 def second_order_dead(spark, d):
-    o = t(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 10_000_000).alias("dst"))
-    c = t(spark, d, "customer").where("c_acctbal > 0").select((F.col("c_custkey") + 10_000_000).alias("src"), (F.col("c_nationkey") + 20_000_000).cast("long").alias("dst"))
-    e = o.unionAll(c)
+    e = order_edges(spark, d)
     return T.dead(e.select(F.col("src").alias("node")).unionAll(e.select("dst")), e, rounds=2)
 
 
@@ -258,10 +267,10 @@ def import_pair_counts(spark, d):
     return r.agg(F.count_if(F.col("l_returnflag") == "R").alias("dynamic_imports"), F.count_if(F.col("l_returnflag") != "R").alias("static_imports")).where("dynamic_imports > 0 and static_imports > 0")
 
 
-@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({HEAVY})), k AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 HAVING count(*) >= 2)
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({SUPPLY})), k AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 HAVING count(*) >= 30)
  SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)""")
 def degree_prune(spark, d):
-    return T.prune_degree(heavy_edges(spark, d))
+    return T.prune_degree(supply_edges(spark, d), 30)
 
 
 @query("SELECT DISTINCT l_suppkey AS source, l_partkey AS target, l_returnflag AS call FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag NOT IN ('A') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
@@ -405,10 +414,20 @@ def pivot_usage_kinds(spark, d):
     return p.select("symbol_id", *[F.coalesce(k, F.lit(0)).alias(n) for k, n in (("R", "direct"), ("A", "aliased"), ("N", "chained"))])
 
 
-@query()
+_trade = """SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) + CASE WHEN c_nationkey < s_nationkey THEN 0 ELSE 1000 END AS dst
+ FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+ UNION SELECT CAST(n_nationkey AS BIGINT) + 1000, CAST(n_regionkey AS BIGINT) FROM nation"""
+
+
+@query(f"""WITH RECURSIVE e AS ({_trade}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+ SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
 def scc_import_loops(spark, d):
-    e = t(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'").select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst"))
-    return T.strongly_connected(e)
+    bought = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    sold = t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
+    side = F.when(F.col("c_nationkey") < F.col("s_nationkey"), 0).otherwise(1000)
+    trade = bought.join(sold, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("c_nationkey").cast("long").alias("src"), (F.col("s_nationkey") + side).cast("long").alias("dst")).distinct()
+    back = t(spark, d, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
+    return T.strongly_connected(trade.unionAll(back))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages")
