@@ -93,12 +93,13 @@ class CodeGraph:
             self._symbol("r.id").alias("id"), "file_id", self._symbol("r.parent").alias("parent_symbol_id"), F.col("r.is_top_level").alias("is_top_level"), F.col("r.name").alias("name"),
             F.col("r.kind").alias("kind"), F.col("r.range").alias("range"), F.col("r.name_start").alias("name_start"), F.col("r.name_end").alias("name_end"), F.col("r.is_async").alias("is_async"),
             F.col("r.decorators").alias("decorators"), F.col("r.docstring").alias("docstring"), F.col("r.returns").alias("returns"),
+            "r.returns_start", "r.returns_end", "r.body_start", "r.doc_start", "r.doc_end",
             S.is_private(F.col("r.name")).alias("is_private"), S.is_magic(F.col("r.name")).alias("is_magic"),
         )
 
     @cached_property
     def imports(self) -> DataFrame:
-        r = self._records("imports").select((F.col("first_imports") + F.col("r.id")).alias("id"), "file_id", F.col("r.kind").alias("kind"), F.col("r.module").alias("module"), F.col("r.name").alias("name"), F.col("r.alias").alias("alias"), F.col("r.range").alias("range"))
+        r = self._records("imports").select((F.col("first_imports") + F.col("r.id")).alias("id"), "file_id", F.col("r.kind").alias("kind"), F.col("r.module").alias("module"), F.col("r.name").alias("name"), F.col("r.alias").alias("alias"), F.col("r.range").alias("range"), F.col("r.name_start").alias("name_start"), F.col("r.name_end").alias("name_end"))
         s = self.symbols.select(F.col("file_id").alias("_f"), F.col("id").alias("_s"), F.col("range.start_byte").alias("_a"), F.col("range.end_byte").alias("_b"))
         inside = r.join(s, (F.col("file_id") == F.col("_f")) & (F.col("_a") <= F.col("range.start_byte")) & (F.col("range.end_byte") <= F.col("_b")))
         owner = inside.groupBy("id").agg(F.min_by("_s", F.struct(F.col("_b") - F.col("_a"), F.col("_s"))).alias("owner"))
@@ -191,6 +192,15 @@ class CodeGraph:
         r = self._records("members")
         return r.select("file_id", self._symbol("r.symbol_id").alias("symbol_id"), "r.pos", "r.name", "r.kind", "r.annotation", "r.value", "r.is_optional", "r.is_static", F.col("r.range").alias("range"), S.is_private(F.col("r.name")).alias("is_private"))
 
+    @cached_property
+    def identifiers(self) -> DataFrame:
+        """Every name in an expression, parameter list or binding, shadowed or not, with its role."""
+        return self._records("identifiers").select("file_id", self._symbol("r.symbol_id").alias("symbol_id"), "r.name", "r.role", "r.start_byte", "r.end_byte")
+
+    @cached_property
+    def string_literals(self) -> DataFrame:
+        return self._records("strings").select("file_id", self._symbol("r.symbol_id").alias("symbol_id"), "r.value", "r.start_byte", "r.end_byte")
+
     @cached_property
     def tokens(self) -> DataFrame:
         return self._records("tokens").select("file_id", self._symbol("r.symbol_id").alias("symbol_id"), "r.group", "r.token")
@@ -202,7 +212,7 @@ class CodeGraph:
     @cached_property
     def jsx_elements(self) -> DataFrame:
         first = F.col("first_jsx_elements")
-        return self._records("jsx_elements").select((first + F.col("r.id")).alias("id"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), (first + F.col("r.parent")).alias("parent_jsx_element_id"), F.col("r.name").alias("name"), F.col("r.range").alias("range"), F.col("r.name_start").alias("name_start"), F.col("r.name_end").alias("name_end"))
+        return self._records("jsx_elements").select((first + F.col("r.id")).alias("id"), F.col("file_id").alias("source_file_id"), self._symbol("r.source").alias("source_symbol_id"), (first + F.col("r.parent")).alias("parent_jsx_element_id"), F.col("r.name").alias("name"), F.col("r.range").alias("range"), F.col("r.name_start").alias("name_start"), F.col("r.name_end").alias("name_end"), F.col("r.close_start").alias("close_start"), F.col("r.close_end").alias("close_end"))
 
     @cached_property
     def jsx_props(self) -> DataFrame:

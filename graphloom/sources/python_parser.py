@@ -26,6 +26,8 @@ class Extracted:
     bases: list[dict] = field(default_factory=list)
     tokens: list[dict] = field(default_factory=list)
     members: list[dict] = field(default_factory=list)
+    identifiers: list[dict] = field(default_factory=list)
+    strings: list[dict] = field(default_factory=list)
     all_names: list[str] | None = None
     has_error: bool = False
 
@@ -150,7 +152,7 @@ class Extractor:
         sid = self.add_symbol(
             node.name, CLASS if is_class else FUNCTION, span, m.end() if m else begin, parent,
             is_async=isinstance(node, ast.AsyncFunctionDef), decorators=[ast.unparse(d) for d in node.decorator_list], docstring=ast.get_docstring(node),
-            returns=None if is_class or node.returns is None else ast.unparse(node.returns),
+            returns=None if is_class or node.returns is None else ast.unparse(node.returns), **self.parts(node, m.end() if m else begin),
         )
         self.of_node[id(node)] = sid
         if is_class:
@@ -166,6 +168,26 @@ class Extractor:
         for child in node.body:
             self.nested(child, sid)
 
+    def parts(self, node, name_at: int) -> dict:
+        """Where the return annotation is or would go, where the body begins, and the docstring's span."""
+        first = node.body[0]
+        out = {"body_start": self.at.of(first.lineno, first.col_offset)}
+        if getattr(first, "decorator_list", None):
+            out["body_start"] = self.data.rfind(b"@", 0, self.at.span(first.decorator_list[0])["start_byte"])
+        if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+            r = self.at.span(first)
+            out |= {"doc_start": r["start_byte"], "doc_end": r["end_byte"]}
+        if isinstance(node, ast.ClassDef):
+            return out
+        if node.returns is not None:
+            r = self.at.span(node.returns)
+            return out | {"returns_start": r["start_byte"], "returns_end": r["end_byte"]}
+        # without an annotation: after the parenthesis that closes the parameters
+        known = [self.at.span(p)["end_byte"] for p, _ in all_parameters(node.args)] + [self.at.span(d)["end_byte"] for d in [*node.args.defaults, *node.args.kw_defaults] if d is not None]
+        at = max(known, default=name_at)
+        m = re.compile(rb"(?:[^)#]|#[^\n]*)*\)").match(self.data, at)
+        return out | ({"returns_start": m.end(), "returns_end": m.end()} if m else {})
+
     def attributes(self, node: ast.ClassDef, sid: int) -> None:
         """Names assigned in a class body, with annotation and value."""
         for child in node.body:
@@ -205,13 +227,14 @@ class Extractor:
     def imports(self, node) -> None:
         span = self.at.span(node)
         if isinstance(node, ast.Import):
-            rows = [("import", None, a.name, a.asname) for a in node.names]
+            rows = [("import", None, a) for a in node.names]
         else:
             module = "." * node.level + (node.module or "")
             kind = "future_import" if module == "__future__" else "from_import"
-            rows = [(kind, module, a.name, a.asname) for a in node.names]
-        for kind, module, name, alias in rows:
-            self.out.imports.append({"id": len(self.out.imports), "kind": kind, "module": module, "name": name, "alias": alias, "range": span})
+            rows = [(kind, module, a) for a in node.names]
+        for kind, module, a in rows:
+            at = self.at.of(a.lineno, a.col_offset)
+            self.out.imports.append({"id": len(self.out.imports), "kind": kind, "module": module, "name": a.name, "alias": a.asname, "range": span, "name_start": at, "name_end": at + len(a.name.encode())})
 
     def nested_imports(self, node: ast.AST) -> None:
         for child in ast.iter_child_nodes(node):
@@ -300,6 +323,11 @@ class Extractor:
                 self.candidate(node.attr, base, span, None, subclass)
             self.visit(node.value)
             return
+        if isinstance(node, (ast.Name, ast.arg, ast.keyword)):
+            self.identifier(node)
+        if isinstance(node, ast.Constant) and isinstance(node.value, str) and hasattr(node, "lineno"):
+            r = self.at.span(node)
+            self.out.strings.append({"symbol_id": self.owner(r["start_byte"], r["end_byte"]), "value": node.value, "start_byte": r["start_byte"], "end_byte": r["end_byte"]})
         if isinstance(node, ast.Name):
             if not (isinstance(node.ctx, ast.Store) and self.is_definition(node)):
                 self.candidate(node.id, None, self.at.span(node), None, subclass)
@@ -317,6 +345,15 @@ class Extractor:
         for child in ast.iter_child_nodes(node):
             self.visit(child)
 
+    def identifier(self, node) -> None:
+        if isinstance(node, ast.keyword) and node.arg is None:
+            return
+        name = node.id if isinstance(node, ast.Name) else node.arg
+        role = "parameter" if isinstance(node, ast.arg) else "keyword" if isinstance(node, ast.keyword) else {ast.Store: "store", ast.Del: "delete"}.get(type(node.ctx), "load")
+        at = self.at.of(node.lineno, node.col_offset)
+        end = at + len(name.encode())
+        self.out.identifiers.append({"symbol_id": self.owner(at, end), "name": name, "role": role, "start_byte": at, "end_byte": end})
+
     def is_definition(self, node: ast.Name) -> bool:
         return self.at.of(node.lineno, node.col_offset) in self.named_at
 

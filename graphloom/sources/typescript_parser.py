@@ -38,6 +38,8 @@ class Extracted:
     statements: list[dict] = field(default_factory=list)
     bases: list[dict] = field(default_factory=list)
     members: list[dict] = field(default_factory=list)
+    identifiers: list[dict] = field(default_factory=list)
+    strings: list[dict] = field(default_factory=list)
     tokens: list[dict] = field(default_factory=list)
     jsx_elements: list[dict] = field(default_factory=list)
     jsx_props: list[dict] = field(default_factory=list)
@@ -132,7 +134,7 @@ class Extractor:
         self.out.symbols.append(
             {
                 "id": sid, "parent": parent, "is_top_level": parent is None, "name": name.text, "kind": kind, "range": self.range(node), "name_start": self.byte(name.start), "name_end": self.byte(name.end),
-                "is_async": bool(f.info.get("async")), "decorators": [self.text[d.start + 1 : d.end] for d in node.info.get("decorators", [])], "docstring": self.doc(node), "returns": self.source(f.info.get("returns")),
+                "is_async": bool(f.info.get("async")), "decorators": [self.text[d.start + 1 : d.end] for d in node.info.get("decorators", [])], "docstring": self.doc(node), "returns": self.source(f.info.get("returns")), **self.parts(f),
             }
         )
         self.nodes[sid] = node
@@ -148,6 +150,15 @@ class Extractor:
             self.out.members.append({"symbol_id": sid, "pos": pos, "name": m.name.text, "kind": "method" if m.kind == "method" else "attribute", "annotation": self.source(m.info.get("type") or m.info.get("returns")), "value": self.source(m.info.get("value")), "is_optional": bool(m.info.get("optional")), "is_static": "static" in m.info.get("modifiers", ()), "range": self.range(m)})
         return sid
 
+    def parts(self, node: Node) -> dict:
+        """Where the return type is or would go, and where the body's first character is."""
+        body = next((k for k in node.kids if k.kind == "block"), None)
+        out = {"body_start": self.byte(body.start + 1)} if body is not None else {}
+        if node.info.get("returns") is not None:
+            return out | {"returns_start": self.byte(node.info["returns"].start), "returns_end": self.byte(node.info["returns"].end)}
+        at = node.info.get("signature_end")
+        return out | ({"returns_start": self.byte(at), "returns_end": self.byte(at)} if at is not None else {})
+
     def type_members(self, value: Node | None) -> list[Node]:
         """Members of an object type, wherever it stands in a type alias."""
         return [] if value is None else [k for n in value.kids for k in n.kids if k.kind in ("attribute", "method")]
@@ -208,7 +219,9 @@ class Extractor:
 
     # imports and exports -----------------------------------------------------------------------------------------------
     def add_import(self, kind: str, module: str | None, name: str | None, alias: str | None, node: Node) -> int:
-        self.out.imports.append({"id": len(self.out.imports), "kind": kind, "module": module, "name": name, "alias": alias, "range": self.range(node)})
+        at = node.name if node.kind == "specifier" else node if node.kind == "binding" else None
+        places = {} if at is None else {"name_start": self.byte(at.start), "name_end": self.byte(at.end)}
+        self.out.imports.append({"id": len(self.out.imports), "kind": kind, "module": module, "name": name, "alias": alias, "range": self.range(node), **places})
         return len(self.out.imports) - 1
 
     def import_rows(self, node: Node) -> None:
@@ -342,6 +355,7 @@ class Extractor:
         if kind == "import" or (kind == "export" and node.info["declaration"] is None and node.info["value"] is None):
             return
         if kind in ("name", "type_name"):
+            self.identifier(node, "load")
             if kind == "name":
                 self.out.tokens.append({"symbol_id": self.owner(node.start, node.end), "group": "operand", "token": node.text})
             if node.start not in self.defined and node.text not in ("this", "super", "import", "undefined"):
@@ -361,11 +375,19 @@ class Extractor:
                 self.candidate(at, last, base or None, False)
         if kind == "call":
             self.call(node, node.info["callee"])
+        if kind in ("parameter", "declarator", "catch") and "pattern" in node.info:
+            for n in node.info["pattern"].info["names"]:
+                self.identifier(n, "parameter" if kind == "parameter" else "store")
+        if kind == "string":
+            self.out.strings.append({"symbol_id": self.owner(node.start, node.end), "value": node.text, "start_byte": self.byte(node.start), "end_byte": self.byte(node.end)})
         self.measure(node)
         heritage = {id(b) for b in [*node.info.get("extends", []), *node.info.get("implements", [])]} if kind in ("class_declaration", "class_expression", "interface") else set()
         for k in node.kids:
             self.visit(k, subclass=id(k) in heritage or (subclass and kind == "type" and k.kind in ("type", "type_name", "member") and k is node.kids[0]))
 
+    def identifier(self, node: Node, role: str) -> None:
+        self.out.identifiers.append({"symbol_id": self.owner(node.start, node.end), "name": node.text, "role": role, "start_byte": self.byte(node.start), "end_byte": self.byte(node.end)})
+
     def call(self, node: Node, callee: Node) -> None:
         while callee.kind in ("instantiation", "paren") and callee.kids:
             callee = callee.kids[0]
@@ -397,7 +419,7 @@ class Extractor:
     def elements(self, node: Node, parent: int | None) -> None:
         if node.kind == "jsx" and node.name is not None:
             eid = len(self.out.jsx_elements)
-            self.out.jsx_elements.append({"id": eid, "parent": parent, "source": self.owner(node.start, node.end), "name": node.name.text, "range": self.range(node), "name_start": self.byte(node.name.start), "name_end": self.byte(node.name.end)})
+            self.out.jsx_elements.append({"id": eid, "parent": parent, "source": self.owner(node.start, node.end), "name": node.name.text, "range": self.range(node), "name_start": self.byte(node.name.start), "name_end": self.byte(node.name.end), **({"close_start": self.byte(node.info["closing"].start), "close_end": self.byte(node.info["closing"].end)} if node.info.get("closing") else {})})
             for pos, p in enumerate(node.info["props"]):
                 v = p.info.get("value")
                 self.out.jsx_props.append({"element": eid, "pos": pos, "name": p.name.text, "value": self.source(v), "value_is_expression": v is not None and v.kind == "jsx_expression", "range": self.range(p)})

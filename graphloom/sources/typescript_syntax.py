@@ -384,6 +384,7 @@ class Parser:
         self.type_parameters(node)
         params = self.parameters()
         node.info["parameters"] = params
+        node.info["signature_end"] = self.i
         node.kids += params
         if self.take(":"):
             node.info["returns"] = self.type()
@@ -1053,6 +1054,7 @@ class Parser:
             self.type_parameters(node)
             params = self.parameters()
             node.info["parameters"] = params
+            node.info["signature_end"] = self.i
             node.kids += params
             if self.at(":"):
                 if self.plain_then:
@@ -1391,7 +1393,7 @@ class Parser:
                 raise Trouble("element without end")
             if self.text.startswith("</", self.i):
                 self.i += 2
-                self.jsx_name()
+                node.info["closing"] = self.jsx_name()
                 self.need(">")
                 return
             node.kids.append(self.jsx_expression() if self.text[self.i] == "{" else self.jsx_element())
