@@ -206,8 +206,10 @@ def links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     if not hot.limit(1).count():
         return found
     # which bits a key fixes: those of its segment; a probing entry differs in one of them, so none of it is fixed
-    seg_mask = F.create_map(*[F.lit(x) for s, (at, w, r) in enumerate(SEGMENTS) for x in (s, 0 if r else ((1 << w) - 1) << at)])
-    mask = seg_mask[F.shiftright("key", 32).cast("int")].cast("long")
+    fixed = [0 if r else ((1 << w) - 1) << at for at, w, r in SEGMENTS]
+    mask = F.lit(0).cast("long")
+    for s, bits in enumerate(fixed):
+        mask = F.when(F.shiftright("key", 32) == s, F.lit(bits - (1 << 64) if bits >= 1 << 63 else bits).cast("long")).otherwise(mask)
     crowded = entries.join(hot.where("r = 0").select("key"), "key", "left_semi").select("key", mask.alias("mask"), "fp")
     for level in range(1, 32):
         crowded = cut(crowded.mapInArrow(_refile(level), schema="key long, mask long, fp long"))
