@@ -26,6 +26,9 @@ from graphloom.llm.common import cut, fresh_path, tune
 ARCHIVE_BYTES = 64 << 20
 WINDOW = 1 << 20
 VERSION = b"WARC/1."
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+#: Fields that a header has once; a second one is that of another record.
+SINGLE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 MEMBER = b"\x1f\x8b\x08"
 HEADER_MOST = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -163,7 +166,7 @@ class Window:
 def _parse(read, at: int, end: int | None) -> tuple[dict, int]:
     """The record at `at` of what read(at, n) gives, and where it ends. Raises Bad."""
     head = read(at, HEADER_MOST)
-    if not head.startswith(VERSION):
+    if not VERSION_LINE.match(head):
         raise Bad("no version line")
     stop = head.find(b"\r\n\r\n")
     if stop < 0:
@@ -173,7 +176,10 @@ def _parse(read, at: int, end: int | None) -> tuple[dict, int]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise Bad("header line without colon")
-        fields[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
+        name = k.decode("latin-1").strip().lower()
+        if name in fields and name in SINGLE:
+            raise Bad("header repeats a field")
+        fields[name] = v.decode("utf-8", "replace").strip()
     if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
         raise Bad("no content length")
     n = int(fields["content-length"])
