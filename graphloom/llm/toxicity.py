@@ -32,7 +32,7 @@ EVIDENCE, RATIO = 4.5, 2.0
 #: A toxic text that so many features mark asks for no further ones; and their number at most.
 COVER, MOST = 4, 512
 L1 = 0.02
-#: Keeps steps small where the gradient is: else the bias creeps on while the clean part of the risk is left out.
+#: Keeps steps small where the gradient is.
 DAMP = 2e-3
 #: Words whose features a worker remembers.
 MEMORY = 300_000
@@ -136,10 +136,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         # logistic losses: lp = log(1 + e^-z), ln = log(1 + e^z)
         gp = prior * (sig(zp) - 1) / len(zp)
         gu = np.zeros(len(zu))
-        if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+        whole = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0
+        if whole:
             gp = gp - prior * sig(zp) / len(zp)
             gu = sig(zu) / len(zu)
-        g, gb = xp.T @ gp + xu.T @ gu, float(gp.sum() + gu.sum())
+        g, gb = xp.T @ gp + xu.T @ gu, float(gp.sum() + gu.sum()) if whole else 0.0  # a bias that only positives move would creep on
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
