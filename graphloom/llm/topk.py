@@ -2,9 +2,10 @@
 
 A block of vectors is indexed by dimension and quantised component: a posting segment holds the vectors whose component
 lies in one range. For a query the segments are processed by descending impact on the score, i.e. by their distance from
-the least the dimension can add. Each vector's score then lies between its accumulated lower bounds plus the least that
-its missing dimensions add, and its accumulated upper bounds plus what their next segments can add. Once few vectors'
-upper bounds reach the k-th best lower bound, which proves that no other is a member, those few are scored exactly.
+the least the dimension can add, and every vector's processed postings are summed up at their segments' lower bounds. A
+vector's score is at most its sum plus the width of each segment it was met in, plus what the next segments can add in
+the other dimensions. Once few vectors can still reach the k-th best lower bound (of this block, or an exact score that
+k vectors of earlier blocks reach), which proves that no other is a member, those few are scored exactly.
 """
 
 from __future__ import annotations
@@ -18,71 +19,80 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 QUERY_BLOCK = 1024
-LEVELS = 16
+LEVELS = 64
+#: Shares of the postings after which the proof is tried, and the members per result that end the search early.
+STAGES = (0.25, 0.5, 0.7, 0.85, 1.0)
+FEW = 8
 
 
 class ImpactIndex:
     """Posting segments of one block; x: whole numbers, a row per vector."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+        self.ids, self.x = ids, x.astype(np.float64)  # whole numbers whose products and sums stay exact
         n, dims = x.shape
         lo, hi = x.min(axis=0), x.max(axis=0)
         step = np.maximum(1, -((lo - hi - 1) // LEVELS))
-        level = ((x - lo) // step).astype(np.int64)
-        order = np.argsort(level, axis=0, kind="stable")
-        dim, lev, self.rows, least, most = [], [], [], [], []
-        for d in range(dims):
-            sorted_level = level[order[:, d], d]
-            cuts = np.flatnonzero(np.diff(sorted_level, prepend=-1))
-            for rows in np.split(order[:, d], cuts[1:]):
-                dim.append(d)
-                lev.append(int(level[rows[0], d]))
-                self.rows.append(rows)
-                values = x[rows, d]
-                least.append(values.min())
-                most.append(values.max())
-        self.dim, self.least, self.most = (np.array(v, dtype=np.int64) for v in (dim, least, most))
-        self.lo, self.hi = lo.astype(np.int64), hi.astype(np.int64)
-
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors but `own`, by descending score, then id."""
+        self.level = ((x - lo) // step).astype(np.int64)
+        by_level = np.argsort(self.level, axis=0, kind="stable")
+        key = np.take_along_axis(self.level, by_level, axis=0) + np.arange(dims) * LEVELS
+        key = key.T.ravel()
+        self.rows = by_level.T.ravel().astype(np.int32)  # postings in the order of (dimension, level)
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        self.size = np.diff(np.append(begins, len(key)))
+        self.begin = begins.tolist()
+        self.end = (begins + self.size).tolist()
+        self.key = key[begins]
+        self.dim = self.key // LEVELS
+        values = np.take_along_axis(x, by_level, axis=0).T.ravel()
+        self.least, self.most = np.minimum.reduceat(values, begins), np.maximum.reduceat(values, begins)
+
+    def search(self, q: np.ndarray, own: int, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best vectors but `own`, by descending score, then id.
+
+        known: a score that k other vectors are known to reach; vectors that can't reach it may be left out.
+        """
         n, dims = self.x.shape
         q = np.zeros(dims, np.int64) + np.pad(q[:dims], (0, max(0, dims - len(q))))
-        candidate = self.ids != own
         qd = q[self.dim]
-        high = np.where(qd >= 0, qd * self.most, qd * self.least)
-        low = np.where(qd >= 0, qd * self.least, qd * self.most)
-        floor = np.minimum(q * self.lo, q * self.hi)  # the least that a dimension adds
-        impact = high - floor[self.dim]
+        high, low = np.maximum(qd * self.least, qd * self.most), np.minimum(qd * self.least, qd * self.most)
+        floor = np.full(dims, np.iinfo(np.int64).max)  # the least that a dimension adds
+        np.minimum.at(floor, self.dim, low)
+        impact, gain = high - floor[self.dim], (low - floor[self.dim]).astype(np.float64)
         order = np.argsort(-impact, kind="stable")
-        upper, lower = np.zeros(n), np.full(n, float(floor.sum()))
-        missing = np.ones((n, dims), dtype=np.float32)
-        nxt = np.maximum(q * self.lo, q * self.hi).astype(np.float64)
-        members = np.flatnonzero(candidate)
-        step = max(1, len(order) // 12)
-        for at in range(0, len(order), step):
-            for s in order[at : at + step]:
-                rows, d = self.rows[s], self.dim[s]
-                upper[rows] += high[s]
-                lower[rows] += low[s] - floor[d]
-                missing[rows, d] = 0
-            rest = order[at + step :]
-            nxt[:] = floor
-            np.maximum.at(nxt, self.dim[rest], high[rest].astype(np.float64))
-            if len(members) <= k:
-                break
-            theta = np.partition(lower[members], len(members) - k)[len(members) - k]
-            # float32 weights of 0 and 1 are exact; the products' rounding is allowed for
-            most = upper[members] + missing[members].astype(np.float64) @ nxt
-            members = members[most >= theta - 1]
-            if len(members) <= 4 * k:
+        done = np.cumsum(self.size[order])
+        sums = np.zeros(n)  # what a vector's processed postings add above the floor, at least
+        candidate = self.ids != own
+        base, at = float(floor.sum()), 0
+        for share in STAGES:
+            to = int(np.searchsorted(done, share * done[-1], "left")) + 1
+            segments = order[at:to]
+            if len(segments):
+                picked = np.concatenate([self.rows[self.begin[s] : self.end[s]] for s in segments.tolist()])
+                sums += np.bincount(picked, np.repeat(gain[segments], self.size[segments]), minlength=n)
+            at = to
+            rest = order[at:]
+            slack = np.zeros(dims, np.int64)  # of a processed posting
+            np.maximum.at(slack, self.dim[order[:at]], (high - low)[order[:at]])
+            open_ = np.zeros(dims, np.int64)  # of a dimension in which the vector is still to come
+            np.maximum.at(open_, self.dim[rest], impact[rest])
+            lower = base + sums
+            theta = max(known, np.partition(lower[candidate], -k)[-k]) if candidate.sum() > k else known
+            members = np.flatnonzero(candidate & (lower + float(np.maximum(slack, open_).sum()) >= theta))
+            if len(members) * 4 > n and len(rest):
+                continue  # too many to look at one by one
+            # a vector's own bound, from the segments that it was met in
+            bound = np.repeat(open_.astype(np.float64), LEVELS)
+            bound[self.key[order[:at]]] = (high - low)[order[:at]]
+            most = lower[members] + bound[self.level[members] + np.arange(dims) * LEVELS].sum(axis=1)
+            members = members[most >= theta]
+            if len(members) <= FEW * k:
                 break
-        scores = (self.x[members].astype(np.int64) * q).sum(axis=1)
+        scores = self.x[members] @ q.astype(np.float64)
         best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members][best], scores[best]
+        return self.ids[members][best], scores[best].astype(np.int64)
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -100,6 +110,8 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     flat = column.values.to_numpy(zero_copy_only=False)
     size = np.diff(off)
     out = np.zeros((len(size), int(size.max(initial=0))), dtype=np.int64)
+    if len(size) and (size == size[0]).all():
+        return flat[off[0] : off[-1]].reshape(out.shape).astype(np.int64)
     for i, (a, n) in enumerate(zip(off[:-1], size)):
         out[i, :n] = flat[a : a + n]
     return out
@@ -136,6 +148,7 @@ def exact_top_k(df: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid = np.frombuffer(ids, "<i8")
             q = np.frombuffer(data, "<i8").reshape(len(qid), dims)
+            held = [np.zeros(0, np.int64)] * len(qid)  # the best scores of earlier blocks of this task
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -145,7 +158,8 @@ def exact_top_k(df: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
                 index = ImpactIndex(batch.column(0).to_numpy(zero_copy_only=False), x)
                 out = [[], [], []]
                 for i in range(len(qid)):
-                    found, scores = index.search(q[i], int(qid[i]), k)
+                    found, scores = index.search(q[i], int(qid[i]), k, float(held[i][-1]) if len(held[i]) == k else -np.inf)
+                    held[i] = np.sort(np.concatenate((held[i], scores)))[::-1][:k]
                     out[0].append(np.full(len(found), qid[i]))
                     out[1].append(found)
                     out[2].append(scores)
