@@ -148,4 +148,4 @@ def prune_degree(edges: DataFrame, least: int = 2) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between nodes of the set."""
     n = nodes.select("node").distinct()
-    return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
