@@ -465,3 +465,104 @@ def topological_levels(spark, d):
     one = lambda n, a, x, b, y: t(spark, d, n).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
     e = one("nation", "n", "n_nationkey", "r", "n_regionkey").unionAll(one("supplier", "s", "s_suppkey", "n", "s_nationkey"))
     return T.topological_levels(e, e.select(F.col("src").alias("node")).unionAll(e.select("dst")))
+
+
+# queries through the whole engine: source files are written from the tables, then extracted, resolved and edited
+
+
+def _module_sources(spark: SparkSession, d: str, text: Callable, path: Callable) -> DataFrame:
+    """(path, content) of one file for each supplier, which uses that with the least key of its nation."""
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    first = s.groupBy("s_nationkey").agg(F.min("k").alias("f"))
+    s = s.join(first, "s_nationkey")
+    return s.select(path(F.col("k")).alias("path"), F.encode(text(F.col("k"), F.col("f")), "UTF-8").alias("content"))
+
+
+_uses = "SELECT s.s_suppkey AS k, f.f AS f FROM supplier s JOIN (SELECT s_nationkey, min(s_suppkey) AS f FROM supplier GROUP BY 1) f ON f.s_nationkey = s.s_nationkey WHERE s.s_suppkey <> f.f"
+
+
+@query(f"SELECT 'f' || k AS source, 'f' || f AS target, CAST(2 AS BIGINT) AS reference_count FROM ({_uses})")
+def python_dependencies(spark, d):
+    from graphloom.plans.codegraph import CodeGraph
+
+    text = lambda k, f: F.when(k == f, F.format_string("def f%d(x):\n    return x\n", k)).otherwise(F.format_string("from pkg.m%d import f%d as used\n\n\ndef f%d(used_by):\n    y = used(1)\n    return [used for z in y]\n", f, f, k))
+    g = CodeGraph(spark, _module_sources(spark, d, text, lambda k: F.format_string("pkg/m%d.py", k)), "python")
+    n = g.symbols.select("id", "name")
+    e = g.dependencies.join(n.select(F.col("id").alias("source_symbol_id"), F.col("name").alias("source")), "source_symbol_id").join(n.select(F.col("id").alias("target_symbol_id"), F.col("name").alias("target")), "target_symbol_id")
+    return e.select("source", "target", "reference_count")
+
+
+@query(f"SELECT 'F' || k AS source, 'F' || f AS target, 'used' AS name FROM ({_uses}) UNION ALL SELECT 'F' || k, 'F' || f, 'F' || f FROM ({_uses})")
+def typescript_references(spark, d):
+    from graphloom.plans.codegraph import CodeGraph
+
+    text = lambda k, f: F.when(k == f, F.format_string("export class F%d { go(): void {} }\n", k)).otherwise(F.format_string("import { F%d as used } from '../lib/i%d';\nimport * as all from '../lib/i%d';\nexport class F%d extends used { go() { return new all.F%d(); } }\n", f, f, f, k, f))
+    own = _module_sources(spark, d, text, lambda k: F.format_string("src/m%d.ts", k))
+    index = t(spark, d, "supplier").select(F.format_string("lib/i%d.ts", "s_suppkey").alias("path"), F.encode(F.format_string("export * from '../src/m%d';\n", "s_suppkey"), "UTF-8").alias("content"))
+    g = CodeGraph(spark, own.unionAll(index), "typescript")
+    n = g.symbols.select("id", "name")
+    r = g.references.withColumnRenamed("name", "used_name")
+    r = r.join(n.select(F.col("id").alias("source_symbol_id"), F.col("name").alias("source")), "source_symbol_id").join(n.select(F.col("id").alias("target_symbol_id"), F.col("name").alias("target")), "target_symbol_id")
+    return r.select("source", "target", F.col("used_name").alias("name"))
+
+
+@query("SELECT doc_id AS file_id, '> ' || text || ' <' AS text, 'modified' AS status FROM documents")
+def edits_apply(spark, d):
+    from graphloom.operators import edits as E
+
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    n = docs.withColumn("n", F.octet_length("content"))
+    both = E.planned(n, "path", "insert", F.lit(0), F.lit(0), "> ", seq=1).unionAll(E.planned(n, "path", "insert", "n", "n", " <", seq=2)).unionAll(E.planned(n, "path", "insert", F.lit(0), F.lit(0), "> ", seq=3))
+    out = E.apply(docs, both)
+    return out.select(F.col("path").cast("long").alias("file_id"), F.col("content").cast("string").alias("text"), "status")
+
+
+@query("""WITH l AS (SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS k FROM events GROUP BY 1), p AS (SELECT DISTINCT c_custkey AS path FROM customer)
+ SELECT l.path, CASE WHEN l.k = 'error' THEN 'delete' WHEN p.path IS NOT NULL THEN 'reparse' ELSE 'add' END AS action FROM l LEFT JOIN p ON p.path = l.path WHERE l.k <> 'error' OR p.path IS NOT NULL""")
+def sync_actions(spark, d):
+    from graphloom.streaming.changes import sync_actions as actions
+
+    e = t(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "removed").when(F.col("event_type").isin("click", "purchase"), "modified").otherwise("added")
+    c = e.select(F.col("user_id").cast("string").alias("path"), kind.alias("change"), F.lit(None).cast("string").alias("rename_to"), F.lit(None).cast("binary").alias("content"), "ts", F.col("event_id").alias("seq"))
+    present = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"))
+    return actions(c, present).select(F.col("path").cast("long").alias("path"), "action")
+
+
+@query("""SELECT time_bucket(INTERVAL '30 minutes', ts) - to_minutes(30 * o) AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS o) GROUP BY 1, 2""")
+def sliding_events(spark, d):
+    from graphloom.streaming.changes import sliding
+
+    return sliding(t(spark, d, "events"), "1 hour", "30 minutes", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(r"""SELECT page_id, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/$', '') ELSE u END AS url
+ FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', '') AS u FROM pages)""")
+def endpoint_urls(spark, d):
+    from graphloom.plans.endpoints import normal_url
+
+    return t(spark, d, "pages").select("page_id", normal_url(F.col("url")).alias("url"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM e GROUP BY 1)
+ SELECT l_suppkey AS class_id, count(DISTINCT l_partkey) AS depth FROM lineitem GROUP BY 1""")
+def inheritance_depth(spark, d):
+    bases = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("class_id"), F.col("l_partkey").alias("base"))
+    return bases.groupBy("class_id").agg(F.countDistinct("base").alias("depth"))
+
+
+@query("""SELECT l_orderkey AS call_id, l_linenumber AS pos, l_partkey AS value, p_name AS parameter FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
+def argument_parameters(spark, d):
+    a = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("value"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("value"), F.col("p_name").alias("parameter"))
+    return a.join(p, "value", "left").select("call_id", "pos", "value", "parameter")
+
+
+@query("""SELECT r_name AS directory, count(*) AS files, CAST(sum(c_acctbal * 100) AS BIGINT) AS size FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1
+ UNION ALL SELECT r_name || '/' || n_name, count(*), CAST(sum(c_acctbal * 100) AS BIGINT) FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
+def directory_rollup(spark, d):
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat_ws("/", "r_name", "n_name", F.col("c_custkey").cast("string"))
+    x = c.select(F.explode(S.directory_prefixes(path)).alias("directory"), (F.col("c_acctbal") * 100).alias("b"))
+    return x.groupBy("directory").agg(F.count("*").alias("files"), F.round(F.sum("b")).cast("long").alias("size"))
