@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.lineage import cut
+
 
 def dependencies(references: DataFrame, source: str = "source_symbol_id", target: str = "target_symbol_id", ref: str = "id") -> DataFrame:
     """(source, target, reference_ids sorted, reference_count); references without source are left out."""
@@ -17,10 +19,8 @@ def dense_ids(df: DataFrame, order: list, out: str = "id") -> DataFrame:
 
     Rows are sorted by ranges over all tasks; a first pass counts each part, so no task holds all rows.
     """
-    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    from graphloom.lineage import cut
-
-    s = cut(s)
+    df = cut(df)  # the ranges are sampled first, which would compute the rows twice
+    s = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = s.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     return s.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")

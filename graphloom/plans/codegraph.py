@@ -28,27 +28,30 @@ def numbered(parsed: DataFrame) -> DataFrame:
     Two levels of running sums, within ranges of files and over the ranges, so no task holds all files.
     """
     counts = ["symbols", "imports", "exports", "calls", "candidates", "statements", "jsx_elements", "promise_chains"]
-    df = cut(parsed.withColumn("_order", F.split("path", "/")).repartitionByRange("_order").withColumn("_p", F.spark_partition_id()))
+    parsed = cut(parsed)  # parsed once, though the ranges are sampled before rows are dealt out
+    sizes = parsed.select("path", F.split("path", "/").alias("_order"), *[F.size(c).alias(f"_n_{c}") for c in counts])
+    df = cut(sizes.repartitionByRange("_order").withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p").orderBy("_order")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.select("path", "_p", (F.row_number().over(w) - 1).alias("_i"), *[F.coalesce(F.sum(F.size(c)).over(before), F.lit(0)).alias(f"_{c}") for c in counts])
-    totals = df.groupBy("_p").agg(F.count("*").alias("_n"), *[F.sum(F.size(c)).alias(f"_t_{c}") for c in counts])
+    inner = df.select("path", "_p", (F.row_number().over(w) - 1).alias("_i"), *[F.coalesce(F.sum(f"_n_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in counts])
+    totals = df.groupBy("_p").agg(F.count("*").alias("_n"), *[F.sum(f"_n_{c}").alias(f"_t_{c}") for c in counts])
     prior = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sums = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_bn"), *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0)).alias(f"_b_{c}") for c in counts])
     ids = inner.join(F.broadcast(sums), F.col("_p") == F.col("_q")).select(
         F.col("path").alias("_path"), (F.col("_i") + F.col("_bn")).cast("long").alias("file_id"), *[(F.col(f"_{c}") + F.col(f"_b_{c}")).cast("long").alias(f"first_{c}") for c in counts]
     )
-    return cut(df.drop("_p", "_order").join(ids, F.col("path") == F.col("_path")).drop("_path"))
+    return cut(parsed.join(ids, F.col("path") == F.col("_path")).drop("_path"))
 
 
 class CodeGraph:
     """Tables of a repository, built lazily; each is a plain DataFrame.
 
-    language is python or typescript. Ids are dense: files by path components, records by file and place.
+    language is python or typescript. Ids are dense: files by path components, records by file and place. roots are
+    folders, such as src, that Python modules are named from.
     """
 
-    def __init__(self, spark: SparkSession, sources: DataFrame, language: str, configs: list[dict] | None = None):
-        self.spark, self.sources, self.language, self.configs = spark, sources, language, configs or []
+    def __init__(self, spark: SparkSession, sources: DataFrame, language: str, configs: list[dict] | None = None, roots: tuple[str, ...] = ()):
+        self.spark, self.sources, self.language, self.configs, self.roots = spark, sources, language, configs or [], tuple(roots)
 
     # construction --------------------------------------------------------------------------------------------------
     @classmethod
@@ -62,18 +65,18 @@ class CodeGraph:
         return cls.from_files(spark, {"test.py" if language == repo.PYTHON else "test.ts": code}, language)
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, language: str | None = None, paths: list[str] | None = None, **filters) -> CodeGraph:
+    def from_path(cls, spark: SparkSession, root: str, language: str | None = None, paths: list[str] | None = None, roots: tuple[str, ...] = (), **filters) -> CodeGraph:
         """All files below root, or those of the given paths. Configurations are few and read on the driver."""
         src = repo.scan(spark, root, **filters)
         conf = [(r.path, bytes(r.content).decode("utf-8", "replace")) for r in src.where(F.col("path").rlike(r"(^|/)tsconfig[^/]*\.json$")).toLocalIterator()]
         if paths is not None:
             src = src.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_semi")
-        return cls(spark, src, language or repo.detect_language(src), [c for p, t in sorted(conf) if (c := repo.tsconfig(p, t))])
+        return cls(spark, src, language or repo.detect_language(src), [c for p, t in sorted(conf) if (c := repo.tsconfig(p, t))], roots)
 
     # tables --------------------------------------------------------------------------------------------------------
     @cached_property
     def parsed(self) -> DataFrame:
-        return numbered(repo.parse(self.sources, self.language))
+        return numbered(repo.parse(self.sources, self.language, roots=self.roots))
 
     @cached_property
     def files(self) -> DataFrame:

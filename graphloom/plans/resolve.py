@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar as S
-from graphloom.lineage import cut, is_empty
+from graphloom.lineage import cut, digest, is_empty
 from graphloom.operators.joins import last_wins
 
 MAX_ROUNDS = 256
@@ -70,14 +70,14 @@ def exports_by_file(symbols: DataFrame, imports: DataFrame, resolutions: DataFra
     stars = cut(stars)
     if is_empty(stars):
         return exports
+    fixed, state = cut(fixed), digest(exports)
     limited = all_exports.select(F.col("file_id").alias("lf")).distinct()
     for _ in range(MAX_ROUNDS):
         visible = exports.join(limited, F.col("file_id") == F.col("lf"), "left_anti").unionAll(exports.join(all_exports, ["file_id", "name"], "left_semi"))
         pulled = stars.join(visible.select(F.col("file_id").alias("vf"), "name", "symbol_id"), F.col("target_file_id") == F.col("vf")).select("file_id", "name", "symbol_id", "rank")
-        nxt = cut(last_wins(fixed.unionAll(pulled), ["file_id", "name"], ["rank"]).select("file_id", "name", "symbol_id"))
-        same = is_empty(nxt.exceptAll(exports)) and is_empty(exports.exceptAll(nxt))
-        exports = nxt
-        if same:
+        exports = cut(last_wins(fixed.unionAll(pulled), ["file_id", "name"], ["rank"]).select("file_id", "name", "symbol_id"))
+        before, state = state, digest(exports)
+        if state == before:
             break
     return exports
 

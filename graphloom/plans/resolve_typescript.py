@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar as S
-from graphloom.lineage import cut, is_empty
+from graphloom.lineage import cut, digest, is_empty
 from graphloom.operators.joins import last_wins
 from graphloom.plans.resolve import MAX_ROUNDS, _top
 
@@ -69,12 +69,12 @@ def exported(symbols: DataFrame, exports: DataFrame, resolutions: DataFrame) ->
     out = cut(last_wins(fixed, ["file_id", "name"], ["rank"]).select("file_id", "name", "symbol_id"))
     if is_empty(stars):
         return out
+    state = digest(out)
     for _ in range(MAX_ROUNDS):
         pulled = stars.join(out.where("name <> 'default'"), F.col("tf") == F.col("file_id")).select(F.col("sf").alias("file_id"), "name", "symbol_id", "rank")
-        nxt = cut(last_wins(fixed.unionAll(pulled), ["file_id", "name"], ["rank", "symbol_id"]).select("file_id", "name", "symbol_id"))
-        same = is_empty(nxt.exceptAll(out)) and is_empty(out.exceptAll(nxt))
-        out = nxt
-        if same:
+        out = cut(last_wins(fixed.unionAll(pulled), ["file_id", "name"], ["rank", "symbol_id"]).select("file_id", "name", "symbol_id"))
+        before, state = state, digest(out)
+        if state == before:
             break
     return out
 
@@ -86,14 +86,15 @@ def resolve_imports(files: DataFrame, symbols: DataFrame, imports: DataFrame, ex
     asked = cut(found.join(imports.select(F.col("id").alias("import_id"), wanted.alias("wanted")), "import_id"))
     top = _top(symbols)
     res = found.withColumn("target_symbol_id", NO_LONG)
+    state = digest(res)
+    again = not is_empty(exports.where("import_id is not null"))
     for _ in range(MAX_ROUNDS):
         names = exported(symbols, exports, res).select(F.col("file_id").alias("ef"), F.col("name").alias("en"), F.col("symbol_id").alias("es"))
         j = asked.join(names, (F.col("target_file_id") == F.col("ef")) & (F.col("wanted") == F.col("en")), "left")
         j = j.join(top, (F.col("target_file_id") == F.col("tf")) & (F.col("wanted") == F.col("tn")), "left")
-        nxt = cut(j.select("import_id", "source_file_id", "target_file_id", F.coalesce("es", "ts").alias("target_symbol_id")))
-        same = is_empty(nxt.exceptAll(res))
-        res = nxt
-        if same:
+        res = cut(j.select("import_id", "source_file_id", "target_file_id", F.coalesce("es", "ts").alias("target_symbol_id")))
+        before, state = state, digest(res)
+        if state == before or not again:  # without re-exports nothing can change again
             break
     return res
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 from dataclasses import dataclass, field
 
 from graphloom.sources.spans import Nest
@@ -51,6 +52,11 @@ class Offsets:
         return {"start_byte": self.of(l1, c1), "end_byte": self.of(l2, c2), "start_row": l1 - 1, "start_column": c1, "end_row": l2 - 1, "end_column": c2}
 
 
+def clean(text: str | None) -> str | None:
+    """Text whose lone surrogates, which a literal may hold, are written as escapes."""
+    return None if text is None else text.encode("utf-8", "backslashreplace").decode()
+
+
 def dotted(node: ast.expr) -> str | None:
     """a.b.c of a chain of names."""
     parts = []
@@ -111,7 +117,9 @@ class Extractor:
 
     def run(self) -> Extracted:
         try:
-            tree = ast.parse(self.source)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # of odd escapes in the sources
+                tree = ast.parse(self.source)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             self.out.has_error = True
             return self.out
@@ -151,7 +159,7 @@ class Extractor:
         m = re.compile(rb"(?:async\s+)?(?:def|class)\s+").match(self.data, begin)
         sid = self.add_symbol(
             node.name, CLASS if is_class else FUNCTION, span, m.end() if m else begin, parent,
-            is_async=isinstance(node, ast.AsyncFunctionDef), decorators=[ast.unparse(d) for d in node.decorator_list], docstring=ast.get_docstring(node),
+            is_async=isinstance(node, ast.AsyncFunctionDef), decorators=[ast.unparse(d) for d in node.decorator_list], docstring=clean(ast.get_docstring(node)),
             returns=None if is_class or node.returns is None else ast.unparse(node.returns), **self.parts(node, m.end() if m else begin),
         )
         self.of_node[id(node)] = sid
@@ -221,7 +229,7 @@ class Extractor:
 
     def static_all(self, value: ast.expr | None) -> None:
         if isinstance(value, (ast.List, ast.Tuple, ast.Set)) and all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in value.elts):
-            self.out.all_names = sorted({e.value for e in value.elts})
+            self.out.all_names = sorted({clean(e.value) for e in value.elts})
 
     # imports -----------------------------------------------------------------------------------------------------
     def imports(self, node) -> None:
@@ -327,7 +335,7 @@ class Extractor:
             self.identifier(node)
         if isinstance(node, ast.Constant) and isinstance(node.value, str) and hasattr(node, "lineno"):
             r = self.at.span(node)
-            self.out.strings.append({"symbol_id": self.owner(r["start_byte"], r["end_byte"]), "value": node.value, "start_byte": r["start_byte"], "end_byte": r["end_byte"]})
+            self.out.strings.append({"symbol_id": self.owner(r["start_byte"], r["end_byte"]), "value": clean(node.value), "start_byte": r["start_byte"], "end_byte": r["end_byte"]})
         if isinstance(node, ast.Name):
             if not (isinstance(node.ctx, ast.Store) and self.is_definition(node)):
                 self.candidate(node.id, None, self.at.span(node), None, subclass)

@@ -75,7 +75,7 @@ def line_count(text: str) -> int:
     return text.count("\n") + (0 if text.endswith("\n") else 1) if text else 0
 
 
-def parse(files: DataFrame, language: str, hash_contents: bool = False) -> DataFrame:
+def parse(files: DataFrame, language: str, hash_contents: bool = False, roots: tuple[str, ...] = ()) -> DataFrame:
     """One row per file with an array of each kind of record (schema.PARSED). No shuffle: files are independent.
 
     Bytes that are no UTF-8 become replacement characters, and offsets are those of the decoded text. Contents are
@@ -101,7 +101,7 @@ def parse(files: DataFrame, language: str, hash_contents: bool = False) -> DataF
                 n = len(text.encode())
                 last = text.rfind("\n") + 1
                 row |= {
-                    "path": path, "language": language, "module_name": module_of(path) if language == PYTHON else None, "content_hash": fnv1a(raw) if hash_contents else sha256(raw).hexdigest(),
+                    "path": path, "language": language, "module_name": module_of(path, roots) if language == PYTHON else None, "content_hash": fnv1a(raw) if hash_contents else sha256(raw).hexdigest(),
                     "byte_len": len(raw), "line_count": line_count(text), "has_error": x.has_error, "all_names": x.all_names,
                     "root_range": {"start_byte": 0, "end_byte": n, "start_row": 0, "start_column": 0, "end_row": text.count("\n"), "end_column": len(text[last:].encode())},
                 }
@@ -112,9 +112,14 @@ def parse(files: DataFrame, language: str, hash_contents: bool = False) -> DataF
     return wanted.mapInArrow(run, schema=schema.PARSED)
 
 
-def module_of(path: str) -> str | None:
+def module_of(path: str, roots: tuple[str, ...] = ()) -> str | None:
+    """Dotted module of a Python file, named from the first of the roots that it lies below."""
     if not path.endswith(".py"):
         return None
+    for root in roots:
+        if path.startswith(root.strip("/") + "/"):
+            path = path[len(root.strip("/")) + 1 :]
+            break
     stem = path[:-3]
     return (stem[: -len("/__init__")] if stem.endswith("/__init__") else stem).replace("/", ".")
 

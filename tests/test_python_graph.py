@@ -110,3 +110,9 @@ def test_wildcards_errors_and_classes(spark):
 def test_empty_repository(spark):
     g = CodeGraph.from_files(spark, {"x.py": ""})
     assert g.references.count() == 0 and g.files.first().line_count == 0
+
+
+def test_odd_literals_and_offsets(spark):
+    g = CodeGraph.from_files(spark, {"x.py": "a = '\\udcff'\r\ndef f():\r\n    '\\ud800'\r\n    return 'é', a\r\n", "y.py": b"b = '\xff'\n", "z.py": "x = 1\x0c\ny = 2\n"})
+    assert [r.value for r in g.string_literals.where("file_id = 0").orderBy("start_byte").collect()] == ["\\udcff", "\\ud800", "é"]
+    assert g.files.where("has_error").count() == 0 and g.references.where("name = 'a'").count() == 1
