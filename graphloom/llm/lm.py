@@ -5,9 +5,9 @@ conditional log-probabilities of its tokens. The corpus counts all words: the fr
 ones share hashed buckets. Tokens of like frequency form classes, and p(token) = p(class) * p(token in class), each a
 softmax over the hidden state, so a prediction costs the square root of the vocabulary.
 
-The network is first fitted on the driver on a bounded sample, then every task goes over a share of all positions of
-its documents from there on, and the tasks' parameters are averaged with their numbers of positions as weights: what is
-gathered follows the corpus, and every document takes part.
+The network is first fitted on the driver on a bounded sample, which only gives a start; then every task goes over all
+positions of its documents from there on, and the tasks' parameters are averaged with their numbers of positions as
+weights: every token of every document is predicted once, however short or long its text.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ VOCABULARY = SIDE * SIDE
 HASHED = 64
 OFFSETS = (-3, -2, -1, 1, 2, 3)
 HIDDEN = 12
-#: Documents of the driver's first fit, at most; positions of a document in the tasks' pass: one in so many.
-FIT_DOCS, EVERY = 400, 16
+#: Documents of the driver's first fit, at most; positions in the tasks' pass: one in so many, 1 for all.
+FIT_DOCS, EVERY = 400, 1
 #: Words that a task counts before it hands its counts on, and the longest word of the vocabulary.
 COUNTED, LONGEST = 200_000, 64
 #: Slices of the parameters that are averaged apart, and groups of tasks that are averaged first.
@@ -108,9 +108,9 @@ class Network:
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """States of the positions `at` of a token row that has three pads before and behind each text."""
-        z = self.emb[0][padded[at + OFFSETS[0]]]
+        z = self.emb[0].take(padded.take(at + OFFSETS[0]), axis=0)
         for j, o in enumerate(OFFSETS[1:], 1):
-            z += self.emb[j][padded[at + o]]
+            z += self.emb[j].take(padded.take(at + o), axis=0)
         z += self.hb
         return np.tanh(z, out=z)
 
@@ -119,22 +119,21 @@ class Network:
         out = np.empty(len(at), dtype=np.float64)
         for i in range(0, len(at), CHUNK):
             pos = at[i : i + CHUNK]
-            h, y = self.hidden(padded, pos), padded[pos]
-            c, w = y // SIDE, y % SIDE
+            order, c, w, bounds = _by_class(padded[pos])
+            h = self.hidden(padded, pos[order])
             part = _chosen(h @ self.cw + self.cb, c)
-            order = np.argsort(c, kind="stable")
-            bounds = np.searchsorted(c[order], np.arange(SIDE + 1))
             for k in range(SIDE):
-                rows = order[bounds[k] : bounds[k + 1]]
-                if len(rows):
+                rows = slice(bounds[k], bounds[k + 1])
+                if bounds[k] < bounds[k + 1]:
                     part[rows] += _chosen(h[rows] @ self.tw[k] + self.tb[k], w[rows])
-            out[i : i + CHUNK] = part
+            out[i + order] = part
         return out
 
     def step(self, padded: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One stochastic gradient step on the positions."""
-        h, y = self.hidden(padded, at), padded[at]
-        c, w = y // SIDE, y % SIDE
+        order, c, w, bounds = _by_class(padded[at])
+        at = at[order]
+        h = self.hidden(padded, at)
         every = np.arange(len(at))
         g = _soft(h @ self.cw + self.cb)
         g[every, c] -= 1
@@ -142,21 +141,31 @@ class Network:
         scale = rate / len(at)
         self.cw -= scale * (h.T @ g)
         self.cb -= scale * g.sum(axis=0)
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(SIDE + 1))
-        for k in range(SIDE):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if not len(rows):
-                continue
-            g = _soft(h[rows] @ self.tw[k] + self.tb[k])
-            g[np.arange(len(rows)), w[rows]] -= 1
-            gh[rows] += g @ self.tw[k].T
-            self.tw[k] -= scale * (h[rows].T @ g)
-            self.tb[k] -= scale * g.sum(axis=0)
+        met = np.flatnonzero(np.diff(bounds))
+        g = self.tb[c]
+        for k in met:
+            g[bounds[k] : bounds[k + 1]] += h[bounds[k] : bounds[k + 1]] @ self.tw[k]
+        g = _soft(g)
+        g[every, w] -= 1
+        for k in met:
+            rows = slice(bounds[k], bounds[k + 1])
+            gh[rows] += g[rows] @ self.tw[k].T
+            self.tw[k] -= scale * (h[rows].T @ g[rows])
+        if len(met):
+            self.tb[met] -= scale * np.add.reduceat(g, bounds[met], axis=0)
         gz = np.clip(gh * (1 - h * h), -1, 1) * np.float32(rate / 64)
         self.hb -= gz.mean(axis=0)
         for j, o in enumerate(OFFSETS):
-            np.subtract.at(self.emb[j], padded[at + o], gz)
+            cells = padded.take(at + o)[:, None] * HIDDEN + np.arange(HIDDEN)
+            moved = np.bincount(cells.ravel(), gz.ravel(), (VOCABULARY + 1) * HIDDEN)
+            self.emb[j] -= moved.reshape(VOCABULARY + 1, HIDDEN)
+
+
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by class of tokens, their classes and places within them in that order, and where each class begins."""
+    order = np.argsort((y // SIDE).astype(np.uint8), kind="stable")
+    c, w = np.divmod(y[order], SIDE)
+    return order, c, w, np.searchsorted(c, np.arange(SIDE + 1))
 
 
 def _soft(z: np.ndarray) -> np.ndarray:

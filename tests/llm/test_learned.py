@@ -172,3 +172,18 @@ def test_lm_counts_are_whole(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b " * 5000)], "doc_id bigint, text string")
     assert {r.word: r.n for r in lm.word_counts(docs).collect()} == {"a": 2, "b": 5001}
     assert lm.score(docs.limit(0), *lm.train(docs.limit(0))).count() == 0
+
+
+def test_lm_learns_from_every_position(spark):
+    """A row of the embeddings moves only by a position that has its word in its context, so all that occur must move."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(1 + i % 6)) for i in range(60)]
+    vocab, net = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), fit_docs=0)
+    first, unmoved = lm.Network(), []
+    for t in texts:
+        tokens = lm.encode(vocab, t).tolist()
+        assert all(y < vocab.first for y in tokens)
+        for i in range(len(tokens)):
+            for j, o in enumerate(lm.OFFSETS):
+                if 0 <= i + o < len(tokens) and np.array_equal(net.emb[j][tokens[i + o]], first.emb[j][tokens[i + o]]):
+                    unmoved.append((t, i, o))
+    assert not unmoved
