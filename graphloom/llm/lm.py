@@ -1,9 +1,11 @@
 """Language-model scores: masked pseudo-likelihood by a bidirectional window network trained in numpy.
 
 Every token is predicted from the tokens on both of its sides, itself masked; a document's score is the sum of the
-conditional log-probabilities of its tokens. The corpus counts all words: the frequent ones are the vocabulary, rarer
-ones share hashed buckets. Tokens of like frequency form classes, and p(token) = p(class) * p(token in class), each a
-softmax over the hidden state, so a prediction costs the square root of the vocabulary.
+conditional log-probabilities of its tokens. The corpus counts all words: the frequent ones are the network's vocabulary,
+rarer ones share hashed buckets, and p(word) = p(bucket) * p(word in bucket), the latter from the full counts: n / (N + 1)
+of a word counted n times in a bucket of N counts; words never counted share the one left over. Tokens of like frequency
+form classes, and p(token) = p(class) * p(token in class), each a softmax over the hidden state, so a prediction costs the
+square root of the vocabulary.
 
 The network is first fitted on the driver on a bounded sample, which only gives a start; then every task goes over all
 positions of its documents from there on, and the tasks' parameters are averaged with their numbers of positions as
@@ -33,6 +35,8 @@ HIDDEN = 12
 FIT_DOCS, EVERY = 400, 1
 #: Words that a task counts before it hands its counts on, and the longest word of the vocabulary.
 COUNTED, LONGEST = 200_000, 64
+#: Bucketed words, at most, whose counts every task holds; counts of the others are joined.
+LISTED = 1 << 17
 #: Slices of the parameters that are averaged apart, and groups of tasks that are averaged first.
 SLICES, FAN = 8, 64
 CHUNK = 16384
@@ -65,17 +69,49 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Token number of a word; a word not listed gets one of the hashed buckets."""
+    """Token number of a word; a word not in the network's vocabulary gets one of the hashed buckets.
 
-    def __init__(self, words: list[str]):
+    listed: bucketed words and their counts. in_bucket: the counts of each bucket. rest: rows (word, n) of the bucketed
+    words not listed that are counted more than once, or None; it stays on the driver.
+    """
+
+    def __init__(self, words: list[str], listed: dict[str, int] | None = None, in_bucket: np.ndarray | None = None, rest: DataFrame | None = None):
         super().__init__({w: i for i, w in enumerate(words)})
         self.first = VOCABULARY - HASHED
+        self.words, self.listed, self.rest = list(words), listed or {}, rest
+        self.in_bucket = np.zeros(HASHED) if in_bucket is None else in_bucket
+        self.update({w: self.__missing__(w) for w in self.listed})
 
     def __missing__(self, word: str) -> int:
         return self.first + crc32(word.encode("utf-8", "surrogatepass")) % HASHED
 
     def __reduce__(self):
-        return Vocabulary, (list(self.keys()),)
+        return Vocabulary, (self.words, self.listed, self.in_bucket)
+
+    def in_buckets(self) -> dict[int, float]:
+        """Minus the logarithm of what a bucket's words share, by token."""
+        return {self.first + b: -float(np.log(n + 1)) for b, n in enumerate(self.in_bucket)}
+
+
+def with_counts(words: dict[str, int], counts: DataFrame, listed: int) -> Vocabulary:
+    """The vocabulary of the words, with the counts of all others: at most `listed` held, the rest as rows."""
+    short = F.char_length("word") <= LONGEST
+    least, held = None, 0
+    for r in counts.where(short).groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).collect():
+        held += r.words
+        if held > listed + len(words):
+            break
+        least = r.n
+    is_listed = short & (F.col("n") >= least) if least is not None else F.lit(False)
+    found = counts.where(is_listed).toArrow()
+    kept = {w: n for w, n in zip(found.column("word").to_pylist(), found.column("n").to_pylist()) if w not in words}
+    in_bucket, bucket = np.zeros(HASHED), F.crc32(F.col("word").cast("binary")) % HASHED
+    for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
+        in_bucket[r.b] = r.n
+    for w, n in words.items():
+        in_bucket[crc32(w.encode()) % HASHED] -= n
+    rest = counts.where(~is_listed & (F.col("n") > 1) & ~F.col("word").isin(list(words)))
+    return Vocabulary(list(words), kept, in_bucket, rest)
 
 
 def encode(vocab: Vocabulary, text: str | None) -> np.ndarray:
@@ -195,15 +231,14 @@ def padded_row(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, every: int = EVERY) -> tuple[Vocabulary, Network]:
-    """Vocabulary, counts and network of the texts. The driver holds a vocabulary and fit_docs documents' tokens at most."""
+    """Vocabulary, counts and network of the texts. The driver holds a vocabulary, LISTED counts and fit_docs documents' tokens at most."""
     tune(df.sparkSession)
     counts = cut(word_counts(df, text_col))
     top = counts.where(F.char_length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(VOCABULARY - HASHED).collect()
-    vocab = Vocabulary([r.word for r in top])
+    vocab = with_counts({r.word: r.n for r in top}, counts, LISTED)
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r.n for r in top]
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    n[VOCABULARY - HASHED :] = max(0, total - n.sum()) / HASHED
+    n[VOCABULARY - HASHED :] = vocab.in_bucket
     net = Network()
     net.start_from(n)
 
@@ -263,27 +298,67 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     return vocab, net
 
 
+class _Known(dict):
+    """Places of known words; others get -1 and are noted in order."""
+
+    def __missing__(self, word: str) -> int:
+        self.missed.append(word)
+        return -1
+
+
 def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, n_tokens, log_probability), one per row of df; whole texts, no shuffle, other columns unread.
+    """Rows (id_col, n_tokens, log_probability), one per row of df; whole texts, other columns unread.
 
-    Null texts and texts without words have no tokens and a log-probability of 0. Ids are passed through.
+    Null texts and texts without words have no tokens and a log-probability of 0. Ids are passed through. Only words whose
+    counts the tasks don't hold are shuffled, to the rest of the counts and back to their rows; rows are told apart by
+    their places, so df must give its rows in the same order when a task is repeated, as a table's files do.
     """
     tune(df.sparkSession)
     key, flat = df.schema[id_col].dataType.simpleString(), net.flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(flat)
+        own, shared = Network(flat), vocab.in_buckets()
+        known = _Known({w: i for i, w in enumerate([*vocab.words, *vocab.listed])})
+        token = np.array([vocab[w] for w in known], dtype=np.int32)
+        within = np.zeros(len(known))
+        within[len(vocab.words) :] = np.log(list(vocab.listed.values())) + [shared[vocab[w]] for w in vocab.listed]
+        if not known:  # one place to index where nothing is counted
+            token, within = np.zeros(1, np.int32), np.zeros(1)
         for batch in batches:
-            rows = [encode(vocab, t) for t in batch.column(1).to_pylist()]
-            row, at = padded_row(rows)
+            known.missed = []
+            rows = [tokens_of(t) for t in batch.column(2).to_pylist()]
+            rows = [np.fromiter(map(known.__getitem__, r), dtype=np.int32, count=len(r)) for r in rows]
             size = np.array([len(r) for r in rows], dtype=np.int64)
             ends = np.concatenate(([0], np.cumsum(size)))
-            lp = own.log_probabilities(row, at)
+            places = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            new, missed = np.flatnonzero(places < 0), known.missed
+            tokens = token[places]
+            tokens[new] = [vocab[w] for w in missed]
+            row, at = padded_row(np.split(tokens, ends[1:-1]))
+            lp = own.log_probabilities(row, at) + within[places]
+            lp[new] += np.array([shared[t] for t in tokens[new].tolist()]) - within[places[new]]
             total = np.array([lp[a:b].sum() for a, b in zip(ends[:-1], ends[1:])], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total)], names=["_id", "n_tokens", "log_probability"])
+            # a row for each text, under a word that is none, and one for each of its words that no task holds
+            nth = batch.column(0).to_pylist()
+            found = Counter(zip((np.searchsorted(ends, new, side="right") - 1).tolist(), missed))
+            of = [nth[i] for i, _ in found]
+            none = pa.nulls(len(of), batch.column(1).type)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([f" {i}" for i in nth], pa.string()), pa.array(np.zeros(len(nth), np.int64)), pa.array(size), pa.array(total)], names=names
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of, pa.int64()), none, pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64()), pa.array(np.zeros(len(of), np.int64)), pa.array(np.zeros(len(of)))], names=names
+            )
 
-    named = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    out = named.mapInArrow(run, schema=f"_id {key}, n_tokens long, log_probability double")
+    names = ["_row", "_id", "word", "times", "n_tokens", "lp"]
+    named = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    out = named.mapInArrow(run, schema=f"_row long, _id {key}, word string, times long, n_tokens long, lp double")
+    if vocab.rest is None:
+        out = out.withColumn("n", F.lit(1))
+    else:
+        out = out.join(vocab.rest, "word", "left")
+    lp = F.col("lp") + F.col("times") * F.log(F.coalesce("n", F.lit(1)).cast("double"))
+    out = out.groupBy("_row").agg(F.first("_id", ignorenulls=True).alias("_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(lp).alias("log_probability"))
     return out.select(F.col("_id").alias(id_col), "n_tokens", "log_probability")
 
 

@@ -1,5 +1,7 @@
 """Classifiers and the language model: held-out accuracy, brute-force probabilities, odd inputs."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,31 @@ def test_lm_learns_from_every_position(spark):
                 if 0 <= i + o < len(tokens) and np.array_equal(net.emb[j][tokens[i + o]], first.emb[j][tokens[i + o]]):
                     unmoved.append((t, i, o))
     assert not unmoved
+
+
+@pytest.mark.parametrize("listed", [1 << 17, 300, 0])
+def test_lm_tells_bucketed_words_apart(spark, monkeypatch, listed):
+    """Brute force of p(bucket) * p(word in bucket), with all, some and none of the counts held by the tasks."""
+    monkeypatch.setattr(lm, "LISTED", listed)
+    texts = [" ".join(f"w{i}" for i in range(a, a + 200)) for a in range(0, 1600, 100)] + ["rare " * 3 + "w1 once", "x" * 100 + " y " + "x" * 100, None, "", "w1590 rare w1590"]
+    rows = list(enumerate(texts)) + [(None, "rare"), (3, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocab, net = lm.train(docs, fit_docs=0)
+    counts = Counter(w for _, t in rows for w in lm.tokens_of(t))
+    token = {w: int(lm.encode(vocab, w)[0]) for w in counts}
+    bucketed = Counter()
+    for w, n in counts.items():
+        bucketed[token[w]] += n * (token[w] >= vocab.first)
+    assert len(vocab.listed) <= listed and sum(t >= vocab.first for t in token.values()) > 600
+    rows.append((77, "never w1 seen rare"))
+    got = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), vocab, net).collect()
+
+    def plain(t):
+        row, at = lm.padded_row([lm.encode(vocab, t)])
+        within = [np.log(max(1, counts[w]) / (bucketed[k] + 1)) for w, k in zip(lm.tokens_of(t), lm.encode(vocab, t).tolist()) if k >= vocab.first]
+        return net.log_probabilities(row, at).sum() + sum(within)
+
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    want = sorted(((i, len(lm.tokens_of(t)), plain(t)) for i, t in rows), key=order)
+    got = sorted(((r.doc_id, r.n_tokens, r.log_probability) for r in got), key=order)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-3)
