@@ -30,7 +30,8 @@ VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 #: Fields that a header has once; a second one is that of another record.
 SINGLE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 MEMBER = b"\x1f\x8b\x08"
-HEADER_MOST = 1 << 16
+#: Bytes in which a header's end is looked for first; longer headers are read on in growing windows.
+HEADER_FIRST = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_SCHEMA = (
@@ -165,12 +166,16 @@ class Window:
 
 def _parse(read, at: int, end: int | None) -> tuple[dict, int]:
     """The record at `at` of what read(at, n) gives, and where it ends. Raises Bad."""
-    head = read(at, HEADER_MOST)
+    head, asked = read(at, HEADER_FIRST), HEADER_FIRST
     if not VERSION_LINE.match(head):
         raise Bad("no version line")
     stop = head.find(b"\r\n\r\n")
-    if stop < 0:
-        raise Bad("header without end")
+    while stop < 0:
+        if len(head) < asked:  # the file or member ends here
+            raise Bad("header without end")
+        seen, asked = len(head), 2 * asked
+        head = read(at, asked)
+        stop = head.find(b"\r\n\r\n", seen - 3)
     fields: dict[str, str] = {}
     for line in head[:stop].split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")

@@ -163,3 +163,20 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {k for k, _ in docs} - {w[0] for w in want}
     assert contamination.contaminated(d.limit(0), b).count() == 0 and contamination.contaminated(d, b.limit(0)).count() == 0
     assert contamination.without_items(d, b.limit(0)).count() == d.count()
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_headers_of_any_length(spark, compress):
+    """Urls around and above the first window come back whole, also where a revisit refers to such a record."""
+    urls = ["http://a/" + "x" * n for n in (65_000, 65_536, 70_000, 300_000)] + ["http://a/" + "é" * 50_000, "http://a/", "http://b/" + "y" * 2_000_000]
+    rows = [(i, u, "same" if i in (2, 3) else f"<p>{i}</p>") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = warc.read_archives(warc.write_archives(pages, compress=compress)).collect()
+    assert {r.status for r in got} == {"ok"} and sorted(r.target_uri for r in got) == sorted(urls)
+    assert [(r.record_id, r.refers_to) for r in got if r.record_type == "revisit"] == [("urn:page:2", "urn:page:3")]
+
+
+def test_warc_header_cut_off_above_the_window():
+    data = warc.record_bytes("urn:page:1", "http://a/" + "x" * 200_000, b"<p>1</p>")
+    got = list(warc.salvage(io.BytesIO(data[:150_000]), 150_000))
+    assert [(r["status"], r["reason"], r["length"]) for r in got] == [("quarantined", "header without end", 150_000)]
