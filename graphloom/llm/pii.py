@@ -28,7 +28,8 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 DATE = r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-])"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)(?!\w)"
 CARD = r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?!\w)"
-SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+#: Hexadecimal in small letters or in capitals.
+SECRET = r"(?<![A-Za-z0-9])(?:(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}|(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{32,64})(?![A-Za-z0-9])"
 #: In this order of preference where two kinds begin at one place.
 PATTERN = "|".join((EMAIL, KEY, PHONE, SSN, DATE, IP, CARD, SECRET))
 #: A text without any of these has nothing to find.
@@ -73,13 +74,13 @@ def _by_signs(text: Column, key: str, kind: str, sizes: Callable[[Column, Column
     return F.array_join(F.zip_with(plan, moved, lambda p, m: F.when(p["n"] > 1, F.char(p["lo"] + m)).otherwise(p["c"])), "")
 
 
-def _classes(lower: int = 26) -> Callable[[Column, Column, Column], tuple[Column, Column]]:
+def _classes(letters: int = 26) -> Callable[[Column, Column, Column], tuple[Column, Column]]:
     """Digits, capitals, small letters and Latin-1 small letters stay what they are; all else is kept."""
 
     def sizes(c: Column, j: Column, signs: Column) -> tuple[Column, Column]:
         a = F.ascii(c)
-        ladder = lambda v: F.when(a.between(48, 57), v[0]).when(a.between(65, 90), v[1]).when(a.between(97, 96 + lower), v[2]).when(a.between(224, 246), v[3])
-        return ladder((48, 65, 97, 224)).otherwise(0), ladder((10, 26, lower, 23)).otherwise(1)
+        ladder = lambda v: F.when(a.between(48, 57), v[0]).when(a.between(65, 64 + letters), v[1]).when(a.between(97, 96 + letters), v[2]).when(a.between(224, 246), v[3])
+        return ladder((48, 65, 97, 224)).otherwise(0), ladder((10, letters, letters, 23)).otherwise(1)
 
     return sizes
 
@@ -165,7 +166,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(at > 0, F.concat(_by_signs(local, key, "email", _classes()), F.substring(m, at, F.length(m))))
         .when(m.rlike(r"^A[KS]IA[A-Z0-9]{16}$"), F.concat(F.substring(m, 1, 4), _by_signs(F.substring(m, 5, 16), key, "key", _classes())))
-        .when(m.rlike(r"^[0-9a-f]{32,64}$") & m.rlike("[a-f]"), _by_signs(m, key, "secret", _classes(6)))
+        .when(m.rlike(r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$") & m.rlike("[a-fA-F]"), _by_signs(m, key, "secret", _classes(6)))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
         .when(m.rlike(r"^(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})$"), F.coalesce(F.replace(dated, F.lit("#"), sep), m))
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), _ip(m, key))

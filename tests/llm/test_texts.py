@@ -185,3 +185,14 @@ def test_native_plan_and_clashing_columns(spark, private):
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_hexadecimal_tokens_in_capitals(spark):
+    small = [hashlib.sha256(str(i).encode()).hexdigest()[: 32 + i % 33] for i in range(60)]
+    texts = [f'TOKEN = "{t.upper()}"' for t in small] + [f'token = "{t}"' for t in small]
+    kept = [f"mixed {small[0].upper()[:20]}{small[0][20:]}a{small[1].upper()}", "short 9233A8EC", "digits " + "1" * 40, "letters " + "ABCDEF" * 6]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + kept)], "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    assert got[120:] == kept and len(set(got)) == len(got)
+    for a, b in zip(texts, got[:120]):
+        assert a != b and shape(a) == shape(b) and re.fullmatch('TOKEN = "[0-9A-F]+"|token = "[0-9a-f]+"', b), b
