@@ -1,7 +1,8 @@
 """Name resolution of Python code as joins: imports, re-exports, references, dependencies.
 
 Inputs are the tables of graphloom.plans.codegraph. Every build side is made unique by (key, last id wins) before it is
-joined, so a ladder never repeats a row. Fixed-point loops are bounded and cut their lineage each round.
+joined, so a ladder never repeats a row. Fixed-point loops cut their lineage each round and go on until nothing
+changes; one that comes back to an earlier state raises.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from graphloom.functions import scalar as S
 from graphloom.lineage import cut, digest, is_empty
 from graphloom.operators.joins import last_wins
 
-MAX_ROUNDS = 256
-
 
 def _modules(files: DataFrame) -> DataFrame:
     return files.where("module_name is not null").groupBy(F.col("module_name").alias("m")).agg(F.max("id").alias("mf"))
@@ -42,7 +41,7 @@ def resolve_imports(files: DataFrame, symbols: DataFrame, imports: DataFrame, al
     found = f.select(F.col("id").alias("import_id"), F.col("file_id").alias("source_file_id"), target.alias("target_file_id"), F.when(own, F.col("ts")).alias("target_symbol_id")).where("target_file_id is not null")
     res = cut(plain.unionAll(found))
     kept = imports.select(F.col("id").alias("iid"), "kind", "name", "alias", "module")
-    for _ in range(MAX_ROUNDS):  # names that another file only re-exports
+    while True:  # names that another file only re-exports; each round but the last resolves an import
         exported = exports_by_file(symbols, imports, res, all_exports).select(F.col("file_id").alias("ef"), F.col("name").alias("en"), F.col("symbol_id").alias("es"))
         j = res.join(kept, F.col("import_id") == F.col("iid")).drop("iid")
         open_ = (F.col("kind") == "from_import") & F.col("target_symbol_id").isNull() & (F.col("name") != "*")
@@ -72,13 +71,17 @@ def exports_by_file(symbols: DataFrame, imports: DataFrame, resolutions: DataFra
         return exports
     fixed, state = cut(fixed), digest(exports)
     limited = all_exports.select(F.col("file_id").alias("lf")).distinct()
-    for _ in range(MAX_ROUNDS):
+    seen = {state}
+    while True:
         visible = exports.join(limited, F.col("file_id") == F.col("lf"), "left_anti").unionAll(exports.join(all_exports, ["file_id", "name"], "left_semi"))
         pulled = stars.join(visible.select(F.col("file_id").alias("vf"), "name", "symbol_id"), F.col("target_file_id") == F.col("vf")).select("file_id", "name", "symbol_id", "rank")
         exports = cut(last_wins(fixed.unionAll(pulled), ["file_id", "name"], ["rank"]).select("file_id", "name", "symbol_id"))
         before, state = state, digest(exports)
         if state == before:
             break
+        if state in seen:
+            raise RuntimeError("wildcard exports did not settle")
+        seen.add(state)
     return exports
 
 

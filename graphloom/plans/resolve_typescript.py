@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalar as S
 from graphloom.lineage import cut, digest, is_empty
 from graphloom.operators.joins import last_wins
-from graphloom.plans.resolve import MAX_ROUNDS, _top
+from graphloom.plans.resolve import _top
 
 NO_LONG = F.lit(None).cast("long")
 
@@ -70,12 +70,16 @@ def exported(symbols: DataFrame, exports: DataFrame, resolutions: DataFrame) ->
     if is_empty(stars):
         return out
     state = digest(out)
-    for _ in range(MAX_ROUNDS):
+    seen = {state}
+    while True:
         pulled = stars.join(out.where("name <> 'default'"), F.col("tf") == F.col("file_id")).select(F.col("sf").alias("file_id"), "name", "symbol_id", "rank")
         out = cut(last_wins(fixed.unionAll(pulled), ["file_id", "name"], ["rank", "symbol_id"]).select("file_id", "name", "symbol_id"))
         before, state = state, digest(out)
         if state == before:
             break
+        if state in seen:
+            raise RuntimeError("wildcard exports did not settle")
+        seen.add(state)
     return out
 
 
@@ -88,7 +92,8 @@ def resolve_imports(files: DataFrame, symbols: DataFrame, imports: DataFrame, ex
     res = found.withColumn("target_symbol_id", NO_LONG)
     state = digest(res)
     again = not is_empty(exports.where("import_id is not null"))
-    for _ in range(MAX_ROUNDS):
+    seen = {state}
+    while True:
         names = exported(symbols, exports, res).select(F.col("file_id").alias("ef"), F.col("name").alias("en"), F.col("symbol_id").alias("es"))
         j = asked.join(names, (F.col("target_file_id") == F.col("ef")) & (F.col("wanted") == F.col("en")), "left")
         j = j.join(top, (F.col("target_file_id") == F.col("tf")) & (F.col("wanted") == F.col("tn")), "left")
@@ -96,6 +101,9 @@ def resolve_imports(files: DataFrame, symbols: DataFrame, imports: DataFrame, ex
         before, state = state, digest(res)
         if state == before or not again:  # without re-exports nothing can change again
             break
+        if state in seen:
+            raise RuntimeError("re-exports did not settle")
+        seen.add(state)
     return res
 
 

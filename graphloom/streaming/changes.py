@@ -62,14 +62,14 @@ def inverse_changes(changes: DataFrame, before: DataFrame) -> DataFrame:
     )
 
 
-def affected(references: DataFrame, changed_files: DataFrame, symbols: DataFrame, max_rounds: int = 64) -> DataFrame:
+def affected(references: DataFrame, changed_files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file_id) whose resolution may change with the changed files: they, and files that refer to them, to a fixed point."""
     from graphloom.operators.traversal import reach
 
     at = symbols.select(F.col("id").alias("target_symbol_id"), F.col("file_id").alias("src"))
     e = references.join(at, "target_symbol_id").select("src", F.col("source_file_id").alias("dst")).where("src <> dst").distinct()
     start = changed_files.select(F.col("file_id").alias("node")).distinct()
-    return reach(e, start, max_rounds).select(F.col("node").alias("file_id")).unionAll(start.select(F.col("node").alias("file_id"))).distinct()
+    return reach(e, start).select(F.col("node").alias("file_id")).unionAll(start.select(F.col("node").alias("file_id"))).distinct()
 
 
 class Repository:

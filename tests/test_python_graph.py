@@ -116,3 +116,13 @@ def test_odd_literals_and_offsets(spark):
     g = CodeGraph.from_files(spark, {"x.py": "a = '\\udcff'\r\ndef f():\r\n    '\\ud800'\r\n    return 'é', a\r\n", "y.py": b"b = '\xff'\n", "z.py": "x = 1\x0c\ny = 2\n"})
     assert [r.value for r in g.string_literals.where("file_id = 0").orderBy("start_byte").collect()] == ["\\udcff", "\\ud800", "é"]
     assert g.files.where("has_error").count() == 0 and g.references.where("name = 'a'").count() == 1
+
+
+def test_long_chains_of_reexports_are_resolved(spark, monkeypatch):
+    from graphloom.plans import resolve
+
+    monkeypatch.setattr(resolve, "MAX_ROUNDS", 2, raising=False)  # rounds are not limited, so a limit changes nothing
+    files = {"m0.py": "def f():\n    pass\n"} | {f"m{i}.py": f"from m{i - 1} import f\n" for i in range(1, 7)}
+    got = CodeGraph.from_files(spark, files)
+    found = rows(got.import_resolutions, "target_symbol_id")
+    assert found == [(0,)] * 6

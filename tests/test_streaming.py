@@ -91,3 +91,10 @@ def test_watched_files(spark, tmp_path, folder):
     q.processAllAvailable()
     q.stop()
     assert [r.path for r in spark.table("watched").collect()] == ["sub/a.py"]
+
+
+def test_affected_files_follow_long_chains(spark):
+    symbols = spark.range(70).select("id", F.col("id").alias("file_id"))
+    references = spark.range(1, 70).select(F.col("id").alias("source_file_id"), (F.col("id") - 1).alias("target_symbol_id"))
+    got = C.affected(references, spark.createDataFrame([(0,)], "file_id long"), symbols)
+    assert rows(got, "file_id") == sorted([(i,) for i in range(70)], key=repr)
