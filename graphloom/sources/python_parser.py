@@ -7,6 +7,7 @@ parse yields no records but an error flag, so its row in the files table remains
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import warnings
 from dataclasses import dataclass, field
@@ -396,7 +397,8 @@ class Extractor:
         elif isinstance(node, ast.Name):
             rows.append(("operand", node.id))
         elif isinstance(node, ast.Constant) and hasattr(node, "lineno"):
-            rows.append(("operand", repr(node.value)[:64]))
+            text = repr(node.value)  # a long one goes by its hash
+            rows.append(("operand", text if len(text) <= 64 else f"sha256:{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"))
         if not rows:
             return
         if not hasattr(node, "lineno"):

@@ -7,6 +7,7 @@ no local binding shadows, calls, parameters, members, statements, JSX elements a
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 import sys
 from dataclasses import dataclass, field
@@ -410,7 +411,8 @@ class Extractor:
         if node.kind in ("assign", "unary") and node.text:
             rows.append(("operator", node.text))
         if node.kind in ("number", "string"):
-            rows.append(("operand", self.source(node)[:64]))
+            text = self.source(node)  # a long one goes by its hash
+            rows.append(("operand", text if len(text) <= 64 else f"sha256:{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"))
         if rows:
             sid = self.owner(node.start, node.end)
             self.out.tokens += [{"symbol_id": sid, "group": g, "token": v} for g, v in rows]

@@ -126,3 +126,9 @@ def test_long_chains_of_reexports_are_resolved(spark, monkeypatch):
     got = CodeGraph.from_files(spark, files)
     found = rows(got.import_resolutions, "target_symbol_id")
     assert found == [(0,)] * 6
+
+
+def test_long_constants_are_told_apart(spark):
+    long = "x" * 100
+    tokens = CodeGraph.from_files(spark, {"a.py": f"def f():\n    return '{long}1' + '{long}2' + '{long}1'\n"}).tokens.where("group = 'operand' and token like 'sha256:%'").collect()
+    assert len(tokens) == 3 and len({t.token for t in tokens}) == 2

@@ -98,3 +98,9 @@ def test_broken_statement_does_not_lose_the_rest():
 def test_offsets_are_bytes():
     x = extract("const é = 1; const b = é;\n")
     assert (x.candidates[0]["range"]["start_byte"], x.candidates[0]["range"]["end_byte"]) == (24, 26)
+
+
+def test_long_constants_are_told_apart(spark):
+    long = "x" * 100
+    tokens = CodeGraph.from_files(spark, {"a.ts": f"function f() {{ return '{long}1' + '{long}2' + '{long}1' }}\n"}, language="typescript").tokens.where("group = 'operand' and token like 'sha256:%'").collect()
+    assert len(tokens) == 3 and len({t.token for t in tokens}) == 2
