@@ -1,9 +1,11 @@
 """WARC archives: a writer that replaces repeated payloads by revisit records, and a salvage reader.
 
 The reader checks each record (gzip member, version line, header, block length, end mark, digests). After a failed
-check it searches the bytes for the next member or version line at which a whole record passes all checks, goes on from
-there, and returns the bytes between as a quarantined gap. Files are read through windows, so an archive's size doesn't
-matter; a single record must fit in memory.
+check it searches the bytes, those that a gzip member inflates to or else the file's, for the next version line or member
+at which a whole record passes all checks, goes on from there, and returns the bytes between as a quarantined gap. A
+member's records are given as it inflates, so those before a damaged place are kept, and those after a damaged record of
+a whole member too. Files are read through windows, so the size of an archive or of a member doesn't matter; a single
+record must fit in memory.
 """
 
 from __future__ import annotations
@@ -32,10 +34,14 @@ SINGLE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 MEMBER = b"\x1f\x8b\x08"
 #: Bytes in which a header's end is looked for first; longer headers are read on in growing windows.
 HEADER_FIRST = 1 << 16
+#: Deflate makes at most so many bytes of one.
+RATIO = 1032
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: offset and length: bytes of the file, for records of a gzip member those of the member, and place is then where the
+#: record or gap begins among the bytes that the member inflates to (size: how many of them; null where they end with it).
 RECORD_SCHEMA = (
-    "archive string, offset long, length long, status string, reason string, record_id string, record_type string, "
+    "archive string, offset long, length long, place long, size long, status string, reason string, record_id string, record_type string, "
     "target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 )
 
@@ -45,6 +51,43 @@ def digest_of(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _decoded(value: str, size: int) -> bytes | None:
+    """The bytes of a digest of `size` bytes, written in hexadecimal, base32 or base64; None if it is none of them."""
+    bare = value.rstrip("=")
+    try:
+        if len(bare) == 2 * size:
+            return bytes.fromhex(bare)
+        if len(bare) == -(-8 * size // 5):
+            return base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+        if len(bare) == -(-4 * size // 3):
+            return base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+    except ValueError:
+        pass
+    return None
+
+
+def same_digest(said: str | None, data: bytes) -> bool:
+    """Whether a digest field (algorithm:value, SHA-1 where no algorithm is named) is that of the data.
+
+    Absent fields and those of an algorithm that this machine doesn't know say nothing, which passes.
+    """
+    algorithm, colon, value = (said or "").strip().partition(":")
+    if not colon:
+        algorithm, value = "sha1", algorithm
+    algorithm = algorithm.lower().replace("-", "")
+    if not value or algorithm not in hashlib.algorithms_available or algorithm.startswith("shake"):
+        return True
+    own = hashlib.new(algorithm, data).digest()
+    return _decoded(value, len(own)) == own
+
+
+def bare_digest(said: str) -> str:
+    """A SHA-1 field as bare upper-case base32; other fields as they are."""
+    algorithm, colon, value = said.partition(":")
+    found = _decoded(value if colon else algorithm, 20) if algorithm.lower() in ("sha1", "sha-1") or not colon else None
+    return base64.b32encode(found).decode() if found else said
+
+
 def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
@@ -196,8 +239,7 @@ def _parse(read, at: int, end: int | None) -> tuple[dict, int]:
     if read(at + stop + 4 + n, 4) != b"\r\n\r\n":
         raise Bad("no end mark after the block")
     kind = fields.get("warc-type", "")
-    want = fields.get("warc-block-digest", "").removeprefix("sha1:")
-    if want and want != digest_of(block):
+    if not same_digest(fields.get("warc-block-digest"), block):
         raise Bad("block digest differs")
     payload, payload_bytes = block, len(block)
     if fields.get("content-type", "").startswith("application/http"):
@@ -206,11 +248,14 @@ def _parse(read, at: int, end: int | None) -> tuple[dict, int]:
             raise Bad("HTTP header without end")
         said = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http.replace(b"\r\n", b"\n"))
         payload_bytes = int(said[1]) if said else len(payload)
-    want = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    want = fields.get("warc-payload-digest", "")
     if kind != "revisit":
         payload_bytes = len(payload)
-        if want and want != digest_of(payload):
+        if not same_digest(want, payload):
             raise Bad("payload digest differs")
+        want = digest_of(payload)
+    else:
+        want = bare_digest(want)
     bare = lambda x: x.strip("<>") if x else None
     return {
         "record_id": bare(fields.get("warc-record-id")),
@@ -223,70 +268,168 @@ def _parse(read, at: int, end: int | None) -> tuple[dict, int]:
     }, at + stop + 4 + n + 4
 
 
-def _member(window: Window, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member at `at`, and where it ends. Raises Bad."""
-    d, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof:
-            piece = window.read(pos, WINDOW >> 2)
+def _up_to_damage(inflater, piece: bytes) -> bytes:
+    """What a piece gives before the place at which it fails."""
+    out, at = bytearray(), 0
+    for step in (4096, 64, 1):
+        while at < len(piece):
+            before = inflater.copy()
+            try:
+                out += inflater.decompress(piece[at : at + step])
+            except zlib.error:
+                inflater = before
+                break
+            at += step
+    return bytes(out)
+
+
+class Inflated:
+    """Reads of what a gzip member inflates to; bytes before the last place asked for may be gone."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.pos, self.at, self.held = window, at, 0, bytearray()
+        self.inflater = zlib.decompressobj(31)
+        self.broken: str | None = None
+
+    def read(self, at: int, n: int) -> bytes:
+        while len(self.held) < at + n - self.at and not self.inflater.eof and not self.broken:
+            piece = self.window.read(self.pos, WINDOW >> 2 if self.held else WINDOW >> 5)
             if not piece:
-                raise Bad("gzip member is cut off")
-            out.append(d.decompress(piece))
-            pos += len(piece)
-    except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
-    data = b"".join(out)
-    records, p = [], 0
-    while p < len(data):
-        record, p = _parse(lambda a, n: data[a : a + n], p, len(data))
-        records.append(record)
-    if not records:
-        raise Bad("empty gzip member")
-    return records, pos - len(d.unused_data)
+                self.broken = "gzip member is cut off"
+                break
+            before = self.inflater.copy()
+            try:
+                self.held += self.inflater.decompress(piece)
+            except zlib.error as e:
+                self.broken = f"gzip: {e}"
+                self.held += _up_to_damage(before, piece)
+            self.pos += len(piece)
+        return bytes(self.held[at - self.at : at - self.at + n])
+
+    def forget(self, before: int) -> None:
+        del self.held[: before - self.at]
+        self.at = before
+
+    def find(self, at: int) -> int | None:
+        """The next version line's place, or None."""
+        while True:
+            piece = self.read(at, WINDOW)
+            p = piece.find(VERSION)
+            if p >= 0:
+                return at + p
+            if len(piece) < WINDOW:
+                return None
+            at += len(piece) - len(VERSION) + 1
+            self.forget(at)
+
+    @property
+    def end(self) -> int:
+        """Where the member ends in the file."""
+        return self.pos - len(self.inflater.unused_data)
+
+    @property
+    def most(self) -> int:
+        """A bound of the inflated bytes."""
+        return self.at + len(self.held) + (0 if self.inflater.eof else RATIO * (self.window.size - self.pos))
+
+
+def _member(window: Window, at: int) -> Iterator[dict]:
+    """Records and gaps of the gzip member at `at`, in places of its inflated bytes; the last row may be a gap that ends with the bytes."""
+    member, p = Inflated(window, at), 0
+    while member.read(p, 1):
+        q, reason = p, None
+        while True:
+            try:
+                member.read(q, HEADER_FIRST)
+                record, end = _parse(member.read, q, member.most)
+                break
+            except Bad as e:
+                reason = reason or str(e)
+                q = member.find(q + 1)
+                if q is None:
+                    whole = {} if member.broken else {"size": member.at + len(member.held) - p}
+                    yield {"place": p, "status": "quarantined", "reason": member.broken or reason} | whole
+                    if whole:
+                        yield {"end": member.end}
+                    return
+        if reason:
+            yield {"place": p, "size": q - p, "status": "quarantined", "reason": reason}
+        yield record | {"place": q, "size": end - q, "status": "ok"}
+        member.forget(end)
+        p = end
+    if member.broken or not p:
+        yield {"place": p, "status": "quarantined", "reason": member.broken or "empty gzip member"}
+        return
+    yield {"end": member.end}
 
 
 def salvage(source, size: int) -> Iterator[dict]:
-    """Records and quarantined gaps of one archive, in the order of their offsets."""
-    window = Window(source, size)
-
-    def at_place(pos: int) -> tuple[list[dict], int]:
-        if window.read(pos, 3) == MEMBER:
-            return _member(window, pos)
-        record, end = _parse(window.read, pos, size)
-        return [record], end
+    """Records and quarantined gaps of one archive, in the order of their offsets.
 
+    Records of a gzip member have the member's offset, and its length unless the member is damaged. A member with a
+    damaged end is quarantined from the last place of its inflated bytes that passed the checks; the bytes of the file
+    are then searched for the next member or version line.
+    """
+    window = Window(source, size)
     pos = 0
     while pos < size:
-        try:
-            records, end = at_place(pos)
-        except Bad as e:
-            reason, start = str(e), pos
-            while True:
-                pos = window.find((MEMBER, VERSION), pos + 1)
-                if pos >= size:
-                    records, end = [], size
-                    break
-                try:
-                    records, end = at_place(pos)
+        start, reason, place = pos, None, None
+        if window.read(pos, 3) == MEMBER:
+            rows, end = [], None
+            held = 0
+            for r in _member(window, pos):
+                if "end" in r:
+                    end = r["end"]
+                elif r["status"] == "ok" or "size" in r:
+                    rows.append(r)
+                    held += len(r.get("payload") or b"")
+                else:
+                    reason, place = r["reason"], r["place"]
+                if held > 8 << 20:  # a member of many records: its end isn't known yet
+                    yield from (x | {"offset": pos} for x in rows)
+                    rows, held = [], 0
+            length = {"length": end - pos} if end is not None else {}
+            yield from (x | {"offset": pos} | length for x in rows)
+            if end is not None:
+                pos = end
+                continue
+        else:
+            try:
+                record, end = _parse(window.read, pos, size)
+                yield record | {"offset": pos, "length": end - pos, "status": "ok"}
+                pos = end
+                continue
+            except Bad as e:
+                reason = str(e)
+        while pos < size:  # on to the next place at which a record passes all checks
+            pos = window.find((MEMBER, VERSION), pos + 1)
+            if pos >= size:
+                break
+            if window.read(pos, 3) == MEMBER:
+                if any(r.get("status") == "ok" for r in _member(window, pos)):
                     break
-                except Bad:
-                    continue
-            yield {"offset": start, "length": pos - start, "status": "quarantined", "reason": reason}
-        for r in records:
-            yield r | {"offset": pos, "length": end - pos, "status": "ok"}
-        pos = end
+                continue
+            try:
+                _parse(window.read, pos, size)
+                break
+            except Bad:
+                continue
+        pos = min(pos, size)
+        yield {"offset": start, "length": pos - start, "place": place, "status": "quarantined", "reason": reason}
 
 
 def read_archives(archives: DataFrame, path_col: str = "archive") -> DataFrame:
     """All records and gaps of the archives in rows of RECORD_SCHEMA.
 
-    A gap has status quarantined, its offset, length and the failed check, and null in the record's columns. Null paths
+    A gap has status quarantined, its offset, length and the failed check, and null in the record's columns; one within a
+    gzip member has its place among the inflated bytes besides. Length is null for records of a member that is damaged or
+    of so many bytes that they are given before its end is known. Null paths
     are skipped, an empty archive gives no row, a path named twice is read twice.
     """
     spark = archives.sparkSession
     tune(spark)
     names = [x.strip().split(" ")[0] for x in RECORD_SCHEMA.split(",")]
-    types = {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+    types = {"offset": pa.int64(), "length": pa.int64(), "place": pa.int64(), "size": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(rows: list[dict]) -> pa.RecordBatch:

@@ -180,3 +180,47 @@ def test_warc_header_cut_off_above_the_window():
     data = warc.record_bytes("urn:page:1", "http://a/" + "x" * 200_000, b"<p>1</p>")
     got = list(warc.salvage(io.BytesIO(data[:150_000]), 150_000))
     assert [(r["status"], r["reason"], r["length"]) for r in got] == [("quarantined", "header without end", 150_000)]
+
+
+def test_salvage_within_a_member():
+    parts = records(5, False)
+    bad = bytearray(parts[1])
+    bad[-30] ^= 0xFF
+    name = lambda got: [r["record_id"] for r in got if r["status"] == "ok"]
+    two = read(gzip.compress(bytes(bad) + parts[2]) + gzip.compress(parts[3]))
+    assert name(two) == ["urn:page:2", "urn:page:3"]
+    gap = [r for r in two if r["status"] == "quarantined"]
+    assert [(g["offset"], g["place"], g["size"]) for g in gap] == [(0, 0, len(parts[1]))]
+    # three records in one member that is cut off: those that inflate whole are kept
+    rng = np.random.default_rng(3)
+    big = [warc.record_bytes(f"urn:page:{i}", "u", rng.bytes(40_000)) for i in range(3)]
+    cut = gzip.compress(b"".join(big))[:-12]
+    got = read(cut + gzip.compress(parts[0]))
+    assert name(got) == ["urn:page:0", "urn:page:1", "urn:page:0"]
+    gap = [r for r in got if r["status"] == "quarantined"]
+    assert [(g["offset"], g["length"], g["place"]) for g in gap] == [(0, len(cut), len(big[0]) + len(big[1]))]
+    # a damaged place in the compressed bytes: the records before it
+    broken = bytearray(gzip.compress(b"".join(big)))
+    broken[100_000] ^= 0xFF
+    assert name(read(bytes(broken)))[:2] == ["urn:page:0", "urn:page:1"]
+    # garbage at the end of a whole member
+    tail = read(gzip.compress(parts[0] + b"rubbish") + gzip.compress(parts[1]))
+    assert name(tail) == ["urn:page:0", "urn:page:1"] and [(r["place"], r["size"]) for r in tail if r["status"] != "ok"] == [(len(parts[0]), 7)]
+
+
+@pytest.mark.parametrize("block", ["sha256:{sha256}", "sha1:{sha1}", "md5:{md5}", "blake9:xyz", "SHA1:{b32}"])
+def test_digests_of_other_algorithms(block):
+    data = b"hello"
+    said = block.format(sha256=hashlib.sha256(data).hexdigest(), sha1=hashlib.sha1(data).hexdigest(), md5=hashlib.md5(data).hexdigest(), b32=base64.b32encode(hashlib.sha1(data).digest()).decode().lower())
+    record = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nWARC-Block-Digest: {said}\r\nWARC-Payload-Digest: {said}\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n".encode()
+    assert [r["status"] for r in read(record)] == ["ok"]
+    if "blake9" not in block:
+        assert [r["status"] for r in read(record.replace(b"hello\r\n", b"hullo\r\n"))] == ["quarantined"]
+
+
+def test_top_k_is_exact_on_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) / 1024 for x in 2**26 - 1 - rng.integers(0, 300, 64)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 100 == 0, k=10).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == plain_top(rows, [0, 100, 200], 10)
