@@ -5,7 +5,11 @@ lies in one range. For a query the segments are processed by descending impact o
 the least the dimension can add, and every vector's processed postings are summed up at their segments' lower bounds. A
 vector's score is at most its sum plus the width of each segment it was met in, plus what the next segments can add in
 the other dimensions. Once few vectors can still reach the k-th best lower bound (of this block, or an exact score that
-k vectors of earlier blocks reach), which proves that no other is a member, those few are scored exactly.
+k vectors of earlier blocks reach), which proves that no other is a member, those few are scored exactly, in whole
+numbers. Bounds are floating-point sums; where they may be rounded, the proof leaves more room than the rounding takes.
+
+Candidates are packed into blocks and queries written to the shared folder once; a task indexes each of its blocks once
+and reads all queries past it.
 """
 
 from __future__ import annotations
@@ -14,13 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import fresh_path
 
+#: Vectors of one index, and queries that are read at once.
 BLOCK_ROWS = 16384
 QUERY_BLOCK = 1024
+#: Queries, at most, whose best scores a task carries from one of its blocks to the next.
+CARRIED = 1 << 17
 LEVELS = 64
 #: Shares of the postings after which the proof is tried, and the members per result that end the search early.
 STAGES = (0.25, 0.5, 0.7, 0.85, 1.0)
@@ -31,9 +40,10 @@ class ImpactIndex:
     """Posting segments of one block; x: whole numbers, a row per vector."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x.astype(np.float64)  # whole numbers whose products and sums stay exact
+        self.ids, self.x = ids, x
         n, dims = x.shape
         lo, hi = x.min(axis=0), x.max(axis=0)
+        self.high = np.maximum(np.abs(lo.astype(np.float64)), np.abs(hi.astype(np.float64)))
         step = np.maximum(1, -((lo - hi - 1) // LEVELS))
         self.level = ((x - lo) // step).astype(np.int64)
         by_level = np.argsort(self.level, axis=0, kind="stable")
@@ -56,6 +66,10 @@ class ImpactIndex:
         """
         n, dims = self.x.shape
         q = np.zeros(dims, np.int64) + np.pad(q[:dims], (0, max(0, dims - len(q))))
+        largest = float(self.high @ np.abs(q.astype(np.float64)))
+        if largest >= 2.0**62:
+            raise OverflowError("inner products beyond 64 bits")
+        room = largest * dims * 2.0**-48 if largest >= 2.0**50 else 0.0  # more than all rounding of the sums below
         qd = q[self.dim]
         high, low = np.maximum(qd * self.least, qd * self.most), np.minimum(qd * self.least, qd * self.most)
         floor = np.full(dims, np.iinfo(np.int64).max)  # the least that a dimension adds
@@ -79,7 +93,8 @@ class ImpactIndex:
             open_ = np.zeros(dims, np.int64)  # of a dimension in which the vector is still to come
             np.maximum.at(open_, self.dim[rest], impact[rest])
             lower = base + sums
-            theta = max(known, np.partition(lower[candidate], -k)[-k]) if candidate.sum() > k else known
+            theta = max(known, np.partition(lower[candidate], -k)[-k] - room) if candidate.sum() > k else known
+            theta -= room
             members = np.flatnonzero(candidate & (lower + float(np.maximum(slack, open_).sum()) >= theta))
             if len(members) * 4 > n and len(rest):
                 continue  # too many to look at one by one
@@ -90,9 +105,9 @@ class ImpactIndex:
             members = members[most >= theta]
             if len(members) <= FEW * k:
                 break
-        scores = self.x[members] @ q.astype(np.float64)
+        scores = self.x[members] @ q
         best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members][best], scores[best].astype(np.int64)
+        return self.ids[members][best], scores[best]
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -117,62 +132,72 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return out
 
 
+def _block(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of the rows."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    x = _matrix(table.column(1).chunk(0))
+    return table.column(0).to_numpy(), x if x.shape[1] else np.zeros((len(x), 1), np.int64)
+
+
 def exact_top_k(df: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """Rows (query_id, rank, id_col, score): the k largest integer inner products of each query with other rows.
 
     query_filter is a condition on df. A query's own row, i.e. every row with its id, is no candidate of it. Ties go to
     the smaller id; fewer than k candidates are all returned. Vectors that are null or hold a null or non-finite
     component, and rows without id, take no part; a shorter vector counts as ending in zeros. Repeated rows are
-    candidates each. Components must stay below 2**26 in magnitude after scaling, so that sums are exact. Queries are
-    sent to the candidates in blocks of QUERY_BLOCK, whatever their number.
+    candidates each. Scores are exact 64-bit sums; vectors whose products could leave 62 bits end the query with an
+    error. Queries are written to the shared folder, and read past every block of candidates QUERY_BLOCK at a time.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
     candidates = quantised(df, id_col, vec_col, scale)
     queries = quantised(df.where(query_filter), id_col, vec_col, scale)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(at, QUERY_BLOCK)
-                m = _matrix(pa.array(part.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([m.astype("<i8").tobytes()]), pa.array([m.shape[1]], pa.int64())],
-                    names=["ids", "data", "dims"],
-                )
-
-    blocks = cut(queries.repartition(1 + queries.count() // QUERY_BLOCK).mapInArrow(pack, schema="ids binary, data binary, dims long"))
+    folder = fresh_path(spark, "queries")
+    queries.write.parquet(folder)
     schema = "query_id long, vid long, score long"
 
-    def search(ids: bytes, data: bytes, dims: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid = np.frombuffer(ids, "<i8")
-            q = np.frombuffer(data, "<i8").reshape(len(qid), dims)
-            held = [np.zeros(0, np.int64)] * len(qid)  # the best scores of earlier blocks of this task
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(pa.array(batch.column(1)))
-                if x.shape[1] == 0:
-                    x = np.zeros((len(x), 1), np.int64)
-                index = ImpactIndex(batch.column(0).to_numpy(zero_copy_only=False), x)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, rows = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, BLOCK_ROWS - rows)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                rows += part.num_rows
+                if rows == BLOCK_ROWS:
+                    yield _block(held)
+                    held, rows = [], 0
+        if rows:
+            yield _block(held)
+
+    def stored() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All queries, some at a time, always in the same order."""
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for f in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet")):
+            with fs.open_input_file(f) as source:
+                for part in pq.ParquetFile(source).iter_batches(QUERY_BLOCK, columns=["vid", "v"]):
+                    if part.num_rows:
+                        yield _block([part])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the best scores of earlier blocks of this task, by number of the query
+        for ids, x in blocks(batches):
+            index, number = ImpactIndex(ids, x), 0
+            for qid, q in stored():
                 out = [[], [], []]
                 for i in range(len(qid)):
-                    found, scores = index.search(q[i], int(qid[i]), k, float(held[i][-1]) if len(held[i]) == k else -np.inf)
-                    held[i] = np.sort(np.concatenate((held[i], scores)))[::-1][:k]
+                    before = held[number] if number < len(held) else np.zeros(0, np.int64)
+                    found, scores = index.search(q[i], int(qid[i]), k, float(before[-1]) if len(before) == k else -np.inf)
+                    if number < CARRIED:
+                        best = np.sort(np.concatenate((before, scores)))[::-1][:k]
+                        held[number : number + 1] = [best]
+                    number += 1
                     out[0].append(np.full(len(found), qid[i]))
                     out[1].append(found)
                     out[2].append(scores)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "vid", "score"])
 
-        return run
-
-    found = None
-    for row in blocks.toLocalIterator():  # one bounded block at a time
-        part = candidates.mapInArrow(search(bytes(row.ids), bytes(row.data), row.dims), schema=schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    found = candidates.mapInArrow(search, schema=schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vid"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vid").alias(id_col), "score")
