@@ -1,11 +1,13 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search with exact verification.
 
-Items are partitioned by their number of distinct word shingles. An item's signature is the m smallest hashes of its
-shingles under one hash order (a bottom-m MinHash); m depends on the partition: if an item of n shingles has at least a
-share t of them in a document, at most n - ceil(t * n) are missing, so one of its n - ceil(t * n) + 1 smallest is there.
-The search is thus complete whatever a document's length, where the usual estimate of containment from equally sized
-signatures loses short items in long documents. A document probes the signatures with all its shingles; candidates are
-verified by exact containment of the shingles themselves.
+Items are partitioned by their number of distinct word shingles, each partition up to twice as large as the one before,
+and every partition has an index and a signature size m of its own. An item's signature is the m smallest hashes of its
+shingles under one hash order (a bottom-m MinHash). If an item of n shingles has at least a share t of them in a document,
+at most n - ceil(t * n) are missing, so m is n - ceil(t * n) + 1 for the largest n of the partition, and a member of it
+whose signature a document meets in fewer than its m less those that may be missing is no candidate. The search is thus
+complete whatever a document's length, where the usual estimate of containment from equally sized signatures loses short
+items in long documents. A document probes every partition with all its shingles; candidates are verified by exact
+containment of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ _in_word[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _POWERS = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FILTER_BITS = 22
+FILTER_BITS = 20
 PART_BYTES = 4 << 20
 
 
@@ -90,12 +92,48 @@ def shingles(words: list[str], width: int) -> set[str]:
     return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
+def missing(n: int, threshold: float) -> int:
+    """How many of n shingles a document may lack."""
+    return n - math.ceil(threshold * n - 1e-9)
+
+
+class Partition:
+    """Items of one shingle width whose numbers of shingles have the same bit length."""
+
+    def __init__(self, sizes: list[int], threshold: float):
+        self.m = missing(max(sizes), threshold) + 1
+        self.hashes: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+
+    def add(self, number: int, distinct: np.ndarray) -> None:
+        """File the m smallest of the item's ascending hashes."""
+        self.hashes.append(distinct[: self.m])
+        self.owners.append(np.full(len(self.hashes[-1]), number))
+
+    def close(self) -> None:
+        h, o = np.concatenate(self.hashes), np.concatenate(self.owners)
+        order = np.argsort(h, kind="stable")
+        self.hash, self.owner = h[order], o[order]
+        self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def met(self, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and items of every signature hash that a shingle hash equals; doc: each shingle's document."""
+        at = np.flatnonzero(self.seen[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        pair = np.unique(np.stack([doc[at].astype(np.uint64), s[at]], axis=1), axis=0)  # a shingle counts once in a document
+        lo, hi = np.searchsorted(self.hash, pair[:, 1], "left"), np.searchsorted(self.hash, pair[:, 1], "right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        which = np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.repeat(pair[:, 0].astype(np.int64), n), self.owner[which]
+
+
 class Signatures:
     """Items by size partition, their bottom-m hashes, and the texts to verify with."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
         self.threshold, self.items = threshold, []
-        by_width: dict[int, tuple[list, list]] = {}
+        found: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for key, text in items:
             words = words_of(text)
             if not words:
@@ -104,32 +142,31 @@ class Signatures:
             own = shingles(words, w)
             hashes, _ = word_hashes(" ".join(words).encode("utf-8", "surrogatepass"))
             distinct = np.unique(shingle_hashes(hashes, w))
-            m = len(distinct) - math.ceil(threshold * len(distinct) - 1e-9) + 1
-            lists = by_width.setdefault(w, ([], []))
-            lists[0].append(distinct[:m])
-            lists[1].append(np.full(m, len(self.items)))
+            found.setdefault((w, len(distinct).bit_length()), []).append((len(self.items), distinct))
             self.items.append((key, w, own))
-        self.index = {}
-        for w, (hashes, owners) in by_width.items():
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-            seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.index[w] = (h[order], o[order], seen)
+        self.partitions: list[tuple[int, Partition]] = []
+        self.least = np.zeros(len(self.items), dtype=np.int64)  # signature hashes that a candidate's document meets
+        for (w, _), members in sorted(found.items()):
+            p = Partition([len(d) for _, d in members], threshold)
+            for number, distinct in members:
+                p.add(number, distinct)
+                self.least[number] = min(p.m, len(distinct)) - missing(len(distinct), threshold)
+            p.close()
+            self.partitions.append((w, p))
 
     def candidates(self, hashes: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) pairs that share a signature hash; owner: the document of each word."""
+        """(document, item) pairs that share enough signature hashes; owner: the document of each word."""
         out: set[tuple[int, int]] = set()
-        for w, (h, items, seen) in self.index.items():
-            s = shingle_hashes(hashes, w)
-            if not len(s):
-                continue
-            at = np.flatnonzero(seen[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            at = at[owner[at] == owner[at + w - 1]]
-            lo, hi = np.searchsorted(h, s[at], "left"), np.searchsorted(h, s[at], "right")
-            for a, i, j in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                doc = int(owner[a])
-                out.update((doc, int(x)) for x in items[i:j])
+        probes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w, p in self.partitions:
+            if w not in probes:
+                s = shingle_hashes(hashes, w)
+                inside = np.flatnonzero(owner[: len(s)] == owner[w - 1 : w - 1 + len(s)])
+                probes[w] = s[inside], owner[inside]
+            docs, items = p.met(*probes[w])
+            pairs, times = np.unique(np.stack([docs, items], axis=1), axis=0, return_counts=True)
+            enough = times >= self.least[pairs[:, 1]]
+            out.update(zip(pairs[enough, 0].tolist(), pairs[enough, 1].tolist()))
         return out
 
 
