@@ -42,14 +42,15 @@ def ladder(probe: DataFrame, rungs: Sequence[tuple[DataFrame, Sequence[tuple[Col
     return df.drop(*hits)
 
 
-def innermost(points: DataFrame, spans: DataFrame, group: str, start: str, end: str, span_id: str, out: str = "container") -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, group: str, start: str, end: str, span_id: str, out: str = "container", itself: bool = True) -> DataFrame:
     """For each row of points the id of the shortest span of its group that holds it, the least id on ties; else null.
 
-    points has a unique column `row`, and group, start and end as spans has. Equality on the group keeps it a hash or
+    Without `itself` a span doesn't hold the point whose row is its id. points has a unique column `row`, and group, start and end as spans has. Equality on the group keeps it a hash or
     sort-merge join with a residual; only (row, id, length) goes through the aggregate.
     """
     s = spans.select(F.col(group).alias("_g"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(span_id).alias("_id"))
     hit = points.select("row", group, start, end).join(s, (F.col(group) == F.col("_g")) & (F.col("_s") <= F.col(start)) & (F.col(end) <= F.col("_e")))
+    hit = hit if itself else hit.where("_id <> row")
     best = hit.groupBy("row").agg(F.min_by("_id", F.struct(F.col("_e") - F.col("_s"), F.col("_id"))).alias(out))
     return points.join(best, "row", "left")
 

@@ -15,13 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar as S
 from graphloom.operators import aggregates as A
+from graphloom.operators import edits as E
 from graphloom.operators import joins as J
+from graphloom.operators import rows as W
 from graphloom.operators import traversal as T
+from graphloom.plans import refactor as R
+from graphloom.plans.codegraph import CodeGraph
+from graphloom.sources import repo
+from graphloom.streaming import changes as C
 
 _registry: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -52,6 +58,11 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def document_sources(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content) of the documents, under their ids."""
+    return t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
 def supply_edges(spark: SparkSession, d: str) -> DataFrame:
     """The bipartite graph of all line items; parts are numbered apart from suppliers."""
     return t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PARTS).alias("dst"))
@@ -79,24 +90,24 @@ SUPPLY = f"SELECT l_suppkey AS src, l_partkey + {PARTS} AS dst FROM lineitem"
 
 @query("SELECT doc_id AS file_id, source || '/' || doc_id AS path, lang AS language, CAST(octet_length(encode(text)) AS BIGINT) AS byte_len FROM documents WHERE lang IN ('en','fr') AND source LIKE 'src1%'")
 def scan_filter_files(spark, d):
-    docs = t(spark, d, "documents").where(F.col("lang").isin("en", "fr") & F.col("source").startswith("src1"))
-    return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.col("lang").alias("language"), F.octet_length("text").cast("long").alias("byte_len"))
+    docs = t(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), "text")
+    kept = repo.filtered(docs, extensions=("en", "fr"), ignore="^(?!src1)")
+    path = F.substring_index("path", ".", 1)
+    return kept.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.substring_index("path", ".", -1).alias("language"), F.octet_length("text").cast("long").alias("byte_len"))
 
 
 @query("""SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM lineitem) AS refs,
  (SELECT count(*) FROM orders) AS imports, (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM documents) AS bytes""")
 def summary_counts(spark, d):
-    one = lambda n, e, a: t(spark, d, n).agg(e.alias(a))
-    out = one("documents", F.count("*"), "files")
-    for n, e, a in (("part", F.count("*"), "symbols"), ("lineitem", F.count("*"), "refs"), ("orders", F.count("*"), "imports"), ("documents", F.sum(F.octet_length("text")).cast("long"), "bytes")):
-        out = out.join(F.broadcast(one(n, e, a)))  # one row each
-    return out
+    n = F.count("*")
+    docs = (t(spark, d, "documents"), [n.alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes")])
+    return W.one_row(docs, *[(t(spark, d, table), [n.alias(name)]) for table, name in (("part", "symbols"), ("lineitem", "refs"), ("orders", "imports"))])
 
 
 @query("SELECT p_partkey AS symbol_id, p_name AS name, p_type AS kind FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'gear') ORDER BY p_name, p_partkey LIMIT 200")
 def symbols_search(spark, d):
-    p = t(spark, d, "part").where(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).contains("gear"))
-    return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind")).orderBy("name", "symbol_id").limit(200)
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "p_brand")
+    return W.holding(p, "GEAR", ["name", "kind", "p_brand"], ["name", "symbol_id"], 200).drop("p_brand")
 
 
 @query("SELECT l_suppkey AS source_symbol_id, l_partkey AS target_symbol_id, array_to_string(list_sort(list(l_orderkey)), ',') AS reference_ids, count(*) AS reference_count FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1, 2")
@@ -150,9 +161,7 @@ def spans(spark, d):
 def innermost_span(spark, d):
     s = spans(spark, d)
     points = s.select(F.col("id").alias("row"), "conv_id", "s", (F.col("s") + 1).alias("e"))
-    hit = points.join(s.select(F.col("conv_id").alias("g"), F.col("s").alias("a"), F.col("e").alias("b"), "id"), (F.col("conv_id") == F.col("g")) & (F.col("a") <= F.col("s")) & (F.col("e") <= F.col("b")) & (F.col("id") != F.col("row")))
-    best = hit.groupBy("row").agg(F.min_by("id", F.struct(F.col("b") - F.col("a"), F.col("id"))).alias("container"))
-    return points.select("row").join(best, "row", "left")
+    return J.innermost(points, s, "conv_id", "s", "e", "id", itself=False).select("row", "container")
 
 
 @query("""SELECT min_id AS "row", container FROM (SELECT conv_id * 1000 + turn AS min_id, (SELECT 1) AS one, arg_min(q.id, (q.e - q.s, q.id)) AS container FROM (SELECT DISTINCT conv_id, turn FROM conversations) c
@@ -181,9 +190,8 @@ def asof_definition(spark, d):
 
 @query("SELECT l_partkey AS symbol_id, l_orderkey AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS nth FROM lineitem WHERE l_returnflag = 'A'")
 def usages_desc(spark, d):
-    w = Window.partitionBy("target_symbol_id").orderBy(F.desc("l_shipdate"), F.desc("id"), F.desc("ordinal"))
-    r = references(spark, d).where("l_returnflag = 'A'")
-    return r.select(F.col("target_symbol_id").alias("symbol_id"), "id", F.row_number().over(w).cast("long").alias("nth"))
+    r = references(spark, d).where("l_returnflag = 'A'").withColumnRenamed("target_symbol_id", "symbol_id")
+    return W.place_within(r, ["symbol_id"], [F.desc("l_shipdate"), F.desc("id"), F.desc("ordinal")], "nth", 1).select("symbol_id", "id", "nth")
 
 
 @query("""SELECT l_orderkey AS id, l_linenumber AS ordinal, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 2 ELSE 4 END + CASE WHEN l_linestatus = 'O' THEN 8 ELSE 0 END AS usage_type
@@ -191,7 +199,7 @@ def usages_desc(spark, d):
 def usage_type_filter(spark, d):
     kind = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(4) + F.when(F.col("l_linestatus") == "O", 8).otherwise(0)
     r = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ordinal"), kind.alias("usage_type"))
-    return r.where(F.col("usage_type").bitwiseAND(9) != 0)
+    return W.with_bits(r, "usage_type", 1 | 8)
 
 
 def _trace_sql(start: str, depth: int, e: str) -> str:
@@ -263,8 +271,8 @@ def second_order_dead(spark, d):
 @query("""SELECT l_suppkey AS from_file, l_partkey AS to_file, count(*) FILTER (WHERE l_returnflag = 'R') AS dynamic_imports, count(*) FILTER (WHERE l_returnflag <> 'R') AS static_imports
  FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0 AND count(*) FILTER (WHERE l_returnflag <> 'R') > 0""")
 def import_pair_counts(spark, d):
-    r = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("from_file"), F.col("l_partkey").alias("to_file"))
-    return r.agg(F.count_if(F.col("l_returnflag") == "R").alias("dynamic_imports"), F.count_if(F.col("l_returnflag") != "R").alias("static_imports")).where("dynamic_imports > 0 and static_imports > 0")
+    r = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("from_file"), F.col("l_partkey").alias("to_file"), (F.col("l_returnflag") == "R").alias("dynamic"))
+    return W.pair_counts(r, "from_file", "to_file", F.col("dynamic"), "dynamic_imports", "static_imports")
 
 
 @query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({SUPPLY})), k AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 HAVING count(*) >= 30)
@@ -281,13 +289,12 @@ def edge_filter_dedupe(spark, d):
 
 @query("SELECT CASE WHEN max(n) * 10 >= sum(n) THEN arg_max(lang, (n, lang)) ELSE 'OTHER' END AS language FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
 def top_language(spark, d):
-    n = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return n.agg(F.when(F.max("n") * 10 >= F.sum("n"), F.max_by("lang", F.struct("n", "lang"))).otherwise("OTHER").alias("language"))
+    return W.main_kind(t(spark, d, "documents"), "lang", repo.LANGUAGE_SHARE, "OTHER", "language")
 
 
 @query("SELECT source, lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source, lang)")
 def file_rollup(spark, d):
-    return t(spark, d, "documents").rollup("source", "lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+    return W.subtotals(t(spark, d, "documents"), ["source", "lang"], F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
 
 
 @query("""SELECT symbol_id, complexity, CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' WHEN complexity <= 30 THEN 'D' WHEN complexity <= 40 THEN 'E' ELSE 'F' END AS rank
@@ -322,8 +329,8 @@ def maintainability(spark, d):
 
 @query(r"SELECT doc_id AS file_id, CAST(len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) AS BIGINT) AS hits FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')")
 def regex_search(spark, d):
-    p = r"[0-9]{3}-[0-9]{4}"
-    return t(spark, d, "documents").where(F.col("text").rlike(p)).select(F.col("doc_id").alias("file_id"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias("hits"))
+    found = R.search(document_sources(spark, d), r"[0-9]{3}-[0-9]{4}")
+    return found.groupBy(F.col("path").cast("long").alias("file_id")).agg(F.count("*").alias("hits"))
 
 
 @query("""SELECT page_id, rtrim('site/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?]*)', 1), '/') AS path,
@@ -355,36 +362,33 @@ def chunk_groups(spark, d):
 
 @query("""SELECT event_id, lag(event_type) OVER w AS predecessor, lead(event_type) OVER w AS successor FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def lead_lag_chain(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, d, "events").select("event_id", F.lag("event_type").over(w).alias("predecessor"), F.lead("event_type").over(w).alias("successor"))
+    e = W.neighbours(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return e.select("event_id", "predecessor", "successor")
 
 
 @query("SELECT l_orderkey AS parent, l_linenumber AS start_byte, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem")
 def sibling_index(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("start_byte"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
+    line = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("start_byte"), "l_partkey", "l_suppkey")
+    return W.place_within(line, ["parent"], ["start_byte", "l_partkey", "l_suppkey"], "pos").select("parent", "start_byte", "pos")
 
 
 @query("""SELECT 'missing' AS side, count(*) AS n FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F')
  UNION ALL SELECT 'added', count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F' EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
 def validation_except(spark, d):
     line = t(spark, d, "lineitem")
-    a, b = (line.where(c).select("l_partkey", "l_suppkey") for c in ("l_returnflag = 'R'", "l_linestatus = 'F'"))
-    one = lambda x, y, n: x.exceptAll(y).agg(F.count("*").alias("n")).select(F.lit(n).alias("side"), "n")
-    return one(a, b, "missing").unionAll(one(b, a, "added"))
+    return W.differences(*(line.where(c).select("l_partkey", "l_suppkey") for c in ("l_returnflag = 'R'", "l_linestatus = 'F'")))
 
 
 @query("SELECT DISTINCT id, kind FROM (SELECT s_suppkey AS id, 'function' AS kind FROM supplier UNION ALL SELECT l_suppkey, 'function' FROM lineitem UNION ALL SELECT p_partkey, 'method' FROM part)")
 def union_dedupe(spark, d):
-    a = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("function").alias("kind"))
-    b = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.lit("function").alias("kind"))
-    c = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("method").alias("kind"))
-    return a.unionByName(b).unionByName(c).dropDuplicates(["id", "kind"])
+    one = lambda table, key, kind: t(spark, d, table).select(F.col(key).alias("id"), F.lit(kind).alias("kind"))
+    return W.one_of([one("supplier", "s_suppkey", "function"), one("lineitem", "l_suppkey", "function"), one("part", "p_partkey", "method")], ["id", "kind"])
 
 
 @query("SELECT o_custkey AS file FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 def intersect_commit(spark, d):
-    return t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("file")).intersect(t(spark, d, "customer").where("c_acctbal > 5000").select("c_custkey"))
+    queued = t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("file"))
+    return W.common(queued, t(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("file")))
 
 
 @query("""SELECT user_id AS path, CASE arg_max(event_type, (ts, event_id)) WHEN 'view' THEN 'ADD' WHEN 'click' THEN 'REPARSE' WHEN 'purchase' THEN 'REPARSE' WHEN 'error' THEN 'DELETE' ELSE 'ADD' END AS action FROM events GROUP BY 1""")
@@ -397,21 +401,21 @@ def change_last_wins(spark, d):
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_events(spark, d):
-    w = t(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    w = C.tumbling(t(spark, d, "events"), "1 hour", ["event_type"], total="value")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '2 hours' THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""")
 def session_events(spark, d):
-    s = t(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.count("*").alias("n"))
-    return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    s = C.sessions(t(spark, d, "events"), "2 hours", ["user_id"])
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""SELECT l_partkey AS symbol_id, count(*) FILTER (WHERE l_returnflag = 'R') AS direct, count(*) FILTER (WHERE l_returnflag = 'A') AS aliased, count(*) FILTER (WHERE l_returnflag = 'N') AS chained FROM lineitem GROUP BY 1""")
 def pivot_usage_kinds(spark, d):
-    p = references(spark, d).groupBy(F.col("target_symbol_id").alias("symbol_id")).pivot("l_returnflag", ["R", "A", "N"]).count()
-    return p.select("symbol_id", *[F.coalesce(k, F.lit(0)).alias(n) for k, n in (("R", "direct"), ("A", "aliased"), ("N", "chained"))])
+    r = references(spark, d).withColumnRenamed("target_symbol_id", "symbol_id")
+    return W.by_kind(r, "symbol_id", "l_returnflag", {"R": "direct", "A": "aliased", "N": "chained"})
 
 
 _trade = """SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) + CASE WHEN c_nationkey < s_nationkey THEN 0 ELSE 1000 END AS dst
@@ -430,16 +434,6 @@ def scc_import_loops(spark, d):
     return T.strongly_connected(trade.unionAll(back))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages")
-def markup_elements(spark, d):
-    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
-
-
-@query("""SELECT page_id, unnest(regexp_extract_all(html, ' (href|lang|class|charset)="[^"]*"', 1)) AS prop FROM pages""")
-def markup_props(spark, d):
-    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(' (href|lang|class|charset)="[^"]*"'), F.lit(1))).alias("prop"))
-
-
 @query("""SELECT DISTINCT unnest(['site', 'site/' || source]) AS directory FROM documents""")
 def directories(spark, d):
     path = F.concat(F.lit("site/"), "source", F.lit("/"), "doc_id")
@@ -448,14 +442,15 @@ def directories(spark, d):
 
 @query("""SELECT p.p_partkey AS symbol_id, n.n FROM part p LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) n ON n.l_partkey = p.p_partkey WHERE coalesce(n.n, 0) >= 2""")
 def widely_used(spark, d):
-    n = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("symbol_id")).agg(F.countDistinct("l_suppkey").alias("n"))
-    return t(spark, d, "part").select(F.col("p_partkey").alias("symbol_id")).join(n.where("n >= 2"), "symbol_id")
+    n = W.distinct_per(t(spark, d, "lineitem"), "l_partkey", "l_suppkey", "n", least=2)
+    return J.matched(n.withColumnRenamed("l_partkey", "symbol_id"), t(spark, d, "part"), [("symbol_id", "p_partkey")])
 
 
 @query("""SELECT doc_id, regexp_replace(text, '!!|\\*\\*\\*|\\$\\$\\$|###|&&&|%%%', '', 'g') AS text FROM documents WHERE regexp_matches(text, '!!|\\*\\*\\*|\\$\\$\\$|###|&&&|%%%')""".replace("\\\\", "\\"))
 def regex_replace(spark, d):
-    p = r"!!|\*\*\*|\$\$\$|###|&&&|%%%"
-    return t(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_replace("text", p, "").alias("text"))
+    docs = document_sources(spark, d)
+    out = E.apply(docs, R.search(docs, r"!!|\*\*\*|\$\$\$|###|&&&|%%%", "")).where("status = 'modified'")
+    return out.select(F.col("path").cast("long").alias("doc_id"), F.col("content").cast("string").alias("text"))
 
 
 @query("""SELECT node, level FROM (WITH p AS (SELECT DISTINCT src, dst FROM (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier))
@@ -483,8 +478,6 @@ _uses = "SELECT s.s_suppkey AS k, f.f AS f FROM supplier s JOIN (SELECT s_nation
 
 @query(f"SELECT 'f' || k AS source, 'f' || f AS target, CAST(2 AS BIGINT) AS reference_count FROM ({_uses})")
 def python_dependencies(spark, d):
-    from graphloom.plans.codegraph import CodeGraph
-
     text = lambda k, f: F.when(k == f, F.format_string("def f%d(x):\n    return x\n", k)).otherwise(F.format_string("from pkg.m%d import f%d as used\n\n\ndef f%d(used_by):\n    y = used(1)\n    return [used for z in y]\n", f, f, k))
     g = CodeGraph(spark, _module_sources(spark, d, text, lambda k: F.format_string("pkg/m%d.py", k)), "python")
     n = g.symbols.select("id", "name")
@@ -494,8 +487,6 @@ def python_dependencies(spark, d):
 
 @query(f"SELECT 'F' || k AS source, 'F' || f AS target, 'used' AS name FROM ({_uses}) UNION ALL SELECT 'F' || k, 'F' || f, 'F' || f FROM ({_uses})")
 def typescript_references(spark, d):
-    from graphloom.plans.codegraph import CodeGraph
-
     text = lambda k, f: F.when(k == f, F.format_string("export class F%d { go(): void {} }\n", k)).otherwise(F.format_string("import { F%d as used } from '../lib/i%d';\nimport * as all from '../lib/i%d';\nexport class F%d extends used { go() { return new all.F%d(); } }\n", f, f, f, k, f))
     own = _module_sources(spark, d, text, lambda k: F.format_string("src/m%d.ts", k))
     index = t(spark, d, "supplier").select(F.format_string("lib/i%d.ts", "s_suppkey").alias("path"), F.encode(F.format_string("export * from '../src/m%d';\n", "s_suppkey"), "UTF-8").alias("content"))
@@ -508,8 +499,6 @@ def typescript_references(spark, d):
 
 @query("SELECT doc_id AS file_id, '> ' || text || ' <' AS text, 'modified' AS status FROM documents")
 def edits_apply(spark, d):
-    from graphloom.operators import edits as E
-
     docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
     n = docs.withColumn("n", F.octet_length("content"))
     both = E.planned(n, "path", "insert", F.lit(0), F.lit(0), "> ", seq=1).unionAll(E.planned(n, "path", "insert", "n", "n", " <", seq=2)).unionAll(E.planned(n, "path", "insert", F.lit(0), F.lit(0), "> ", seq=3))
@@ -544,18 +533,9 @@ def endpoint_urls(spark, d):
     return t(spark, d, "pages").select("page_id", normal_url(F.col("url")).alias("url"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM e GROUP BY 1)
- SELECT l_suppkey AS class_id, count(DISTINCT l_partkey) AS depth FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey AS class_id, count(DISTINCT l_partkey) AS depth FROM lineitem GROUP BY 1""")
 def inheritance_depth(spark, d):
-    bases = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("class_id"), F.col("l_partkey").alias("base"))
-    return bases.groupBy("class_id").agg(F.countDistinct("base").alias("depth"))
-
-
-@query("""SELECT l_orderkey AS call_id, l_linenumber AS pos, l_partkey AS value, p_name AS parameter FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
-def argument_parameters(spark, d):
-    a = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("value"))
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("value"), F.col("p_name").alias("parameter"))
-    return a.join(p, "value", "left").select("call_id", "pos", "value", "parameter")
+    return W.distinct_per(t(spark, d, "lineitem").withColumnRenamed("l_suppkey", "class_id"), "class_id", "l_partkey", "depth")
 
 
 @query("""SELECT r_name AS directory, count(*) AS files, CAST(sum(c_acctbal * 100) AS BIGINT) AS size FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1
@@ -566,3 +546,29 @@ def directory_rollup(spark, d):
     path = F.concat_ws("/", "r_name", "n_name", F.col("c_custkey").cast("string"))
     x = c.select(F.explode(S.directory_prefixes(path)).alias("directory"), (F.col("c_acctbal") * 100).alias("b"))
     return x.groupBy("directory").agg(F.count("*").alias("files"), F.round(F.sum("b")).cast("long").alias("size"))
+
+
+def _components(spark: SparkSession, d: str) -> CodeGraph:
+    """One component for each supplier but the first of its nation, which the others hold in a box around a leaf."""
+    text = lambda k, f: F.when(k == f, F.format_string("export const F%d = () => null;\n", k)).otherwise(F.format_string("import { F%d } from './m%d';\nexport const C%d = () => <Box id={%d}><F%d><Leaf%d kind=\"leaf\" /></F%d></Box>;\n", f, f, k, k, f, k, f))
+    return CodeGraph(spark, _module_sources(spark, d, text, lambda k: F.format_string("src/m%d.tsx", k)), "typescript")
+
+
+@query(f"""WITH u AS ({_uses}) SELECT 'Box' AS tag, NULL AS parent FROM u UNION ALL SELECT 'F' || f, 'Box' FROM u UNION ALL SELECT 'Leaf' || k, 'F' || f FROM u""")
+def markup_elements(spark, d):
+    g = _components(spark, d)
+    up = g.jsx_elements.select(F.col("id").alias("_u"), F.col("name").alias("parent"))
+    return g.jsx_elements.join(up, F.col("parent_jsx_element_id") == F.col("_u"), "left").select(F.col("name").alias("tag"), "parent")
+
+
+@query(f"""WITH u AS ({_uses}) SELECT 'id' AS prop, CAST(k AS VARCHAR) AS value, true AS value_is_expression FROM u UNION ALL SELECT 'kind', '"leaf"', false FROM u""")
+def markup_props(spark, d):
+    g = _components(spark, d)
+    return g.jsx_props.select(F.col("name").alias("prop"), "value", "value_is_expression")
+
+
+@query(f"SELECT parameter, CAST(pos AS BIGINT) AS pos, count(*) AS n FROM ({_uses}), (SELECT unnest(['first', 'second', 'third']) AS parameter, unnest([0, 1, 2]) AS pos) GROUP BY 1, 2")
+def argument_parameters(spark, d):
+    text = lambda k, f: F.when(k == f, F.format_string("def f%d(first, second, *, third=3):\n    return first\n", k)).otherwise(F.format_string("from pkg.m%d import f%d\n\n\ndef f%d(x):\n    return f%d(x, %d, third=%d)\n", f, f, k, f, k, f))
+    g = CodeGraph(spark, _module_sources(spark, d, text, lambda k: F.format_string("pkg/m%d.py", k)), "python")
+    return g.arguments().groupBy("parameter", "pos").agg(F.count("*").alias("n")).select("parameter", F.col("pos").cast("long").alias("pos"), "n")

@@ -11,15 +11,18 @@ from graphloom import schema
 from graphloom.functions import scalar as S
 from graphloom.lineage import cut
 from graphloom.operators import aggregates as A
+from graphloom.operators import rows as W
 from graphloom.operators import traversal as T
 from graphloom.plans import resolve
 from graphloom.sources import repo
 
 USAGE_TYPES = {"direct": 1, "chained": 2, "indirect": 4, "aliased": 8}
-#: Names of built-in calls that callgraphs may hide.
-RUNTIME = frozenset(
-    "abs all any bool bytes callable chr dict dir divmod enumerate filter float format frozenset getattr hasattr hash hex id input int isinstance issubclass iter len list map max min next object open ord pow print range repr reversed round set setattr slice sorted str sum super tuple type vars zip".split()
-)
+# Names of calls that callgraphs may hide as part of the runtime.
+RUNTIME = frozenset((
+    "Any", "Array", "Boolean", "Date", "Error", "Map", "Number", "Object", "Promise", "Set", "String", "append", "assign", "cast", "entries", "error", "exit", "filter", "flat", "forEach",
+    "fromEntries", "getattr", "has", "hasattr", "isArray", "isinstance", "items", "join", "keys", "log", "map", "parseInt", "push", "repr", "slice", "sort", "split", "startsWith", "str",
+    "stringify", "toISOString", "trim", "tuple", "type", "values", "warning",
+))
 
 
 def numbered(parsed: DataFrame) -> DataFrame:
@@ -291,10 +294,8 @@ class CodeGraph:
         s = s.join(parent, F.col("parent_symbol_id") == F.col("_p"), "left").withColumn("qualified_name", F.concat_ws(".", "_pn", "name"))
         if kind != "all":
             s = s.where(F.col("kind") == kind)
-        if query:
-            s = s.where(F.lower(F.concat_ws(" ", "name", "qualified_name", "kind", "path")).contains(query.lower()))
         out = s.select("id", "name", "qualified_name", "kind", "path", S.location(F.col("path"), F.col("range.start_row")).alias("location"))
-        return out.orderBy("path", "id").limit(max_results)
+        return W.holding(out, query or "", ["name", "qualified_name", "kind", "path"], ["path", "id"], max_results)
 
     # graph questions -----------------------------------------------------------------------------------------------
     @property
@@ -371,9 +372,10 @@ class CodeGraph:
     # summaries -----------------------------------------------------------------------------------------------------
     def summary(self) -> dict:
         """Counts of all tables, bytes, lines and files with errors."""
-        f = self.files.agg(F.count("*").alias("files"), F.sum("byte_len").alias("bytes"), F.sum("line_count").alias("lines"), F.count_if("has_error").alias("files_with_errors")).first().asDict()
+        f = (self.files, [F.count("*").alias("files"), F.sum("byte_len").alias("bytes"), F.sum("line_count").alias("lines"), F.count_if("has_error").alias("files_with_errors")])
         tables = ("symbols", "imports", "exports", "import_resolutions", "external_modules", "references", "external_references", "dependencies", "subclass_edges", "calls", "jsx_elements", "jsx_props", "promise_chains")
-        return {k: v or 0 for k, v in f.items()} | {t: getattr(self, t).count() for t in tables}
+        row = W.one_row(f, *[(getattr(self, t), [F.count("*").alias(t)]) for t in tables]).first()
+        return {k: v or 0 for k, v in row.asDict().items()}
 
     def metrics(self) -> DataFrame:
         """Complexity with rank, Halstead volume, lines and maintainability of each function."""

@@ -309,12 +309,13 @@ def remove_unused_exports(g: CodeGraph) -> DataFrame:
     return planned(e, "_path", "remove", "range.start_byte", "_at")
 
 
-def search(g: CodeGraph, pattern: str, replacement: str | None = None) -> DataFrame:
-    """(path, start_byte, end_byte, text) of a pattern's matches in the sources; with a replacement, the edits.
+def search(g: CodeGraph | DataFrame, pattern: str, replacement: str | None = None) -> DataFrame:
+    """(path, start_byte, end_byte, text) of a pattern's matches in a graph's or a table's sources; with a replacement, the edits.
 
     Offsets come from the lengths of what lies between matches, so it stays in DataFrame functions.
     """
-    t = g.sources.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("_t"))
+    sources = g if isinstance(g, DataFrame) else g.sources
+    t = sources.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("_t"))
     m = t.where(F.col("_t").rlike(pattern)).withColumn("_m", F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).withColumn("_g", F.split("_t", pattern, -1))
     x = m.select("path", F.posexplode("_m").alias("_k", "text"), "_m", "_g")
     before = F.aggregate(F.slice("_g", F.lit(1), F.col("_k") + 1), F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p)) + F.aggregate(F.slice("_m", F.lit(1), F.col("_k")), F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar as S
 from graphloom.operators import aggregates as A
 from graphloom.operators import joins as J
+from graphloom.operators import rows as W
 from graphloom.operators import traversal as T
 from graphloom.plans.codegraph import USAGE_TYPES, CodeGraph
 
@@ -144,7 +145,7 @@ def modified_symbols(g: CodeGraph, patches: DataFrame) -> DataFrame:
 
 
 def usages(g: CodeGraph, types: int | None = None) -> DataFrame:
-    """(target_symbol_id, source_symbol_id, name, kind, usage_type, start_byte, ...), the last in a file first.
+    """(target_symbol_id, source_symbol_id, name, kind, usage_type, start_byte, nth, ...), the last in a file first.
 
     usage_type is direct, aliased (another name is used), chained (through a qualifier) or indirect (through a file that
     passes the symbol on), as bits of USAGE_TYPES. types filters by bits; direct together with aliased means nothing.
@@ -161,13 +162,13 @@ def usages(g: CodeGraph, types: int | None = None) -> DataFrame:
     r = r.join(called, (F.col("source_file_id") == F.col("_kf")) & (F.col("range.start_byte") == F.col("_ks")), "left")
     kind = F.when(F.col("is_subclass"), "subclass").when(F.col("_ks").isNotNull(), "call").otherwise("body")
     out = r.select("target_symbol_id", "source_file_id", "source_symbol_id", "import_id", "name", kind.alias("kind"), bits.alias("usage_type"), F.col("range.start_byte").alias("start_byte"))
-    out = out if types is None else out.where(F.col("usage_type").bitwiseAND(types) != 0)
-    return out.orderBy("target_symbol_id", "source_file_id", F.desc("start_byte"))
+    out = out if types is None else W.with_bits(out, "usage_type", types)
+    return W.place_within(out, ["target_symbol_id"], ["source_file_id", F.desc("start_byte"), "name"], "nth", 1).orderBy("target_symbol_id", "nth")
 
 
 def usage_summary(g: CodeGraph) -> DataFrame:
     """Usages of each symbol by kind."""
-    return usages(g).groupBy("target_symbol_id").pivot("kind", ["body", "call", "subclass"]).count().na.fill(0)
+    return W.by_kind(usages(g), "target_symbol_id", "kind", {k: k for k in ("body", "call", "subclass")})
 
 
 def import_chain(g: CodeGraph) -> DataFrame:
@@ -220,9 +221,28 @@ def is_subclass_of(g: CodeGraph, base: str, max_depth: int | None = None) -> Dat
     return direct.unionAll(more.select("node")).distinct().select(F.col("node").alias("id"))
 
 
+def callables(g: CodeGraph) -> DataFrame:
+    """(id, kind): functions and the methods that classes list, each once; what is both is a method."""
+    f = g.symbols.where("kind = 'function'").select("id", F.lit("function").alias("kind"))
+    c = g.symbols.where("kind = 'class'").select(F.col("id").alias("parent_symbol_id"))
+    m = g.symbols.where("kind = 'function'").join(c, "parent_symbol_id", "left_semi").select("id", F.lit("method").alias("kind"))
+    return W.one_of([m, f.join(m, "id", "left_anti")], ["id"])
+
+
+def widely_used(g: CodeGraph, least: int = 2) -> DataFrame:
+    """(target_symbol_id, n): symbols that so many other symbols refer to."""
+    return W.distinct_per(g.references.where("source_symbol_id is not null"), "target_symbol_id", "source_symbol_id", "n", least)
+
+
+def directory_subtotals(g: CodeGraph) -> DataFrame:
+    """(directory, language, files, lines) of every directory's own files by language, with subtotals."""
+    f = g.files.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", ""))
+    return W.subtotals(f, ["directory", "language"], F.count("*").alias("files"), F.sum("line_count").alias("lines"))
+
+
 def inheritance_depth(g: CodeGraph) -> DataFrame:
     """(class_id, depth): the number of a class's bases, direct and indirect."""
-    n = g.superclasses().groupBy(F.col("root").alias("class_id")).agg(F.countDistinct("node").alias("depth"))
+    n = W.distinct_per(g.superclasses().withColumnRenamed("root", "class_id"), "class_id", "node", "depth")
     c = g.symbols.where("kind = 'class'").select(F.col("id").alias("class_id"))
     return c.join(n, "class_id", "left").select("class_id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
@@ -246,8 +266,9 @@ def descendants(g: CodeGraph, targets: DataFrame) -> DataFrame:
 
 def call_chains(g: CodeGraph) -> DataFrame:
     """Calls with their predecessor and successor in chains like a().b().c(): those that begin at one byte of a file."""
-    w = Window.partitionBy("source_file_id", "range.start_byte").orderBy("range.end_byte")
-    return g.calls.select("id", "source_file_id", "name", F.lag("id").over(w).alias("predecessor"), F.lead("id").over(w).alias("successor"), (F.row_number().over(w) - 1).alias("place"))
+    c = g.calls.select("id", "source_file_id", "name", F.col("range.start_byte").alias("_a"), F.col("range.end_byte").alias("_b"))
+    chain, order = ["source_file_id", "_a"], ["_b", "id"]
+    return W.place_within(W.neighbours(c, chain, order, "id"), chain, order).drop("_a", "_b")
 
 
 def call_sites(g: CodeGraph, target: str) -> DataFrame:
@@ -266,7 +287,7 @@ def mixed_import_loops(g: CodeGraph) -> DataFrame:
     r = g.import_resolutions.join(g.imports.select(F.col("id").alias("import_id"), dynamic.alias("dynamic")), "import_id")
     c = T.strongly_connected(g.import_edges)
     r = r.join(c.select(F.col("node").alias("source_file_id"), F.col("component").alias("_a")), "source_file_id").join(c.select(F.col("node").alias("target_file_id"), F.col("component").alias("_b")), "target_file_id").where("_a = _b")
-    return r.groupBy("source_file_id", "target_file_id").agg(F.count_if("dynamic").alias("dynamic_imports"), F.count_if(~F.col("dynamic")).alias("static_imports")).where("dynamic_imports > 0 and static_imports > 0")
+    return W.pair_counts(r, "source_file_id", "target_file_id", F.col("dynamic"), "dynamic_imports", "static_imports")
 
 
 # reports and sinks ----------------------------------------------------------------------------------------------------
@@ -345,7 +366,8 @@ def validate(g: CodeGraph, before: CodeGraph | None = None) -> dict:
     }
     if before is not None:
         row = lambda x: x.symbols.join(x.files.select(F.col("id").alias("_f"), "path"), F.col("file_id") == F.col("_f")).select("path", "name", "kind")
-        out |= {"missing_symbols": row(before).exceptAll(row(g)).count(), "new_symbols": row(g).exceptAll(row(before)).count()}
+        n = {r.side: r.n for r in W.differences(row(before), row(g)).collect()}
+        out |= {"missing_symbols": n["missing"], "new_symbols": n["added"]}
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from graphloom import schema
+from graphloom.operators.rows import main_kind
 
 PYTHON, TYPESCRIPT = "python", "typescript"
 EXTENSIONS = {PYTHON: ("py",), TYPESCRIPT: ("ts", "tsx", "js", "jsx")}
@@ -57,10 +58,7 @@ def from_files(spark: SparkSession, files: dict[str, str | bytes]) -> DataFrame:
 def detect_language(files: DataFrame) -> str:
     """The most frequent language of the files, `other` where it has less than a tenth of them."""
     lang = F.when(F.col("path").rlike(r"\.py$"), PYTHON).when(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$"), TYPESCRIPT)
-    rows = files.select(lang.alias("l")).groupBy("l").count().collect()
-    total = sum(r["count"] for r in rows)
-    best = max((r for r in rows if r["l"]), key=lambda r: (r["count"], r["l"]), default=None)
-    return best["l"] if best and best["count"] >= LANGUAGE_SHARE * total else "other"
+    return main_kind(files.select(lang.alias("l")), "l", LANGUAGE_SHARE, "other", "language").first().language
 
 
 def fnv1a(data: bytes) -> str:

@@ -165,10 +165,10 @@ def from_name_status(lines: DataFrame, column: str = "value") -> DataFrame:
 # event time -----------------------------------------------------------------------------------------------------------
 
 
-def tumbling(stream: DataFrame, size: str, keys: list[str], late: str = "1 hour", at: str = "ts") -> DataFrame:
-    """(start, keys, n): rows per window and key. On a stream, rows later than `late` are dropped once it has passed."""
-    w = stream.withWatermark(at, late).groupBy(F.window(at, size), *keys).agg(F.count("*").alias("n"))
-    return w.select(F.col("window.start").alias("start"), *keys, "n")
+def tumbling(stream: DataFrame, size: str, keys: list[str], late: str = "1 hour", at: str = "ts", **sums: str) -> DataFrame:
+    """(start, keys, n, sums): rows per window and key, and sums of the columns named. On a stream, rows later than `late` are dropped once it has passed."""
+    w = stream.withWatermark(at, late).groupBy(F.window(at, size), *keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    return w.select(F.col("window.start").alias("start"), *keys, "n", *sums)
 
 
 def sliding(stream: DataFrame, size: str, step: str, keys: list[str], late: str = "1 hour", at: str = "ts") -> DataFrame:
