@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.rows import common
+
 ORDER = ("remove", "edit", "insert", "file_add", "file_rename", "file_remove")
 SCHEMA = "path string, kind string, start_byte bigint, end_byte bigint, text string, priority bigint, seq bigint"
 
@@ -132,6 +135,39 @@ def listed(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(*r, 0, i) for i, r in enumerate(rows)], SCHEMA)
 
 
+class Limit(Exception):
+    """A session asked for more edits, or took longer, than it may."""
+
+
+class Session:
+    """Edits gathered over several plans, within a number of edits and a time."""
+
+    def __init__(self, most: int | None = None, seconds: float | None = None):
+        self.most, self.seconds, self.began, self.plans = most, seconds, time.monotonic(), []
+
+    def add(self, edits: DataFrame) -> None:
+        if self.seconds is not None and time.monotonic() - self.began > self.seconds:
+            raise Limit(f"the session took more than {self.seconds} seconds")
+        if self.most is not None:
+            n = sum(p.limit(self.most + 1).count() for p in [*self.plans, edits])
+            if n > self.most:
+                raise Limit(f"more than {self.most} edits")
+        self.plans.append(edits)
+
+    def commit(self, sources: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """apply() of all plans in their order, or of their edits of some paths; the session is empty then."""
+        queued = None
+        for i, p in enumerate(self.plans):
+            p = p.withColumn("seq", F.col("seq") + (i << 32))
+            queued = p if queued is None else queued.unionAll(p)
+        self.plans = []
+        if queued is None:
+            queued = listed(sources.sparkSession, [])
+        if only is not None:
+            queued = queued.join(common(only.select("path"), queued.select("path")), "path", "left_semi").select(*queued.columns)
+        return apply(sources, queued)
+
+
 def apply(sources: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, content, old_path, status, conflict) of all files after the edits; sources is (path, content).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,11 +51,21 @@ class CodeGraph:
     """Tables of a repository, built lazily; each is a plain DataFrame.
 
     language is python or typescript. Ids are dense: files by path components, records by file and place. roots are
-    folders, such as src, that Python modules are named from.
+    folders, such as src, that Python modules are named from. resolver takes the imports that no rule resolves and the
+    files, and gives rows (import_id, path) for those that it knows, at most one an import.
     """
 
-    def __init__(self, spark: SparkSession, sources: DataFrame, language: str, configs: list[dict] | None = None, roots: tuple[str, ...] = ()):
+    def __init__(
+        self,
+        spark: SparkSession,
+        sources: DataFrame,
+        language: str,
+        configs: list[dict] | None = None,
+        roots: tuple[str, ...] = (),
+        resolver: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    ):
         self.spark, self.sources, self.language, self.configs, self.roots = spark, sources, language, configs or [], tuple(roots)
+        self.resolver = resolver
 
     # construction --------------------------------------------------------------------------------------------------
     @classmethod
@@ -73,7 +84,7 @@ class CodeGraph:
         src = repo.scan(spark, root, **filters)
         conf = [(r.path, bytes(r.content).decode("utf-8", "replace")) for r in src.where(F.col("path").rlike(r"(^|/)tsconfig[^/]*\.json$")).toLocalIterator()]
         if paths is not None:
-            src = src.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_semi")
+            src = src.join(spark.createDataFrame([(p,) for p in paths], "path string"), "path", "left_semi")
         return cls(spark, src, language or repo.detect_language(src), [c for p, t in sorted(conf) if (c := repo.tsconfig(p, t))], roots)
 
     # tables --------------------------------------------------------------------------------------------------------
@@ -137,6 +148,13 @@ class CodeGraph:
             from graphloom.plans import resolve_typescript
 
             found = resolve_typescript.resolve_imports(self.files, self.symbols, self.imports, self.exports, self.configs)
+        if self.resolver is not None:
+            open_ = self.imports.join(found.select(F.col("import_id").alias("id")), "id", "left_anti")
+            own = self.resolver(open_, self.files).select("import_id", F.col("path").alias("_p"))
+            files = self.files.select(F.col("path").alias("_p"), F.col("id").alias("target_file_id"))
+            top = self.symbols.where("is_top_level").groupBy(F.col("file_id").alias("target_file_id"), "name").agg(F.max("id").alias("target_symbol_id"))
+            own = own.join(files, "_p").join(open_.select(F.col("id").alias("import_id"), F.col("file_id").alias("source_file_id"), "name"), "import_id").join(top, ["target_file_id", "name"], "left")
+            found = found.unionByName(own.select(*found.columns))
         return cut(A.dense_ids(found, ["import_id"]))
 
     @cached_property

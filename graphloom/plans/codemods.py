@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators.edits import listed, planned
 from graphloom.plans import refactor as R
+from graphloom.plans import rewrites as RW
 from graphloom.plans.codegraph import CodeGraph
 
 PY, TS = "python", "typescript"
@@ -65,6 +67,18 @@ def union(*parts: DataFrame) -> DataFrame:
     return out
 
 
+#: Files or directories, at most, that a codemod makes a plan of its own for.
+MOVES = 200
+
+
+def bounded(df: DataFrame, column: str, what: str) -> list[str]:
+    """The values of a column, ascending; more than MOVES of them are an error, for the caller to narrow the graph."""
+    found = sorted(r[0] for r in df.select(column).limit(MOVES + 1).collect())
+    if len(found) > MOVES:
+        raise ValueError(f"more than {MOVES} {what}: run on a part of the repository at a time")
+    return found
+
+
 def _functions(g: CodeGraph) -> DataFrame:
     return g.symbols.where("kind = 'function'")
 
@@ -164,7 +178,7 @@ def _enums(g: CodeGraph) -> DataFrame:
 def move_enums(g, name: str = "enums.py"):
     """Enumerations into a file of their directory."""
     at = R._located(g, _enums(g))
-    folders = [r.d for r in at.select(F.regexp_replace("_path", r"[^/]*$", "").alias("d")).distinct().collect()]  # one move a directory
+    folders = bounded(at.select(F.regexp_replace("_path", r"[^/]*$", "").alias("d")).distinct(), "d", "directories with enumerations")  # one move a directory
     parts = [R.move_to_file(g, at.where((F.regexp_replace("_path", r"[^/]*$", "") == d) & (F.col("_path") != d + name)).select("id"), d + name) for d in sorted(folders)]
     return union(*parts) if parts else listed(g.spark, [])
 
@@ -308,8 +322,8 @@ def split_decorators(g, decorator: str):
 @codemod("split_large_files", PY)
 def split_large_files(g, lines: int = 1000):
     """The functions of files with more lines into a file beside each."""
-    big = [(r.id, r.path) for r in g.files.where(F.col("line_count") > lines).select("id", "path").orderBy("path").collect()]  # a plan a file
-    parts = [R.move_to_file(g, _functions(g).where(f"is_top_level and file_id = {i}").select("id"), p[:-3] + "_functions.py") for i, p in big]
+    big = bounded(g.files.where(F.col("line_count") > lines).select(F.concat_ws(" ", "id", "path").alias("f")), "f", "large files")  # one move a file
+    parts = [R.move_to_file(g, _functions(g).where(f"is_top_level and file_id = {i}").select("id"), p[:-3] + "_functions.py") for i, p in (f.split(" ", 1) for f in big)]
     return union(*parts) if parts else listed(g.spark, [])
 
 
@@ -368,6 +382,123 @@ def promises_to_async(g):
     c = R._located(g, g.promise_chains.join(inside, "source_symbol_id", "left_semi"), "source_file_id").join(src, F.col("_path") == F.col("_p"))
     st = g.statements.where("kind = 'expression'").select(F.col("file_id").alias("_sf"), F.col("range.start_byte").alias("_sa"))
     c = c.join(st, (F.col("source_file_id") == F.col("_sf")) & (F.col("range.start_byte") == F.col("_sa")))
-    rewrite = F.udf(X.async_chain, "string")  # a row is a chain, of which a repository has few
-    text = rewrite(F.substring("_c", F.col("range.start_byte") + 1, F.col("range.end_byte") - F.col("range.start_byte")).cast("string"))
-    return planned(c.withColumn("_new", text).where("_new is not null"), "_path", "edit", "range.start_byte", "range.end_byte", F.col("_new"))
+    text = F.substring("_c", F.col("range.start_byte") + 1, F.col("range.end_byte") - F.col("range.start_byte")).cast("string")
+    c = RW.mapped(c.select("_path", F.col("range.start_byte").alias("_a"), F.col("range.end_byte").alias("_b"), text.alias("_text")), "_text", X.async_chain)
+    return planned(c.where("_new is not null"), "_path", "edit", "_a", "_b", F.col("_new"))
+
+
+@codemod("convert_attribute_to_decorator", PY)
+def convert_attribute_to_decorator(g, values: dict[str, str], module: str):
+    """Class attributes of certain values as decorators of the class, with their import."""
+    m = g.members.where(F.col("kind") == "attribute").where(F.col("value").isin(*values))
+    parts = [planned(R._located(g, m), "_path", "remove_lines", "range.start_byte", "range.end_byte")]
+    for value, decorator in values.items():
+        c = m.where(F.col("value") == value).select(F.col("symbol_id").alias("id"))
+        files = R._of(g, c).select(F.col("_path").alias("path"), F.lit(f"from {module} import {decorator}").alias("statement")).distinct()
+        parts += [R.add_decorator(g, c, decorator), R.add_import(g, files)]
+    return union(*parts)
+
+
+@codemod("mark_internal_to_module", PY)
+def mark_internal_to_module(g, folder: str = "app"):
+    """Functions of a folder that nothing imports get an underscore before their name."""
+    imported = g.import_resolutions.where("target_symbol_id is not null").select(F.col("target_symbol_id").alias("id"))
+    starred = g.imports.where("name = '*'").select(F.col("id").alias("import_id")).join(g.import_resolutions, "import_id").select(F.col("target_file_id").alias("file_id")).distinct()
+    f = R._located(g, _functions(g).where("is_top_level and not is_private").join(imported, "id", "left_anti").join(starred, "file_id", "left_anti"))
+    return R.rename(g, f.where(F.col("_path").contains(folder)).select("id"), F.concat(F.lit("_"), F.col("name")))
+
+
+# What in a method's source shows that it reads its request, and decorators that state what it expects.
+REQUEST = ("request_get_json", "request.json", "request.args", "request.form", "request.files", "request", "self.request")
+EXPECTS = ("load_with", "expect", "use_args", "use_kwargs")
+
+
+@codemod("openapi_no_reference_request", PY)
+def openapi_no_reference_request(g, suffix: str = "Resource"):
+    """HTTP methods of routed resource classes that don't touch the request are decorated with an empty expectation."""
+    route = F.get(F.filter("decorators", lambda d: d.contains("_ns.route")), F.lit(0))
+    c = g.symbols.where((F.col("kind") == "class") & F.endswith("name", F.lit(suffix)) & route.isNotNull()).select(F.col("id").alias("parent_symbol_id"), F.substring_index(route, ".", 1).alias("_ns"))
+    m = _functions(g).where(F.col("name").isin("get", "post", "put", "patch", "delete")).join(c, "parent_symbol_id")
+    m = m.where(~F.exists("decorators", lambda d: d.rlike("|".join(EXPECTS))))
+    m = RW.sliced(g, R._located(g, m), "range.start_byte", "range.end_byte").where(~F.col("_source").rlike("|".join(r.replace(".", r"[.]") for r in REQUEST)))
+    indent = F.repeat(F.lit(" "), F.col("range.start_column").cast("int"))
+    return planned(m, "_path", "insert", "range.start_byte", "range.start_byte", F.concat(F.lit("@"), F.col("_ns"), F.lit(".expect(None)\n"), indent))
+
+
+@codemod("split_file", PY)
+def split_file(g, path: str, to: str, base: str = "Enum"):
+    """The classes of a file below a base class into a new file."""
+    from graphloom.plans.views import is_subclass_of
+
+    f = g.files.where(F.col("path") == g.find_file(path)).select(F.col("id").alias("file_id"))
+    c = g.symbols.where("kind = 'class' and is_top_level").join(f, "file_id", "left_semi").join(is_subclass_of(g, base), "id", "left_semi")
+    return R.move_to_file(g, c.select("id"), to)
+
+
+def split_file_and_rename_symbols(g: CodeGraph, path: str, to: str, contains: str, old: str, new: str, rename_to: str | None = None) -> DataFrame:
+    """Sources after three steps: classes whose name holds a word move to a new file, one is renamed there, the old file is moved.
+
+    Each step plans on the graph of the sources that the one before left, so this gives (path, content), not edits.
+    """
+    from graphloom.lineage import cut
+    from graphloom.operators.edits import apply
+
+    def after(g: CodeGraph, edits: DataFrame) -> CodeGraph:
+        out = apply(g.sources, edits)
+        return CodeGraph(g.spark, cut(out.where("status <> 'removed'").select("path", "content")), g.language, g.configs, g.roots)
+
+    f = g.files.where(F.col("path") == g.find_file(path)).select(F.col("id").alias("file_id"))
+    c = g.symbols.where("kind = 'class' and is_top_level").where(F.col("name").contains(contains)).join(f, "file_id", "left_semi")
+    g = after(g, R.move_to_file(g, c.select("id"), to))
+    there = g.files.where(F.col("path") == to).select(F.col("id").alias("file_id"))
+    g = after(g, R.rename(g, g.symbols.where(F.col("name") == old).where("kind = 'class'").join(there, "file_id", "left_semi").select("id"), new))
+    return (after(g, R.rename_file(g, path, rename_to)) if rename_to else g).sources
+
+
+@codemod("swap_class_attribute_usages", PY)
+def swap_class_attribute_usages(g, old: str, new: str, parameter: str, attribute: str, module: str):
+    """Parameters of one class become such of another, which holds the first in an attribute; bodies and calls follow."""
+    p = g.parameters.where(F.col("annotation") == old)
+    rest = RW.sliced(g, R._located(g, p).withColumn("_to", F.col("end_byte") + 2 * len(old.encode()) + 64), "end_byte", "_to")
+    mark = F.regexp_extract("_source", rf"^\s*:\s*{re.escape(old)}", 0)  # the name's annotation
+    parts = [planned(rest, "_path", "edit", "start_byte", F.col("end_byte") + F.octet_length(mark), f"{parameter}: {new}")]
+    fs = R._of(g, p.select(F.col("symbol_id").alias("id")))
+    parts.append(R.add_import(g, fs.select(F.col("_path").alias("path"), F.lit(f"from {module} import {new}").alias("statement")).distinct()))
+    # where the body uses the name, it is bound anew
+    used = g.identifiers.where("role = 'load'").select("symbol_id", "name").distinct()
+    b = fs.join(p.join(used, ["symbol_id", "name"], "left_semi").select(F.col("symbol_id").alias("id"), F.col("name").alias("_name")), "id").where("body_start is not null")
+    at = F.coalesce("doc_end", "body_start")
+    indent = F.repeat(F.lit(" "), (F.col("range.start_column") + 4).cast("int"))
+    line = F.concat(F.col("_name"), F.lit(f" = {parameter}.{attribute}"))
+    text = F.when(F.col("doc_end").isNull(), F.concat(line, F.lit("\n"), indent)).otherwise(F.concat(F.lit("\n"), indent, line))
+    parts.append(planned(b, "_path", "insert", at, at, text))
+    a = g.arguments().join(p.select(F.col("symbol_id").alias("target_symbol_id"), F.col("name").alias("parameter")), ["target_symbol_id", "parameter"], "left_semi")
+    value = F.when(F.col("name").isNotNull(), F.concat(F.lit(f"{parameter}="), F.col("value"), F.lit(f".{parameter}"))).otherwise(F.concat(F.col("value"), F.lit(f".{parameter}")))
+    parts.append(planned(R._located(g, a, "source_file_id"), "_path", "edit", "start_byte", "end_byte", value))
+    return union(*parts)
+
+
+def from_source(source: str, name: str = "execute", language: str | None = None) -> None:
+    """Register the codemod that trusted source defines under a name."""
+    from graphloom.functions.expressions import compiled
+
+    _registry[name] = (compiled(source, name, {"F": F, "R": R, "planned": planned}), language)
+
+
+class Skill:
+    """A codemod with examples: pairs of files before and after, which check() runs it on."""
+
+    def __init__(self, name: str, language: str, examples: list[tuple[dict[str, str], dict[str, str]]], **arguments):
+        self.name, self.language, self.examples, self.arguments = name, language, examples, arguments
+
+    def check(self, spark) -> list[dict[str, tuple[str | None, str | None]]]:
+        """For each example the files that differ from what was expected, as (expected, got); all empty if it is right."""
+        from graphloom.operators.edits import apply
+
+        out = []
+        for before, after in self.examples:
+            g = CodeGraph.from_files(spark, before, self.language)
+            rows = apply(g.sources, run(self.name, g, **self.arguments)).where("status <> 'removed'").collect()  # an example's files
+            got = {r.path: bytes(r.content).decode() for r in rows}
+            out.append({p: (after.get(p), got.get(p)) for p in sorted({*after, *got}) if after.get(p) != got.get(p)})
+        return out
