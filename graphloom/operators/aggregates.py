@@ -43,6 +43,12 @@ def halstead(tokens: DataFrame, symbol: str, token: str) -> DataFrame:
     return out.withColumn("volume", F.col("total") * F.log2("distinct_tokens"))
 
 
+def halstead_of(tokens: Column) -> tuple[Column, Column, Column]:
+    """Total, distinct tokens and volume of an array of tokens, without a shuffle."""
+    total, distinct = F.size(tokens).cast("long"), F.size(F.array_distinct(tokens)).cast("long")
+    return total, distinct, F.when(total > 0, total * F.log2(distinct.cast("double"))).otherwise(0.0)
+
+
 def maintainability(volume: Column, complexity: Column, loc: Column) -> Column:
     """0 to 100, truncated to a whole number; texts without lines or volume get 100."""
     raw = 171 - 5.2 * F.log(F.greatest(volume, F.lit(1.0))) - 0.23 * complexity - 16.2 * F.log(F.greatest(loc, F.lit(1)))

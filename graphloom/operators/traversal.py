@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from graphloom.lineage import cut, is_empty
 
 
+#: Parts that a table of visited nodes is a union of before it is written as one.
+PARTS = 16
+
+
+def compact(df: DataFrame, step: int) -> DataFrame:
+    """A union of stored parts, which every PARTS steps is stored as one, so no step rewrites all that came before it."""
+    return df if step % PARTS else cut(df)
+
+
 def trace(edges: DataFrame, start: DataFrame, depth: int, inbound: bool = False, max_results: int | None = None) -> DataFrame:
     """Edges met going out (or in) from the start nodes, each once with the hop at which it is first met.
 
@@ -29,7 +38,7 @@ def trace(edges: DataFrame, start: DataFrame, depth: int, inbound: bool = False,
         frontier = cut(step.select(F.col(b).alias("node")).distinct().join(seen, "node", "left_anti"))
         if is_empty(frontier):
             break
-        seen = cut(seen.unionAll(frontier))
+        seen = compact(seen.unionAll(frontier), hop)
     if out is None:
         out = e.select("src", "dst", F.lit(0).alias("depth")).where(F.lit(False))
     return out if max_results is None else out.orderBy("depth", "src", "dst").limit(max_results)
@@ -46,7 +55,7 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
         frontier = cut(nxt.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level)))
         if is_empty(frontier):
             break
-        seen = cut(seen.unionAll(frontier))
+        seen = compact(seen.unionAll(frontier), level)
     return seen.where("level > 0")
 
 
@@ -77,12 +86,14 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd").select("src", "dst", "cs")
         )
         comp = frontier = cut(colour.where("node = colour"))
+        hops = 0
         while True:
             nxt = inside.join(frontier, (F.col("dst") == F.col("node")) & (F.col("cs") == F.col("colour")), "left_semi").select(F.col("src").alias("node"), F.col("cs").alias("colour")).distinct()
             frontier = cut(nxt.join(comp, ["node", "colour"], "left_anti"))
             if is_empty(frontier):
                 break
-            comp = cut(comp.unionAll(frontier))
+            hops += 1
+            comp = compact(comp.unionAll(frontier), hops)
         out = comp if out is None else out.unionAll(comp)
         e = cut(e.join(comp.select(F.col("node").alias("src")), "src", "left_anti").join(comp.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if out is None:

@@ -310,8 +310,10 @@ _words = r"regexp_extract_all(lower(text), '[a-z]+')"
 @query(f"""SELECT doc_id AS symbol_id, count(*) AS total, count(DISTINCT w) AS distinct_tokens, round(count(*) * log2(count(DISTINCT w)), 6) AS volume
  FROM (SELECT doc_id, unnest({_words}) AS w FROM documents) GROUP BY 1""")
 def halstead(spark, d):
-    w = t(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    return A.halstead(w, "symbol_id", "w").withColumn("volume", F.round("volume", 6))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: w != "")
+    total, distinct, volume = A.halstead_of(F.col("words"))
+    w = t(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), words.alias("words")).where("size(words) > 0")
+    return w.select("symbol_id", total.alias("total"), distinct.alias("distinct_tokens"), F.round(volume, 6).alias("volume"))
 
 
 @query(r"""SELECT doc_id AS file_id, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS loc,

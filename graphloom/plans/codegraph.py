@@ -53,6 +53,7 @@ class CodeGraph:
     language is python or typescript. Ids are dense: files by path components, records by file and place. roots are
     folders, such as src, that Python modules are named from. resolver takes the imports that no rule resolves and the
     files, and gives rows (import_id, path) for those that it knows, at most one an import.
+    extracted is what repo.parse gave for the sources, if that is at hand.
     """
 
     def __init__(
@@ -63,9 +64,10 @@ class CodeGraph:
         configs: list[dict] | None = None,
         roots: tuple[str, ...] = (),
         resolver: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+        extracted: DataFrame | None = None,
     ):
         self.spark, self.sources, self.language, self.configs, self.roots = spark, sources, language, configs or [], tuple(roots)
-        self.resolver = resolver
+        self.resolver, self.extracted = resolver, extracted
 
     # construction --------------------------------------------------------------------------------------------------
     @classmethod
@@ -90,7 +92,7 @@ class CodeGraph:
     # tables --------------------------------------------------------------------------------------------------------
     @cached_property
     def parsed(self) -> DataFrame:
-        return numbered(repo.parse(self.sources, self.language, roots=self.roots))
+        return numbered(repo.parse(self.sources, self.language, roots=self.roots) if self.extracted is None else self.extracted)
 
     @cached_property
     def files(self) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -18,20 +18,82 @@ from graphloom.operators.rows import main_kind
 PYTHON, TYPESCRIPT = "python", "typescript"
 EXTENSIONS = {PYTHON: ("py",), TYPESCRIPT: ("ts", "tsx", "js", "jsx")}
 SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_modules", "target")
+# Globs of paths that no scan of a repository gives.
+IGNORED = (
+    ".git/*", "*/.git/*", "node_modules/*", "*/node_modules/*", ".yarn/releases/*", ".*/tests/static/chunk-.*.js", ".*/ace/.*.js", "src/vs/platform/contextview/browser/contextMenuService.ts",
+    "*/semver.js", "*/compiled/*", "*.min.js", "*@*.js",
+)
 #: A language needs this share of all files to be a repository's.
 LANGUAGE_SHARE = 0.1
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, subdirs: tuple[str, ...] = (), ignore: str | None = None) -> DataFrame:
+def scan(
+    spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, subdirs: tuple[str, ...] = (), ignore: str | None = None, gitignore: bool = True
+) -> DataFrame:
     """(path, content) of the files below root; paths are relative to it. Contents are read only if used.
 
-    extensions are suffixes, subdirs path prefixes, ignore a pattern on paths. Skipped directories are left out.
+    extensions are suffixes, subdirs path prefixes, ignore a pattern on paths. Skipped directories and IGNORED paths are
+    left out, and with gitignore what the repository's own ignore files say; those are few and read on the driver. Spark
+    doesn't list empty files, nor those whose names begin with a dot or an underscore.
     """
     base = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     bare = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", base)
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/*", "/"), f"^{re.escape(bare)}/", "")
-    return filtered(df.select(path.alias("path"), "content"), extensions, subdirs, ignore)
+    found = df.select(path.alias("path"), "content")
+    if gitignore:
+        deepest = found.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+        found = found.where(~ignored_by(ignore_files(spark, base, deepest)))
+    return filtered(found.where(~F.col("path").rlike("|".join(f"(?:{glob_match(g)})" for g in IGNORED))), extensions, subdirs, ignore)
+
+
+def ignore_files(spark: SparkSession, root: str, depth: int) -> list[tuple[str, str]]:
+    """(path, text) of the ignore files in folders of so many levels; found by name, since Spark's readers skip hidden files."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start, out = fs.makeQualified(top).toString().rstrip("/"), []
+    for level in range(depth):
+        for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}{'/*' * level}/.gitignore")) or []:
+            stream = fs.open(s.getPath())
+            try:
+                out.append((s.getPath().toString()[len(start) + 1 :], jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return out
+
+
+def glob_match(glob: str) -> str:
+    """A pattern for whole paths of a shell glob, whose star also stands for slashes."""
+    parts = {"*": ".*", "?": "."}
+    return "^" + "".join(parts.get(c) or re.escape(c) for c in glob) + "$"
+
+
+def ignored_by(files: list[tuple[str, str]]) -> Column:
+    """Whether ignore files (path, text) leave a path out: the last rule that fits it or a folder above it decides.
+
+    Rules of a deeper file come later. A slash within a rule ties it to its file's folder, one at its end means folders
+    only, a star stays within a name, two stars span folders, and an exclamation mark takes back. What lies in a folder
+    that is left out stays out.
+    """
+    rules = []
+    for path, text in sorted(files, key=lambda f: (f[0].count("/"), f[0])):
+        base = re.escape(path[: -len(".gitignore")])
+        for line in text.splitlines():
+            line = re.sub(r"(?<!\\)\s+$", "", line)
+            if not line or line.startswith("#"):
+                continue
+            back, line = line.startswith("!"), line.removeprefix("!")
+            folder, bare = line.endswith("/"), line.strip("/")
+            anchored = "/" in line.rstrip("/")
+            body = ""
+            for part in re.split(r"(\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]*\])", bare):
+                body += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^", 1) if part.startswith("[") else re.escape(part))
+            rules.append((back, f"^{base}{'' if anchored else '(?:.*/)?'}{body}{'/' if folder else '(?:/|$)'}", f"^{base}{'' if anchored else '(?:.*/)?'}{body}{'/.' if folder else '$'}"))
+    out = F.lit(False)
+    for back, below, itself in rules:
+        out = F.when(F.col("path").rlike(itself if back else below), F.lit(not back)).otherwise(out)
+    return out
 
 
 def filtered(files: DataFrame, extensions: tuple[str, ...] | None = None, subdirs: tuple[str, ...] = (), ignore: str | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Keeping the tables of a repository current under a stream of file changes, and event-time windows over changes.
 
 A change is a row (path, change, rename_to, content, ts, seq) with change one of added, modified, renamed, removed. The
-state is a versioned table of sources in a shared folder; every micro-batch writes a new version, so a batch that runs
-again after a failure writes the same version anew and readers never see half of one.
+state is a versioned table of sources, and one of what was extracted from them, in a shared folder; every micro-batch
+writes the changed rows as a new version, so a batch that runs again after a failure writes the same version anew and
+readers never see half of one.
 """
 
 from __future__ import annotations
@@ -13,9 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import schema
+from graphloom.lineage import cut
 from graphloom.operators.joins import last_wins
 from graphloom.plans.codegraph import CodeGraph
+from graphloom.sources.repo import parse
 
+SOURCES = "path string, content binary"
+PARSED = schema.PARSED + ", _gone boolean"
 CHANGES = "path string, change string, rename_to string, content binary, ts timestamp, seq bigint"
 
 
@@ -73,7 +79,14 @@ def affected(references: DataFrame, changed_files: DataFrame, symbols: DataFrame
 
 
 class Repository:
-    """Versions of a repository's sources in a shared folder, and the graph of the latest."""
+    """Versions of a repository's sources and of what was extracted from them, in a shared folder.
+
+    A version is stored as the rows that changed (v=N), with a null content for a path that went; every KEPT versions the
+    whole table is stored besides (full=N), so a version is read from one whole table and few changes. Files that a
+    change doesn't touch are neither written nor parsed again.
+    """
+
+    KEPT = 16
 
     def __init__(self, spark: SparkSession, folder: str, language: str):
         self.spark, self.folder, self.language = spark, folder.rstrip("/"), language
@@ -83,42 +96,86 @@ class Repository:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        """Complete versions, ascending: those whose folder has Spark's success mark."""
+    def _stored(self, table: str) -> tuple[list[int], list[int]]:
+        """Complete changes and whole tables, ascending: those whose folder has Spark's success mark."""
         fs, path = self._fs()
-        root = path(f"{self.folder}/sources")
-        if not fs.exists(root):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in found if n.startswith("v=") and fs.exists(path(f"{self.folder}/sources/{n}/_SUCCESS")))
+        root = path(f"{self.folder}/{table}")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        done = [n for n in names if fs.exists(path(f"{self.folder}/{table}/{n}/_SUCCESS"))]
+        return tuple(sorted(int(n.split("=")[1]) for n in done if n.startswith(kind)) for kind in ("v=", "full="))
+
+    def versions(self) -> list[int]:
+        """Complete versions, ascending."""
+        changed, whole = self._stored("sources")
+        return sorted({*changed, *whole})
 
     @property
     def generation(self) -> int:
         return max(self.versions(), default=-1)
 
+    def _read(self, table: str, version: int, ddl: str) -> DataFrame:
+        changed, whole = self._stored(table)
+        base = max((v for v in whole if v <= version), default=-1)
+        read = lambda kind, v: self.spark.read.schema(ddl).parquet(f"{self.folder}/{table}/{kind}={v}")
+        out = read("full", base) if base >= 0 else self.spark.createDataFrame([], ddl)
+        later = [v for v in changed if base < v <= version]
+        if not later:
+            return out
+        new = None
+        for v in later:
+            x = read("v", v).withColumn("_v", F.lit(v))
+            new = x if new is None else new.unionAll(x)
+        last = new.groupBy("path").agg(F.max("_v").alias("_last")).withColumnRenamed("path", "_p")
+        new = new.join(last, (F.col("path") == F.col("_p")) & (F.col("_v") == F.col("_last"))).drop("_p", "_v", "_last")
+        return out.join(last.select(F.col("_p").alias("path")), "path", "left_anti").unionByName(new)
+
+    def _write(self, table: str, rows: DataFrame, version: int, ddl: str, whole: bool) -> None:
+        kind = "full" if whole else "v"
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/{kind}={version}")
+        changed, full = self._stored(table)
+        base = max((v for v in full if v <= version), default=-1)
+        if not whole and sum(base < v <= version for v in changed) >= self.KEPT:
+            self._read(table, version, ddl).write.mode("overwrite").parquet(f"{self.folder}/{table}/full={version}")
+
     def sources(self, version: int | None = None) -> DataFrame:
         v = self.generation if version is None else version
-        if v < 0:
-            return self.spark.createDataFrame([], "path string, content binary")
-        return self.spark.read.parquet(f"{self.folder}/sources/v={v}")
+        return self._read("sources", v, SOURCES).where("content is not null")
+
+    def parsed(self, version: int | None = None) -> DataFrame:
+        """What was extracted from the files of a version."""
+        v = self.generation if version is None else version
+        return self._read("parsed", v, PARSED).where("not _gone").drop("_gone")
 
     def write(self, sources: DataFrame, version: int) -> int:
-        sources.select("path", F.col("content").cast("binary").alias("content")).write.mode("overwrite").parquet(f"{self.folder}/sources/v={version}")
+        """A version of these sources, whatever was there before."""
+        s = sources.select("path", F.col("content").cast("binary").alias("content")).where("content is not null")
+        self._write("parsed", parse(s, self.language).withColumn("_gone", F.lit(False)), version, PARSED, True)
+        self._write("sources", s, version, SOURCES, True)
         return version
 
     def sync(self, changes: DataFrame, version: int | None = None, **filters) -> int:
         """The version after the changes; its number may be given, so that a repeated batch gives no second one."""
-        done = [v for v in self.versions() if version is None or v < version]
-        base = max(done, default=-1)
-        old = self.sources(base) if base >= 0 else self.spark.createDataFrame([], "path string, content binary")
-        return self.write(apply_actions(old, sync_actions(changes, old, **filters)), base + 1 if version is None else version)
+        base = max((v for v in self.versions() if version is None or v < version), default=-1)
+        version = base + 1 if version is None else version
+        actions = cut(sync_actions(changes, self.sources(base), **filters))
+        there = F.col("action") != "delete"
+        own = actions.select("path", F.when(there, F.coalesce("content", F.lit(b""))).alias("content"))
+        new = parse(own.where("content is not null"), self.language).withColumn("_gone", F.lit(False))
+        gone = actions.where(~there).select("path", F.lit(True).alias("_gone"))
+        self._write("parsed", new.unionByName(gone, allowMissingColumns=True), version, PARSED, False)
+        self._write("sources", own, version, SOURCES, False)  # last: a version counts once its sources are there
+        return version
 
     def revert(self, version: int) -> int:
         """A new version with the sources of an old one."""
-        return self.write(self.sources(version), self.generation + 1)
+        new = self.generation + 1
+        self._write("parsed", self.parsed(version).withColumn("_gone", F.lit(False)), new, PARSED, True)
+        self._write("sources", self.sources(version), new, SOURCES, True)
+        return new
 
     def graph(self, version: int | None = None) -> CodeGraph:
-        return CodeGraph(self.spark, self.sources(version), self.language)
+        """The graph of a version, from what is stored of its files' extraction."""
+        return CodeGraph(self.spark, self.sources(version), self.language, extracted=self.parsed(version))
 
     def snapshot(self) -> str:
         """A digest of version, paths and contents; it differs if anything does."""

@@ -132,3 +132,15 @@ def test_long_constants_are_told_apart(spark):
     long = "x" * 100
     tokens = CodeGraph.from_files(spark, {"a.py": f"def f():\n    return '{long}1' + '{long}2' + '{long}1'\n"}).tokens.where("group = 'operand' and token like 'sha256:%'").collect()
     assert len(tokens) == 3 and len({t.token for t in tokens}) == 2
+
+
+def test_scans_follow_ignore_files(spark, tmp_path):
+    from graphloom.sources import repo
+
+    files = {".gitignore": "*.log\n/build/\n!keep.log\ndocs/**/x.py\n# no\n", "a.py": "", "sub/b.log": "", "sub/keep.log": "", "build/c.py": "", "sub/build/d.py": "", "docs/u/v/x.py": "", "sub/.gitignore": "e.py\n", "sub/e.py": "", "e.py": "", "x/y.min.js": "", "q@1.js": "", "z/compiled/k.py": "", "node_modules/m/n.js": ""}
+    for p, t in files.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t or "x = 1\n")
+    got = {r.path for r in repo.scan(spark, str(tmp_path)).select("path").collect()}
+    assert got == {"a.py", "sub/keep.log", "sub/build/d.py", "e.py"}
+    assert "sub/e.py" in {r.path for r in repo.scan(spark, str(tmp_path), gitignore=False).select("path").collect()}

@@ -98,3 +98,28 @@ def test_affected_files_follow_long_chains(spark):
     references = spark.range(1, 70).select(F.col("id").alias("source_file_id"), (F.col("id") - 1).alias("target_symbol_id"))
     got = C.affected(references, spark.createDataFrame([(0,)], "file_id long"), symbols)
     assert rows(got, "file_id") == sorted([(i,) for i in range(70)], key=repr)
+
+
+def test_incremental_graph_equals_a_rebuild(spark, tmp_path):
+    repo = C.Repository(spark, f"file://{tmp_path}/state", "python")
+    repo.KEPT = 2  # a whole table after every second change
+    steps = [
+        [("m.py", "added", None, "def f(): pass\n"), ("n.py", "added", None, "from m import f\ndef g(): f()\n"), ("o.py", "added", None, "import n\n")],
+        [("m.py", "modified", None, "def f(): return 1\ndef h(): f()\n")],
+        [("n.py", "renamed", "k.py", "from m import h\ndef g(): h()\n"), ("o.py", "removed", None, None)],
+        [("p.py", "added", None, "from k import g\ng()\n")],
+    ]
+
+    def tables(g):
+        name = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", F.concat_ws(":", "path", "name").alias("n"))
+        a, b = (name.select(F.col("id").alias(c), F.col("n").alias(x)) for c, x in (("source_symbol_id", "a"), ("target_symbol_id", "b")))
+        return rows(name, "n"), rows(g.references.join(a, "source_symbol_id", "left").join(b, "target_symbol_id"), "a", "b"), rows(g.files, "path", "content_hash")
+
+    for step in steps:
+        repo.sync(change(spark, step))
+        assert tables(repo.graph()) == tables(C.CodeGraph(spark, repo.sources(), "python"))
+    assert repo.versions() == [0, 1, 2, 3] and repo._stored("sources")[1] == [1, 3]
+    # what is stored of an unchanged file is taken as it is
+    extracted = spark.read.parquet(f"{tmp_path}/state/parsed/v=3")
+    assert [r.path for r in extracted.collect()] == ["p.py"]
+    assert rows(repo.graph(1).files, "path") == [("m.py",), ("n.py",), ("o.py",)]
