@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.lineage import cut
+from graphloom.operators.rows import place_over_ranges
 
 
 def dependencies(references: DataFrame, source: str = "source_symbol_id", target: str = "target_symbol_id", ref: str = "id") -> DataFrame:
@@ -62,6 +63,6 @@ def line_count(text: Column) -> Column:
 
 
 def flag_groups(flags: DataFrame, by: str, size: int, order: list[str]) -> DataFrame:
-    """Flags of each group in chunks of `size`: adds chunk, counted from 0 in the given order."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return flags.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Flags of each group in chunks of `size`: adds chunk, counted from 0 in the given order. A group may be of any size."""
+    placed = place_over_ranges(flags, [by], order, "_place")
+    return placed.withColumn("chunk", F.floor(F.col("_place") / size).cast("long")).drop("_place")

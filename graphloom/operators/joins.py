@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.rows import ranged
+
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
     """One row per key: that of the greatest order (least with first). An aggregate, so rows combine before the shuffle."""
@@ -65,7 +67,8 @@ def overlaps(a: DataFrame, b: DataFrame, group: str, a_span: tuple[str, str], b_
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, values: Sequence[str], strict: bool = True) -> DataFrame:
     """Each left row with the values of the latest right row of its keys before it (or at it, if not strict).
 
-    One union and one window instead of an inequality join: the sort is linear in the rows, whatever the matches.
+    One union and one window instead of an inequality join: the sort is linear in the rows, whatever the matches. Rows are
+    dealt out by ranges of keys and time, so no task holds all rows of a key.
     Rows of equal `at` on the right: the greatest values win.
     """
     tag = 1 if strict else 0  # at equal times a left row precedes right ones if strict
@@ -74,10 +77,20 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, values:
     r = right.select(
         *[F.col(c) if c in by or c == at else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(tag).alias("_side"), F.struct(*values).alias("_v")
     )
-    w = Window.partitionBy(*by).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = ranged(l.unionAll(r), by, [at, "_side", "_v"])
+    w = Window.partitionBy("_part", *by).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = (F.col("_side") == 1 - tag) & F.col("_v").isNull()
-    out = l.unionAll(r).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where(own)
-    return out.select(*cols, *[F.col(f"_last.{v}").alias(f"prev_{v}") for v in values])
+    # the last values of each key and range; what a range's first key brings from earlier ones is one row a range
+    ends = both.groupBy("_part", *by).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(at, "_side", "_v"))).alias("_x"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.withColumn("_y", F.last("_x", ignorenulls=True).over(earlier)).where("_y is not null")
+    brought = brought.select(F.col("_part").alias("_bp"), *[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], F.col("_y._v").alias("_brought"))
+    on = F.col("_part") == F.col("_bp")
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where(own).join(F.broadcast(brought), on, "left")
+    last = F.coalesce("_last", "_brought")
+    return out.select(*cols, *[last[v].alias(f"prev_{v}") for v in values])
 
 
 def unmatched(df: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:

@@ -7,12 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.lineage import cut
+
 
 def place_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "place", start: int = 0) -> DataFrame:
     """df with each row's place among those of its keys, from `start` on; the order should be total."""
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start).cast("long"))
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence, part: str = "_part") -> DataFrame:
+    """df dealt out by ranges of (keys, order) and stored, with the range's number: a hot key spans several ranges."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in [*keys, *order]]
+    return cut(cut(df).repartitionByRange(*cols).withColumn(part, F.spark_partition_id()))  # stored first, since ranges are sampled
+
+
+def place_over_ranges(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "place", start: int = 0) -> DataFrame:
+    """As place_within, but no task holds all rows of a key: places within a range, plus the key's rows in earlier ranges."""
+    r = ranged(df, keys, order)
+    sizes = r.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each key and range
+    # only a range's first key can have begun before it, so at most one row a range is left
+    before = sizes.withColumn("_before", earlier).where("_before is not null").select(F.col("_part").alias("_bp"), *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_before")
+    inside = place_within(r, ["_part", *keys], order, out, start)
+    on = F.col("_part") == F.col("_bp")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    placed = inside.join(F.broadcast(before), on, "left").withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0)))
+    return placed.select(*df.columns, out)
+
+
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, before: str = "predecessor", after: str = "successor") -> DataFrame:
     """df with the value of the row before and of the row after among those of its keys, null at the ends."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -95,3 +95,35 @@ def test_sources(spark, tmp_path):
     assert rows(got) == [("x", 11, 1), ("x", 3, 4)]
     assert repo.fnv1a(b"") == "cbf29ce484222325" and repo.is_minified("a" * 3000) and not repo.is_minified("let a = 1;\n" * 50)
     assert repo.strip_jsonc('{"a": "//x", /* c */ "b": [1,],}') == '{"a": "//x",  "b": [1]}'
+
+
+def test_hot_keys_span_ranges(spark, request):
+    from graphloom.operators import rows as W
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    df = spark.range(1000).select((F.col("id") % 7 == 3).cast("string").alias("k"), (F.col("id") * 37 % 1000).alias("t"), "id")
+    plain = {r.id: r.place for r in W.place_within(df, ["k"], ["t"]).collect()}
+    assert {r.id: r.place for r in W.place_over_ranges(df, ["k"], ["t"]).collect()} == plain
+    assert W.ranged(df, ["k"], ["t"]).where("k = 'false'").select("_part").distinct().count() > 1
+    left = df.where("id % 3 = 0")
+    right = df.where("id % 50 = 1").select("k", "t", F.col("id").alias("v"))
+    got = {r.id: r.prev_v for r in J.as_of(left, right, ["k"], "t", ["v"]).collect()}
+    defs = [(r.k, r.t, r.v) for r in right.collect()]
+    want = {r.id: max(((t, v) for k, t, v in defs if k == r.k and t < r.t), default=(0, None))[1] for r in left.collect()}
+    assert got == want
+    assert A.flag_groups(df.limit(0), "k", 10, ["t"]).count() == 0
+
+
+def test_rows(spark):
+    from graphloom.operators import rows as W
+
+    df = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (2, "a", None), (2, "a", "y")], "k int, v string, g string")
+    assert {(r.k, r.n) for r in W.distinct_per(df, "k", "v", "n").collect()} == {(1, 2), (2, 1)}
+    assert [r.k for r in W.distinct_per(df, "k", "v", "n", 2).collect()] == [1]
+    assert {tuple(r) for r in W.by_kind(df, "k", "v", {"a": "as", "b": "bs"}).collect()} == {(1, 1, 1), (2, 2, 0)}
+    assert W.main_kind(df, "g", 0.5, "other", "m").first().m == "x" and W.main_kind(df, "g", 0.9, "other", "m").first().m == "other"
+    assert W.main_kind(df.limit(0), "g", 0.9, "other", "m").first().m == "other"
+    assert {tuple(r) for r in W.differences(df.select("k"), spark.createDataFrame([(1,), (3,)], "k int")).collect()} == {("missing", 3), ("added", 1)}
+    assert W.one_row((df, [F.count("*").alias("n")]), (df.limit(0), [F.sum("k").alias("s")])).first().asDict() == {"n": 4, "s": None}
+    assert {tuple(r) for r in W.pair_counts(df, "k", "v", F.col("g").isNotNull(), "yes", "no").collect()} == {(2, "a", 1, 1)}
