@@ -7,9 +7,10 @@ of a word counted n times in a bucket of N counts; words never counted share the
 form classes, and p(token) = p(class) * p(token in class), each a softmax over the hidden state, so a prediction costs the
 square root of the vocabulary.
 
-The network is first fitted on the driver on a bounded sample, which only gives a start; then every task goes over all
-positions of its documents from there on, and the tasks' parameters are averaged with their numbers of positions as
-weights: every token of every document is predicted once, however short or long its text.
+The network is first fitted on the driver on a bounded sample of whole documents, which only gives a start; then every
+task goes over all positions of its documents from there on, and the tasks' parameters are averaged with their numbers of
+positions as weights: every token of every document is predicted once, however short or long its text. What a task learns
+depends on which documents it holds, so other numbers of partitions give somewhat other parameters.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ VOCABULARY = SIDE * SIDE
 HASHED = 64
 OFFSETS = (-3, -2, -1, 1, 2, 3)
 HIDDEN = 12
-#: Documents of the driver's first fit, at most; positions in the tasks' pass: one in so many, 1 for all.
-FIT_DOCS, EVERY = 400, 1
+#: Documents of the driver's first fit, at most, and the bytes of the longest of them.
+FIT_DOCS, FIT_BYTES = 400, 1 << 16
+#: Positions of one step of the tasks' pass, and its rate.
+STEP, RATE = 2048, 1.0
 #: Words that a task counts before it hands its counts on, and the longest word of the vocabulary.
 COUNTED, LONGEST = 200_000, 64
 #: Bucketed words, at most, whose counts every task holds; counts of the others are joined.
@@ -230,7 +233,7 @@ def padded_row(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(at) if at else np.zeros(0, np.int64)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, every: int = EVERY) -> tuple[Vocabulary, Network]:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> tuple[Vocabulary, Network]:
     """Vocabulary, counts and network of the texts. The driver holds a vocabulary, LISTED counts and fit_docs documents' tokens at most."""
     tune(df.sparkSession)
     counts = cut(word_counts(df, text_col))
@@ -248,12 +251,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [encode(vocab, t) for t in batch.column(1).to_pylist()]
-            # a long text is cut into pieces of bounded size, of which the first would not do: evenly spread ones are kept
-            rows = [r if len(r) <= 4096 else np.concatenate([r[i : i + 512] for i in np.linspace(0, len(r) - 512, 8).astype(int)]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["_id", "tokens"])
 
     key = df.schema[id_col].dataType.simpleString()
-    got = named.join(F.broadcast(ids), F.col("_id") == F.col("_pick"), "left_semi").mapInArrow(tokenise, schema=f"_id {key}, tokens array<int>")
+    short = named.where(F.octet_length("_text") <= FIT_BYTES)
+    got = short.join(F.broadcast(ids), F.col("_id") == F.col("_pick"), "left_semi").mapInArrow(tokenise, schema=f"_id {key}, tokens array<int>")
     rows = [np.asarray(r.values, dtype=np.int32) for r in got.toArrow().sort_by("_id").column("tokens")]
     row, at = padded_row(rows)
     rng = np.random.default_rng(9)
@@ -261,8 +263,6 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
         order = rng.permutation(at)
         for i in range(0, len(order), 1024):
             net.step(row, order[i : i + 1024], 1.0 / (1 + epoch))
-    if every <= 0:
-        return vocab, net
     begin = net.flat.copy()
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +271,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
         for batch in batches:
             row, at = padded_row([encode(vocab, t) for t in batch.column(1).to_pylist()])
             task = crc32(str(batch.column(0)[0]).encode()) if task is None and batch.num_rows else task
-            at = at[(task or 0) % every :: every]
             at = np.random.default_rng(task or 0).permutation(at)
-            for i in range(0, len(at), 1024):
-                own.step(row, at[i : i + 1024], 0.3)
+            for i in range(0, len(at), STEP):
+                own.step(row, at[i : i + STEP], RATE)
             positions += len(at)
         if positions:
             parts = np.array_split(own.flat - begin, SLICES)
