@@ -9,9 +9,14 @@ from graphloom.lineage import cut
 from graphloom.operators.rows import place_over_ranges
 
 
-def dependencies(references: DataFrame, source: str = "source_symbol_id", target: str = "target_symbol_id", ref: str = "id") -> DataFrame:
-    """(source, target, reference_ids sorted, reference_count); references without source are left out."""
+def dependencies(references: DataFrame, source: str = "source_symbol_id", target: str = "target_symbol_id", ref: str = "id", gather: bool = True) -> DataFrame:
+    """(source, target, reference_ids sorted, reference_count); references without source are left out.
+
+    Without gather the ids are not put into one row a pair, which a pair of very many references would outgrow.
+    """
     r = references.where(F.col(source).isNotNull())
+    if not gather:
+        return r.groupBy(source, target).agg(F.count("*").alias("reference_count"))
     return r.groupBy(source, target).agg(F.sort_array(F.collect_list(ref)).alias("reference_ids"), F.count("*").alias("reference_count"))
 
 

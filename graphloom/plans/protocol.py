@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from pyspark.sql import DataFrame
@@ -17,36 +18,47 @@ from graphloom.plans.codegraph import RUNTIME, CodeGraph
 VERSION = 1
 
 
-def choice(request: dict, name: str, allowed: set[str], default: str) -> str:
-    value = text(request, name, default)
-    if value not in allowed:
-        raise ValueError(f"{name} must be one of: {', '.join(sorted(allowed))}")
-    return value
-
-
-def text(request: dict, name: str, default: str | None = None, required: bool = False) -> str | None:
-    value = request.get(name, default)
-    if value is None and required:
-        raise ValueError(f"{name} is required")
-    if value is not None and not isinstance(value, str):
-        raise ValueError(f"{name} must be a string")
-    return value
-
-
-def number(request: dict, name: str, default: int, least: int) -> int:
-    value = request.get(name, default)
-    if not isinstance(value, int) or isinstance(value, bool):
-        raise ValueError(f"{name} must be an integer")
-    if value < least:
-        raise ValueError(f"{name} must be >= {least}")
-    return value
-
-
-def flag(request: dict, name: str, default: bool = False) -> bool:
-    value = request.get(name, default)
-    if not isinstance(value, bool):
-        raise ValueError(f"{name} must be a boolean")
-    return value
+@dataclass(frozen=True)
+class Field:
+    """What a request's field may hold; error texts are part of the protocol."""
+
+    kind: type
+    default: object = None
+    required: bool = False
+    least: int | None = None
+    allowed: tuple[str, ...] = ()
+
+    def fault(self, value: object) -> str | None:
+        if value is None and self.kind is str:
+            return "is required" if self.required else None
+        if type(value) is not self.kind:
+            return {str: "must be a string", int: "must be an integer", bool: "must be a boolean"}[self.kind]
+        if self.allowed and value not in self.allowed:
+            return f"must be one of: {', '.join(sorted(self.allowed))}"
+        return f"must be >= {self.least}" if self.least is not None and value < self.least else None
+
+
+_target, _most = Field(str, required=True), Field(int, 200, least=1)
+_filters = {k: Field(bool, False) for k in ("resolved_only", "local_only", "hide_runtime", "dedupe")}
+#: The fields that each operation reads.
+FIELDS: dict[str, dict[str, Field]] = {
+    "symbols": {"query": Field(str), "kind": Field(str, "all", allowed=("all", "function", "class", "symbol")), "max_results": _most},
+    "inspect": {"file": _target, "level": Field(str, "functions", allowed=("summary", "functions", "calls", "full")), "max_functions": _most, "max_calls": Field(int, 20, least=0)},
+    "callgraph": {"raw": Field(bool, False), "direction": Field(str, "outbound", allowed=("outbound", "inbound")), "depth": Field(int, 2, least=0), "target": _target, "max_results": _most},
+    "using": _filters | {"depth": Field(int, 1, least=0), "target": _target, "max_results": _most},
+}
+FIELDS["usages"] = FIELDS["using"]
+
+
+def read(request: dict, fields: dict[str, Field]) -> dict:
+    """The fields' values, defaults filled in; the first that may not be so is an error."""
+    values = {}
+    for name, field in fields.items():
+        values[name] = request.get(name, field.default)
+        fault = field.fault(values[name])
+        if fault:
+            raise ValueError(f"{name} {fault}")
+    return values
 
 
 def call_edges(g: CodeGraph) -> DataFrame:
@@ -131,38 +143,37 @@ class Session:
         try:
             if not isinstance(request, dict):
                 raise ValueError("a request is an object")
-            if flag(request, "reload_if_stale") and head["op"] not in ("status", "reload") and self.status()["stale"]:
+            if read(request, {"reload_if_stale": Field(bool, False)})["reload_if_stale"] and head["op"] not in ("status", "reload") and self.status()["stale"]:
                 self.reload()
             return head | {"ok": True, "result": self.dispatch(request)}
         except Exception as e:  # a bad request must not end the session
             return head | {"ok": False, "error": {"type": type(e).__name__, "message": str(e)}}
 
     def dispatch(self, r: dict) -> dict:
-        g, op = self.graph, text(r, "op", required=True)
+        g, op = self.graph, read(r, {"op": Field(str, required=True)})["op"]
         if op in ("summary", "parse"):
             return g.summary()
         if op == "status":
             return self.status()
         if op == "reload":
             return self.reload()
+        if op not in FIELDS:
+            raise ValueError(f"unsupported op {op!r}")
+        x = read(r, FIELDS[op])
         if op == "symbols":
-            query, kind, most = text(r, "query"), choice(r, "kind", {"all", "function", "class", "symbol"}, "all"), number(r, "max_results", 200, 1)
-            rows = g.search_symbols(query, "all" if kind == "symbol" else kind, most).collect()
-            return {"query": query, "kind": kind, "max_results": most, "symbols": [x.asDict() for x in rows]}
+            rows = g.search_symbols(x["query"], "all" if x["kind"] == "symbol" else x["kind"], x["max_results"]).collect()
+            return x | {"symbols": [row.asDict() for row in rows]}
         if op == "inspect":
-            return inspect(g, text(r, "file", required=True), choice(r, "level", {"summary", "functions", "calls", "full"}, "functions"), number(r, "max_functions", 200, 1), number(r, "max_calls", 20, 0))
+            return inspect(g, x["file"], x["level"], x["max_functions"], x["max_calls"])
         if op == "callgraph":
-            raw, direction = flag(r, "raw"), choice(r, "direction", {"outbound", "inbound"}, "outbound")
-            filters = {} if raw else {"resolved_only": True, "local_only": True, "hide_runtime": True, "dedupe": True}
-            return self._trace(r, direction, number(r, "depth", 2, 0), filters) | {"raw": raw}
-        if op in ("using", "usages"):
-            filters = {k: flag(r, k) for k in ("resolved_only", "local_only", "hide_runtime", "dedupe")}
-            return self._trace(r, "outbound" if op == "using" else "inbound", number(r, "depth", 1, 0), filters) | {"filters": filters}
-        raise ValueError(f"unsupported op {op!r}")
-
-    def _trace(self, r: dict, direction: str, depth: int, filters: dict) -> dict:
-        target, most = text(r, "target", required=True), number(r, "max_results", 200, 1)
-        return {"target": target, "direction": direction, "depth": depth, "max_results": most, "edges": trace(self.graph, target, direction, depth, most, **filters)}
+            filters = {} if x["raw"] else dict.fromkeys(_filters, True)
+            return self._trace(x, x["direction"], filters) | {"raw": x["raw"]}
+        filters = {k: x[k] for k in _filters}
+        return self._trace(x, "outbound" if op == "using" else "inbound", filters) | {"filters": filters}
+
+    def _trace(self, x: dict, direction: str, filters: dict) -> dict:
+        edges = trace(self.graph, x["target"], direction, x["depth"], x["max_results"], **filters)
+        return {"target": x["target"], "direction": direction, "depth": x["depth"], "max_results": x["max_results"], "edges": edges}
 
     def lines(self, lines: Iterable[str]) -> Iterator[str]:
         """One answer a line until exit or quit; blank lines are skipped, broken ones answered with an error."""

@@ -331,12 +331,15 @@ def flags(targets: DataFrame, message: str, by: Column, size: int = 10) -> DataF
     return A.flag_groups(f, "group", size, ["id"])
 
 
-def visual(edges: DataFrame, names: DataFrame, root: int | None = None) -> str:
-    """JSON of a (bounded) result's nodes and links; names is (id, name)."""
+def visual(edges: DataFrame, names: DataFrame, root: int | None = None, most: int = 10_000) -> str:
+    """JSON of a result's nodes and links, of which more than `most` are an error; names is (id, name)."""
     e = edges.select("src", "dst").distinct()
+    rows = e.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} links: show a part of the graph")
     ids = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct()
     nodes = [{"id": r.id, "name": r.name, "root": r.id == root} for r in ids.join(names.select("id", "name"), "id", "left").orderBy("id").collect()]
-    links = [{"source": r.src, "target": r.dst} for r in e.orderBy("src", "dst").collect()]
+    links = [{"source": r.src, "target": r.dst} for r in sorted(rows, key=lambda r: (r.src, r.dst))]
     return json.dumps({"type": "graph", "nodes": nodes, "links": links}, sort_keys=True)
 
 
