@@ -4,13 +4,17 @@ A linear model over hashed words and word beginnings, each as met and as met aga
 unlabelled texts, whose toxic share (the class prior) corrects the risk: with losses lp, ln of calling a text clean or
 toxic, the risk is prior * E_pos[lp] + max(0, E_unl[ln] - prior * E_pos[ln]); where the second term would be below
 zero only the first gives the step.
+
+The features are chosen with a bounded sample of unlabelled texts beside the toxic ones; E_unl is then the mean over all
+texts. A text enters it by which of the chosen features it has, so texts are counted by that pattern in the cluster, and
+each step weighs the patterns with their counts: on the driver while they are few, else in a job over their table.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -19,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sample_ids, tune
+from graphloom.llm.common import cut, sample_ids, tune
 
 BUCKETS = 1 << 20
 WORD = re.compile(r"[^\W_]+")
-#: Rows that the model is fitted on, at most, of either kind.
+#: Confirmed toxic rows that the model is fitted on, at most, and texts, at most, that features are chosen with beside them.
 FIT_POSITIVE, FIT_UNLABELLED = 3000, 6000
+#: Patterns that the driver holds at most, and that a task counts before it hands its counts on.
+PATTERNS, COUNTED = 1 << 15, 50_000
 #: Features that the model weighs, those with the strongest evidence.
 KEPT = 4096
 #: Standard errors of evidence, and the ratio of shares in toxic and clean texts, that a feature needs.
@@ -56,36 +62,50 @@ def features(text: str) -> np.ndarray:
     return np.array(sorted([*met, *(x + 1 for x, n in met.items() if n > 1)]), dtype=np.int32)
 
 
+def matcher(wanted: dict[int, int]) -> Callable[[str], list[int]]:
+    """A function from text to the numbers of the wanted buckets that it has, ascending by bucket; it remembers words."""
+    known: dict[str, tuple[int, ...]] = {}
+
+    def match(text: str) -> list[int]:
+        if len(known) > MEMORY:
+            known.clear()
+        met: dict[int, int] = {}
+        for w, n in Counter(WORD.findall(text.lower())).items():
+            f = known.get(w)
+            if f is None:
+                f = known[w] = tuple(x for x in word_features(w) if x in wanted or x + 1 in wanted)
+            for x in f:
+                met[x] = met.get(x, 0) + n
+        out = []
+        for x in sorted(met):
+            if x in wanted:
+                out.append(wanted[x])
+            if met[x] > 1 and x + 1 in wanted:
+                out.append(wanted[x + 1])
+        return out
+
+    return match
+
+
 @dataclass
 class Model:
     weight: dict[int, float]  # by bucket
     bias: float
 
-    def scorer(self):
-        """A function from text to score that remembers words."""
-        weight, known = self.weight, {}
+    def scorer(self) -> Callable[[str], float]:
+        """A function from text to score."""
+        weights = list(self.weight.values())
+        match = matcher({x: i for i, x in enumerate(self.weight)})
 
         def score(text: str) -> float:
-            if len(known) > MEMORY:
-                known.clear()
-            met: dict[int, int] = {}
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                f = known.get(w)
-                if f is None:
-                    f = known[w] = tuple(x for x in word_features(w) if x in weight or x + 1 in weight)
-                for x in f:
-                    met[x] = met.get(x, 0) + n
-            z = self.bias + sum(weight.get(x, 0.0) + (weight.get(x + 1, 0.0) if met[x] > 1 else 0.0) for x in sorted(met))
+            z = self.bias + sum(weights[i] for i in match(text))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400) -> Model:
-    """Train on the buckets of positive and unlabelled texts. Without positives every score is near zero."""
-    if not positive or not unlabelled:
-        return Model({}, -8.0 if not positive else 0.0)
-    prior = float(np.clip(prior, 1e-3, 0.9))
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """The buckets that the model weighs."""
 
     def frequency(bags: list[np.ndarray]) -> np.ndarray:
         return np.bincount(np.concatenate(bags), minlength=BUCKETS) / len(bags) if sum(map(len, bags)) else np.zeros(BUCKETS)
@@ -101,18 +121,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     kept = np.argsort(-gain, kind="stable")[:KEPT]
     kept = kept[gain[kept] > EVIDENCE]
     if not len(kept):
-        return Model({}, float(np.log(prior / (1 - prior))))
-    slot = np.full(BUCKETS, -1, dtype=np.int64)
-    slot[kept] = np.arange(len(kept))
-
-    def dense(bags: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(bags), len(kept)), dtype=np.float32)
-        for i, b in enumerate(bags):
-            s = slot[b]
-            x[i, s[s >= 0]] = 1
-        return x
-
-    xp, xu = dense(positive), dense(unlabelled)
+        return kept
+    xp = dense(positive, kept)
     # many features say the same, which would share one weight among them: take the strongest in turn, and only while
     # there are toxic texts that few taken features mark
     marked, open_, taken = np.zeros(len(xp), dtype=np.int64), np.ones(len(kept), dtype=bool), []
@@ -126,21 +136,78 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         taken.append(best)
         open_[best] = False
         marked += xp[:, best] > 0
-    kept, xp, xu = kept[taken], xp[:, taken], xu[:, taken]
+    return kept[taken]
+
+
+def dense(bags: list[np.ndarray], kept: np.ndarray) -> np.ndarray:
+    """Which of the kept buckets each bag holds."""
+    slot = np.full(BUCKETS, -1, dtype=np.int64)
+    slot[kept] = np.arange(len(kept))
+    x = np.zeros((len(bags), len(kept)), dtype=np.float32)
+    for i, b in enumerate(bags):
+        s = slot[b]
+        x[i, s[s >= 0]] = 1
+    return x
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def moments(x: np.ndarray, n: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over texts (n of each pattern x) of the loss of calling them toxic and of its gradient by weights and bias."""
+    z = x @ w + b
+    g = n * sigmoid(z)
+    return np.concatenate(([n @ np.logaddexp(0, z)], x.T @ g, [g.sum()]))
+
+
+def unpacked(patterns: list[bytes], width: int) -> np.ndarray:
+    bits = np.frombuffer(b"".join(patterns), dtype=np.uint8).reshape(len(patterns), -1)
+    return np.unpackbits(bits, axis=1, count=width).astype(np.float32)
+
+
+class Patterns:
+    """All unlabelled texts, as counts of patterns of the kept features in a table (pattern, n)."""
+
+    def __init__(self, table: DataFrame, width: int):
+        self.table, self.width = table, width
+        size = table.agg(F.count("*").alias("patterns"), F.sum("n").alias("texts")).first()
+        self.texts, self.held = size.texts or 0, None
+        if size.patterns <= PATTERNS:
+            got = table.toArrow().sort_by("pattern")
+            self.held = unpacked(got.column("pattern").to_pylist(), width), np.array(got.column("n").to_pylist(), dtype=np.float64)
+
+    def __call__(self, w: np.ndarray, b: float) -> np.ndarray:
+        """Mean loss of calling the texts toxic, and its gradient."""
+        if self.held is not None:
+            return moments(*self.held, w, b) / self.texts
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width + 2)
+            for batch in batches:
+                if batch.num_rows:
+                    total += moments(unpacked(batch.column(0).to_pylist(), width), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), w, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 2)), pa.array(total)], names=["i", "x"])
+
+        sums = self.table.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().sort_by("i")
+        return np.array(sums.column("x").to_pylist()) / self.texts
+
+
+def descend(kept: np.ndarray, xp: np.ndarray, clean: Callable[[np.ndarray, float], np.ndarray], prior: float, steps: int = 400) -> Model:
+    """Minimise the risk; xp: the toxic texts' features, clean: mean loss and gradient of calling all texts toxic."""
     w = np.zeros(len(kept), dtype=np.float64)
     b = float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):  # whole-batch steps: the estimator's sign is then not a batch's accident
-        zp, zu = xp @ w + b, xu @ w + b
+        zp, loss = xp @ w + b, clean(w, b)
         # logistic losses: lp = log(1 + e^-z), ln = log(1 + e^z)
-        gp = prior * (sig(zp) - 1) / len(zp)
-        gu = np.zeros(len(zu))
-        whole = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0
+        gp = prior * (sigmoid(zp) - 1) / len(zp)
+        whole = loss[0] - prior * np.logaddexp(0, zp).mean() >= 0
         if whole:
-            gp = gp - prior * sig(zp) / len(zp)
-            gu = sig(zu) / len(zu)
-        g, gb = xp.T @ gp + xu.T @ gu, float(gp.sum() + gu.sum()) if whole else 0.0  # a bias that only positives move would creep on
+            gp = gp - prior * sigmoid(zp) / len(zp)
+        g = xp.T @ gp + (loss[1:-1] if whole else 0.0)
+        gb = float(gp.sum() + loss[-1]) if whole else 0.0  # a bias that only positives move would creep on
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -150,6 +217,44 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({int(k): float(x) for k, x in zip(kept, w) if abs(x) > 1e-4}, b)
 
 
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400) -> Model:
+    """Train on the buckets of positive and unlabelled texts. Without positives every score is near zero."""
+    if not positive or not unlabelled:
+        return Model({}, -8.0 if not positive else 0.0)
+    prior = float(np.clip(prior, 1e-3, 0.9))
+    kept = choose(positive, unlabelled, prior)
+    if not len(kept):
+        return Model({}, float(np.log(prior / (1 - prior))))
+    xu, one = dense(unlabelled, kept), np.ones(len(unlabelled))
+    return descend(kept, dense(positive, kept), lambda w, b: moments(xu, one, w, b) / len(xu), prior, steps)
+
+
+def pattern_counts(df: DataFrame, kept: np.ndarray, text_col: str = "text") -> DataFrame:
+    """Rows (pattern binary, n): how many texts have which of the kept features; counted in the tasks before a shuffle."""
+    width = len(kept)
+    wanted = {int(k): i for i, k in enumerate(kept)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, counts = matcher(wanted), Counter()
+
+        def out() -> pa.RecordBatch:
+            patterns = np.zeros((len(counts), width), dtype=np.uint8)
+            for i, p in enumerate(counts):
+                patterns[i, list(p)] = 1
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.packbits(patterns, axis=1)], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts[tuple(match(t or ""))] += 1
+            if len(counts) > COUNTED:
+                yield out()
+                counts.clear()
+        yield out()
+
+    found = df.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "pattern binary, n long")
+    return found.groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
 def _bags(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
     """Features of the rows of df whose id is among ids (a bounded number), in the order of their ids."""
     chosen = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -174,10 +279,11 @@ def train(
     unlabelled: int = FIT_UNLABELLED,
     prior: float | None = None,
 ) -> Model:
-    """Fit on confirmed toxic rows of labels (label 1) and any rows of docs, at most as many as the parameters say.
+    """Fit on confirmed toxic rows of labels (label 1), at most `positives`, and all rows of docs.
 
-    Both inputs hold only rows that may be learned from; rows are chosen by a hash of their ids. The class prior is the
-    toxic share of the labels if it isn't given. Rows with a null id or label are left out, null texts are empty.
+    Both inputs hold only rows that may be learned from; the toxic rows, and `unlabelled` rows that features are chosen
+    with beside them, are chosen by a hash of their ids. The class prior is the toxic share of the labels if it isn't
+    given. Labels with a null id or label are left out, null texts are empty.
     """
     tune(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -187,7 +293,13 @@ def train(
     pick = lambda d, n: sample_ids(d.select(F.col(id_col).alias("_pick")).distinct(), "_pick", n)
     pos = _bags(docs, pick(known.where(F.col(label_col) == 1), positives), id_col, text_col)
     unl = _bags(docs, pick(docs.where(F.col(id_col).isNotNull()), unlabelled), id_col, text_col)
-    return fit(pos, unl, prior)
+    if not pos or not unl:
+        return fit(pos, unl, prior)
+    prior = float(np.clip(prior, 1e-3, 0.9))
+    kept = choose(pos, unl, prior)
+    if not len(kept):
+        return fit(pos, unl, prior)
+    return descend(kept, dense(pos, kept), Patterns(cut(pattern_counts(docs, kept, text_col)), len(kept)), prior)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,6 +84,46 @@ def test_non_negative_risk_step():
     assert set(score.weight) == {7} and score.weight[7] > 0
 
 
+def test_language_scores_equal_a_plain_loop():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)), rng.normal(size=3), 0.7, 0.5)
+
+    def bucket(run, size):
+        h = sum(x * c for x, c in zip(run, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))) & 0xFFFFFFFF
+        h ^= size * 0x165667B1 & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        return h >> 12 & langid.BUCKETS - 1
+
+    for text in ("Der schnelle Fuchs, 99 Mal!", "ünï çødé  --  x", "ab", "x" * 50, "日本語 テキスト です"):
+        data = b" " + text.lower().encode() + b" "
+        data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in data)
+        while b"  " in data:
+            data = data.replace(b"  ", b" ")
+        rows = [model.table[bucket(data[i : i + n], n)] for i in range(len(data) - 3) for n in (2, 3, 4)]
+        z = (np.sum(rows, axis=0) / max(1, len(rows)) + model.bias) / model.temperature
+        want = np.exp(z) / np.exp(z).sum()
+        assert np.allclose(model.scores(text), want), text
+
+
+def test_risk_over_patterns_equals_that_over_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["mild", "words", "vile", "viler", "bad", "bad"], int(n))) for n in rng.integers(0, 9, 300)]
+    kept = np.unique([x for w in ("vile", "bad") for f in toxicity.word_features(w) for x in (f, f + 1)])
+    bags = [toxicity.features(t) for t in texts]
+    w, b = rng.normal(size=len(kept)), -0.3
+    want = toxicity.moments(toxicity.dense(bags, kept), np.ones(len(bags)), w, b) / len(bags)
+    df = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    table = toxicity.pattern_counts(df, kept).cache()
+    assert np.allclose(toxicity.Patterns(table, len(kept))(w, b), want)
+    monkeypatch.setattr(toxicity, "PATTERNS", 1)  # a job for each step
+    assert np.allclose(toxicity.Patterns(table, len(kept))(w, b), want)
+    # the score is the plain sum of weights over the text's features
+    model = toxicity.Model({int(k): float(x) for k, x in zip(kept, w)}, b)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    for i, bag in enumerate(bags):
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(b + sum(model.weight.get(int(x), 0.0) for x in bag)))))
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     rng = np.random.default_rng(6)
@@ -112,7 +152,7 @@ def test_quality(graded):
 
 def test_network_is_a_convolution_over_all_chunks():
     rng = np.random.default_rng(8)
-    net = quality.fit([rng.integers(0, 256, (2, quality.CHUNK)).astype(np.uint8) for _ in range(40)], rng.integers(0, 2, 40).astype(np.float32), epochs=1)
+    net = quality.fit([rng.bytes(900) for _ in range(40)], rng.integers(0, 2, 40).astype(np.float32), epochs=1)
     data = bytes(rng.integers(1, 256, 3000).astype(np.uint8))
     groups = list(quality.chunks(data))
     rows = np.concatenate(groups)
