@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from graphloom.llm.common import free_name, sample_ids, tune
+from graphloom.llm.common import beside, free_name, sample_ids, tune
 
 CHUNK, OVERLAP = 512, 64
 TAPS, FILTERS, HIDDEN = 6, 24, 12
-#: Labelled rows that the network is fitted on, at most, and chunks of a row that one training step sees.
-FIT_ROWS, FIT_CHUNKS = 2000, 6
-#: Chunks of a fitting row that are kept to train on (spread over its whole length), at most.
-KEEP_CHUNKS = 24
+#: Labelled rows that the network is fitted on, at most, and the bytes of the longest text among them: the driver holds
+#: the whole texts.
+FIT_ROWS, FIT_BYTES = 2000, 1 << 18
+#: Texts of one training step, which sees all of their chunks, and chunks whose responses are held at once.
+STEP_ROWS, AT_ONCE = 32, 16
 STEP = CHUNK - OVERLAP
 GROUP_CHUNKS = 512
 
@@ -59,7 +60,16 @@ class Network:
 
     def pooled(self, rows: np.ndarray) -> np.ndarray:
         """The filters' greatest responses in each chunk."""
-        return np.maximum(0, np.concatenate([self.responses(rows[i : i + 16]).max(axis=1) for i in range(0, len(rows), 16)]) + self.offset)
+        return np.maximum(0, np.concatenate([self.responses(rows[i : i + AT_ONCE]).max(axis=1) for i in range(0, len(rows), AT_ONCE)]) + self.offset)
+
+    def greatest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The filters' greatest responses in each chunk, before the offset, and where they are."""
+        top, where = [], []
+        for i in range(0, len(rows), AT_ONCE):
+            r = self.responses(rows[i : i + AT_ONCE])
+            where.append(r.argmax(axis=1))
+            top.append(np.take_along_axis(r, where[-1][:, None, :], axis=1)[:, 0])
+        return np.concatenate(top), np.concatenate(where)
 
     def probability(self, text: str) -> float:
         most, total, n = np.zeros(HIDDEN), np.zeros(HIDDEN), 0
@@ -72,14 +82,14 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int = 5) -> Network:
-    """Train on the kept chunks of each labelled row. No rows: every probability is one half."""
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 5) -> Network:
+    """Train on all chunks of each labelled text. No texts: every probability is one half."""
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.3, (TAPS, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, (FILTERS, HIDDEN)).astype(np.float32),
         np.zeros(HIDDEN, np.float32), rng.normal(0, 0.3, 2 * HIDDEN).astype(np.float32), 0.0,
     )
-    if not rows:
+    if not texts:
         net.w2[:] = 0
         return net
     share = float(np.clip(labels.mean(), 0.02, 0.98))
@@ -90,10 +100,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int
     t = 0
     for epoch in range(epochs):
         rate0 = 0.02 * (1 - epoch / epochs) + 0.001
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), 32):
-            docs = order[at : at + 32]
-            picks = [rows[d] if len(rows[d]) <= FIT_CHUNKS else rows[d][rng.choice(len(rows[d]), FIT_CHUNKS, replace=False)] for d in docs]
+        order = rng.permutation(len(texts))
+        for at in range(0, len(order), STEP_ROWS):
+            docs = order[at : at + STEP_ROWS]
+            picks = [np.concatenate(list(chunks(texts[d]))) for d in docs]
             size = np.array([len(p) for p in picks])
             for i, d in enumerate(docs):  # short texts are rarer than they matter: some rows are cut short
                 if rng.random() < 0.2:
@@ -104,9 +114,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int
                     picks[i], size[i] = short, 1
             x = np.concatenate(picks)
             begins = np.concatenate(([0], np.cumsum(size)[:-1]))
-            r = net.responses(x)
-            where = r.argmax(axis=1)  # chunks x filters
-            top = np.take_along_axis(r, where[:, None, :], axis=1)[:, 0]
+            top, where = net.greatest(x)  # chunks x filters
             a0 = top + net.offset
             pool = np.maximum(0, a0)
             a1 = pool @ net.w1 + net.b1
@@ -142,18 +150,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int
     return net
 
 
-def kept_chunks(text: str) -> bytes:
-    """At most KEEP_CHUNKS chunks, evenly spread over the whole text, for training."""
-    whole = list(chunks(text.encode("utf-8", "surrogatepass")))
-    rows = np.concatenate(whole)
-    at = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), KEEP_CHUNKS)).round().astype(int))
-    return rows[at].tobytes()
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Network:
     """Fit on at most `rows` labelled rows, half of either label where there are enough, chosen by a hash of their ids.
 
-    Both inputs hold only rows that may be learned from. Null ids and labels are left out, null texts are empty.
+    Both inputs hold only rows that may be learned from. Null ids and labels are left out, and so are chosen rows whose
+    texts have over FIT_BYTES bytes; the others are learned from whole. Null texts are empty.
     """
     tune(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_pick"), F.col(label_col).cast("int").alias("_label"))
@@ -161,22 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good, bad = (sample_ids(known.where(f"_label = {v}"), "_pick", rows // 2) for v in (1, 0))
     picked = good.unionAll(bad)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    chosen = chosen.join(F.broadcast(picked), F.col("_id") == F.col("_pick")).select("_id", "_text", "_label")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kept_chunks(t or "") for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], names=["_id", "data", "label"])
-
-    key = docs.schema[id_col].dataType.simpleString()
-    got = chosen.mapInArrow(run, schema=f"_id {key}, data binary, label int").toArrow().sort_by([("_id", "ascending"), ("data", "ascending")])
-    data = [np.frombuffer(d.as_py(), np.uint8).reshape(-1, CHUNK) for d in got.column("data")]
-    return fit(data, np.array(got.column("label").to_pylist(), dtype=np.float32))
+    chosen = chosen.join(F.broadcast(picked), F.col("_id") == F.col("_pick")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= FIT_BYTES)
+    got = chosen.select("_id", "_text", "_label").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in got.column("_text").to_pylist()]
+    return fit(data, np.array(got.column("_label").to_pylist(), dtype=np.float32))
 
 
 def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep_as: str | None = None) -> DataFrame:
     """Rows (id_col, score), one per row of df; with keep_as, all columns of df and the score in one of that name.
 
-    Whole texts, no shuffle. Null texts count as empty, whose score is that of a chunk of zeros. Ids are passed through.
+    Whole texts, no shuffle; where id_col is named score, the scores are in _score. Null texts count as empty, whose score is that of a chunk of zeros. Ids are passed through.
     """
     tune(df.sparkSession)
     text = free_name(df, "_text")
@@ -187,6 +182,8 @@ def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "
             names = [*batch.schema.names[:-1], keep_as or "score"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=names)
 
-    rest = df if keep_as else df.select(id_col)
-    named = df.select(*rest.columns, F.col(text_col).cast("string").alias(text))
-    return named.mapInArrow(run, schema=StructType([*rest.schema.fields, StructField(keep_as or "score", DoubleType())]))
+    rest = df if keep_as else df.select(F.col(id_col).alias("_id"))
+    columns = df.columns if keep_as else [F.col(id_col).alias("_id")]
+    named = df.select(*columns, F.col(text_col).cast("string").alias(text))
+    out = named.mapInArrow(run, schema=StructType([*rest.schema.fields, StructField(keep_as or "score", DoubleType())]))
+    return out if keep_as else out.select(F.col("_id").alias(id_col), *beside(id_col, "score"))
