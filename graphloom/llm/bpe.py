@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import tune
+from graphloom.llm.common import beside, tune
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -336,7 +336,8 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     """Rows (id_col, ids array<int>, decoded string), one per row of df; no other column of df is read.
 
     Null text counts as empty: no ids and an empty decoded text. Null or repeated ids are passed through, an empty
-    table gives an empty result, and a text is always encoded whole. No shuffle.
+    table gives an empty result, and a text is always encoded whole. A result column of the name id_col is written with an
+    underscore before it. No shuffle.
     """
     tune(df.sparkSession)
     key = df.schema[id_col].dataType
@@ -351,4 +352,4 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     named = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = named.mapInArrow(run, schema=f"_id {key.simpleString()}, ids array<int>, decoded string")
-    return out.select(F.col("_id").alias(id_col), "ids", "decoded")
+    return out.select(F.col("_id").alias(id_col), *beside(id_col, "ids", "decoded"))

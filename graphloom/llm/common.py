@@ -69,6 +69,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def beside(id_col: str, *names: str) -> list:
+    """Result columns that stand beside an id column; one of the id column's own name gets an underscore before it."""
+    return [F.col(n).alias(f"_{n}" if n.lower() == id_col.lower() else n) for n in names]
+
+
 def in_fold(column: str, modulus: int, *remainders: int):
     """Whether crc32 of the column as text leaves one of the remainders; null ids are in no fold."""
     return F.coalesce((F.crc32(F.col(column).cast("string")) % modulus).isin(*remainders), F.lit(False))

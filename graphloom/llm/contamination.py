@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import free_name, tune
+from graphloom.llm.common import beside, free_name, tune
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -210,7 +210,7 @@ def contaminated(
     Shingles are distinct runs of `width` lower-cased words (of all words in an item with fewer). Null or wordless texts
     and items match nothing. Rows of equal or null id are searched each; an empty table on either side gives no row. The
     items are sent to the tasks in blocks of at most BLOCK_BYTES (a single longer item is a block), one pass over the
-    documents a block; there is no shuffle.
+    documents a block; there is no shuffle. A result column of the name id_col is written with an underscore before it.
     """
     tune(docs.sparkSession)
     key = docs.schema[id_col].dataType
@@ -236,7 +236,7 @@ def contaminated(
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = named.where(F.lit(False)).select("_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("shared"), F.lit(0).alias("size"))
-    return out.select(F.col("_id").alias(id_col), "item_id", "shared", "size")
+    return out.select(F.col("_id").alias(id_col), *beside(id_col, "item_id", "shared", "size"))
 
 
 def without_items(

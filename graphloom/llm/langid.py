@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sample_ids, tune
+from graphloom.llm.common import beside, sample_ids, tune
 
 BUCKETS = 1 << 15
 DIM = 12
@@ -148,7 +148,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Rows (id_col, lang_pred, score, accepted), one per row of df; whole texts, no shuffle, other columns unread.
 
     Null texts and texts without a letter are `und` with score 0 and not accepted. Any other text gets the likeliest
-    learned label; accepted is false where its score is below the calibrated threshold.
+    learned label; accepted is false where its score is below the calibrated threshold. A result column of the name id_col
+    is written with an underscore before it.
     """
     tune(df.sparkSession)
     key = df.schema[id_col].dataType
@@ -167,4 +168,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     named = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = named.mapInArrow(run, schema=f"_id {key.simpleString()}, lang_pred string, score double, accepted boolean")
-    return out.select(F.col("_id").alias(id_col), "lang_pred", "score", "accepted")
+    return out.select(F.col("_id").alias(id_col), *beside(id_col, "lang_pred", "score", "accepted"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, cut, tune
+from graphloom.llm.common import beside, components, cut, tune
 
 SEED = 42
 #: Offsets and widths of the segments, and the radius searched in each.
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = named.mapInArrow(run, schema=f"_id {key.simpleString()}, fp long")
-    return out.select(F.col("_id").alias(id_col), "fp")
+    return out.select(F.col("_id").alias(id_col), *beside(id_col, "fp"))
 
 
 def ball_entries(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,17 +229,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts and texts without words have fingerprint zero, and link like any other. Rows with equal or null ids are
     rows of their own; a null id is never a component's id unless all its ids are null. An empty table gives an empty
-    result; other columns of df are not read. One row per row of df.
+    result; other columns of df are not read. One row per row of df. A result column of the name id_col is written with an
+    underscore before it.
     """
-    fps = cut(fingerprints(df, id_col, text_col, width))
-    distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    fps = cut(fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", width))
+    distinct = cut(fps.groupBy("fp").agg(F.min("_id").alias("least")))
     found = components(links(distinct))
     # a component's id, on its fingerprints only; then every fingerprint's
     named = found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component"))
     linked = found.join(named, "root").select(F.col("node").alias("fp2"), "component")
     table = distinct.join(linked, distinct.fp == linked.fp2, "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     table = cut(table)
-    return fps.join(table, "fp").select(id_col, "fp", "component_id")
+    return fps.join(table, "fp").select(F.col("_id").alias(id_col), *beside(id_col, "fp", "component_id"))
 
 
 def hex_digits(fp: str = "fp"):

@@ -23,7 +23,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path
+from graphloom.llm.common import beside, fresh_path
 
 #: Vectors of one index, and queries that are read at once.
 BLOCK_ROWS = 16384
@@ -146,7 +146,7 @@ def exact_top_k(df: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
     the smaller id; fewer than k candidates are all returned. Vectors that are null or hold a null or non-finite
     component, and rows without id, take no part; a shorter vector counts as ending in zeros. Repeated rows are
     candidates each. Scores are exact 64-bit sums; vectors whose products could leave 62 bits end the query with an
-    error. Queries are written to the shared folder, and read past every block of candidates QUERY_BLOCK at a time.
+    error. A result column of the name id_col is written with an underscore before it. Queries are written to the shared folder, and read past every block of candidates QUERY_BLOCK at a time.
     """
     spark = df.sparkSession
     candidates = quantised(df, id_col, vec_col, scale)
@@ -200,4 +200,6 @@ def exact_top_k(df: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
     found = candidates.mapInArrow(search, schema=schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vid"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vid").alias(id_col), "score")
+    ranked = ranked.withColumn("rank", F.col("rank").cast("int"))
+    first, second, last = beside(id_col, "query_id", "rank", "score")
+    return ranked.select(first, second, F.col("vid").alias(id_col), last)

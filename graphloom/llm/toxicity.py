@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, sample_ids, tune
+from graphloom.llm.common import beside, cut, sample_ids, tune
 
 BUCKETS = 1 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -305,7 +305,8 @@ def train(
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, score), one per row of df; whole texts, no shuffle, other columns unread.
 
-    Null texts count as empty; an empty text's score is that of the model's bias. Ids are passed through.
+    Null texts count as empty; an empty text's score is that of the model's bias. Ids are passed through;
+    where id_col is named score, the scores are in _score.
     """
     tune(df.sparkSession)
     key = df.schema[id_col].dataType
@@ -316,4 +317,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["_id", "score"])
 
     named = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return named.mapInArrow(run, schema=f"_id {key.simpleString()}, score double").select(F.col("_id").alias(id_col), "score")
+    return named.mapInArrow(run, schema=f"_id {key.simpleString()}, score double").select(F.col("_id").alias(id_col), *beside(id_col, "score"))
