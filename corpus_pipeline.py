@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm import bpe, contamination, pii, quality, simhash
-from graphloom.llm.common import free_name, fresh_path
+from graphloom.llm.common import cut, free_name, fresh_path
 from graphloom.llm.queries import PII_KEY, quality_network, table, tokenizer_path
 
 #: A document stays if its quality reaches this.
@@ -22,14 +21,23 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates; documents without id stay."""
-    found = simhash.near_duplicates(docs)
-    keep, nth = free_name(docs, "_keep"), free_name(docs, "_nth")
-    least = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(least, F.col("doc_id") == F.col(keep), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")  # repeated rows: one stays
-    named = named.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
-    return named.unionAll(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates: that with the least id, then the least digest of the whole row.
+
+    Documents without id come last. Rows of one id that are no near copies of each other are documents of their own, and
+    of rows that are equal in all columns one stays.
+    """
+    key = free_name(docs, "_key")
+    # ids are written as unsigned numbers of one length, so that keys sort as ids do
+    order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in docs.columns])
+    keyed = docs.withColumn(key, F.concat(F.coalesce(order, F.lit("~")), F.sha2(row, 256)))
+    found = simhash.near_duplicates(keyed.select(key, "text"), id_col=key)
+    least = cut(found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n")))
+    kept = keyed.join(least.select(key), key, "left_semi")
+    repeated = least.where("n > 1").select(key)
+    if repeated.limit(1).count():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
