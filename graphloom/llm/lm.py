@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, sample_ids, tune
+from graphloom.llm.common import beside, cut, sample_ids, tune
 
 SIDE = 32
 VOCABULARY = SIDE * SIDE
@@ -194,9 +194,10 @@ class Network:
             self.tb[met] -= scale * np.add.reduceat(g, bounds[met], axis=0)
         gz = np.clip(gh * (1 - h * h), -1, 1) * np.float32(rate / 64)
         self.hb -= gz.mean(axis=0)
-        for j, o in enumerate(OFFSETS):
-            cells = padded.take(at + o)[:, None] * HIDDEN + np.arange(HIDDEN)
-            moved = np.bincount(cells.ravel(), gz.ravel(), (VOCABULARY + 1) * HIDDEN)
+        flat, first = gz.astype(np.float64).ravel(), padded.take(at[:, None] + np.array(OFFSETS)).astype(np.int64) * HIDDEN
+        for j in range(len(OFFSETS)):
+            cells = first[:, j, None] + np.arange(HIDDEN)
+            moved = np.bincount(cells.ravel(), flat, (VOCABULARY + 1) * HIDDEN)
             self.emb[j] -= moved.reshape(VOCABULARY + 1, HIDDEN)
 
 
@@ -207,19 +208,23 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return order, c, w, np.searchsorted(c, np.arange(SIDE + 1))
 
 
+#: Logits are kept within this, in place of taking each row's greatest off, which no sum of so few powers needs.
+LOGIT = 60.0
+_ones = np.ones(SIDE, dtype=np.float32)
+
+
 def _soft(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -LOGIT, LOGIT, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ _ones)[:, None]
     return z
 
 
 def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    picked = z[np.arange(len(z)), at] - top
-    z -= top[:, None]
+    np.clip(z, -LOGIT, LOGIT, out=z)
+    picked = z[np.arange(len(z)), at].astype(np.float64)
     np.exp(z, out=z)
-    return picked.astype(np.float64) - np.log(z.sum(axis=1, dtype=np.float64))
+    return picked - np.log((z @ _ones).astype(np.float64))
 
 
 def padded_row(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +313,8 @@ class _Known(dict):
 def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_tokens, log_probability), one per row of df; whole texts, other columns unread.
 
-    Null texts and texts without words have no tokens and a log-probability of 0. Ids are passed through. Only words whose
+    Null texts and texts without words have no tokens and a log-probability of 0. Ids are passed through, and a result
+    column of the name id_col is written with an underscore before it. Only words whose
     counts the tasks don't hold are shuffled, to the rest of the counts and back to their rows; rows are told apart by
     their places, so df must give its rows in the same order when a task is repeated, as a table's files do.
     """
@@ -358,7 +364,7 @@ def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id"
         out = out.join(vocab.rest, "word", "left")
     lp = F.col("lp") + F.col("times") * F.log(F.coalesce("n", F.lit(1)).cast("double"))
     out = out.groupBy("_row").agg(F.first("_id", ignorenulls=True).alias("_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(lp).alias("log_probability"))
-    return out.select(F.col("_id").alias(id_col), "n_tokens", "log_probability")
+    return out.select(F.col("_id").alias(id_col), *beside(id_col, "n_tokens", "log_probability"))
 
 
 __all__ = ["Network", "Vocabulary", "encode", "padded_row", "score", "train", "word_counts"]
