@@ -566,7 +566,8 @@ def markup_elements(spark, d):
 @query(f"""WITH u AS ({_uses}) SELECT 'id' AS prop, CAST(k AS VARCHAR) AS value, true AS value_is_expression FROM u UNION ALL SELECT 'kind', '"leaf"', false FROM u""")
 def markup_props(spark, d):
     g = _components(spark, d)
-    return g.jsx_props.select(F.col("name").alias("prop"), "value", "value_is_expression")
+    value = F.when(F.col("value_is_expression"), F.col("expression")).otherwise(F.col("value"))
+    return g.jsx_props.select(F.col("name").alias("prop"), value.alias("value"), "value_is_expression")
 
 
 @query(f"SELECT parameter, CAST(pos AS BIGINT) AS pos, count(*) AS n FROM ({_uses}), (SELECT unnest(['first', 'second', 'third']) AS parameter, unnest([0, 1, 2]) AS pos) GROUP BY 1, 2")

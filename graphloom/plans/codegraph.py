@@ -242,7 +242,7 @@ class CodeGraph:
 
     @cached_property
     def jsx_props(self) -> DataFrame:
-        return self._records("jsx_props").select("file_id", (F.col("first_jsx_elements") + F.col("r.element")).alias("parent_jsx_element_id"), "r.pos", "r.name", "r.value", "r.value_is_expression", F.col("r.range").alias("range"))
+        return self._records("jsx_props").select("file_id", (F.col("first_jsx_elements") + F.col("r.element")).alias("parent_jsx_element_id"), "r.pos", "r.name", "r.value", "r.value_is_expression", "r.expression", F.col("r.range").alias("range"))
 
     @cached_property
     def promise_chains(self) -> DataFrame:

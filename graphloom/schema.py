@@ -24,7 +24,7 @@ EXTRACTED = {
     "strings": "struct<symbol_id:bigint,value:string,start_byte:bigint,end_byte:bigint>",
     "tokens": "struct<symbol_id:bigint,group:string,token:string>",
     "jsx_elements": f"struct<id:bigint,parent:bigint,source:bigint,name:string,range:{RANGE},name_start:bigint,name_end:bigint,close_start:bigint,close_end:bigint>",
-    "jsx_props": f"struct<element:bigint,pos:bigint,name:string,value:string,value_is_expression:boolean,range:{RANGE}>",
+    "jsx_props": f"struct<element:bigint,pos:bigint,name:string,value:string,value_is_expression:boolean,expression:string,range:{RANGE}>",
     "promise_chains": f"struct<id:bigint,source:bigint,stage_names:array<string>,range:{RANGE},base_start:bigint,base_end:bigint>",
 }
 

@@ -44,6 +44,16 @@ def test_equals_sql(spark, tables, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in res.fetchall()), key=repr)
 
 
+def test_markup_props_of_shared_nations(spark, tmp_path):
+    """On the smallest tables each supplier has a nation of its own, so there are no properties there."""
+    own = duckdb.connect()
+    own.execute(f"COPY (SELECT CAST(k AS BIGINT) AS s_suppkey, CAST(k % 2 AS INTEGER) AS s_nationkey FROM range(1, 7) r(k)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    got = [(r["prop"], r["value"], r["value_is_expression"]) for r in adapters.queries()["markup_props"](spark, str(tmp_path)).collect()]
+    own.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    want = own.execute(f"SELECT prop, value, value_is_expression FROM ({adapters.oracle_sql()['markup_props']})").fetchall()
+    assert len(want) == 8 and sorted(got) == sorted(want)
+
+
 def test_entry_and_absent_corpus_operators(spark, monkeypatch):
     import __spark_entry__ as e
 

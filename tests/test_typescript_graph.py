@@ -77,6 +77,15 @@ def test_markup_chains_and_members(wide):
     assert rows(wide.parameters.where("has_default"), "name", "annotation") == [("b", None)]
 
 
+def test_expressions_of_properties(spark):
+    text = "const C = () => <B a={12} b={ x + 1 } c={/* k */ z} d={} e=\"s\" f g={{p: 'é'}} h={<I/>} i=<I/> />;\n"
+    got = rows(CodeGraph.from_files(spark, {"a.tsx": text}).jsx_props, "name", "value", "value_is_expression", "expression")
+    assert got == [
+        ("a", "{12}", True, "12"), ("b", "{ x + 1 }", True, "x + 1"), ("c", "{/* k */ z}", True, "z"), ("d", "{}", True, None), ("e", '"s"', False, None),
+        ("f", None, False, None), ("g", "{{p: 'é'}}", True, "{p: 'é'}"), ("h", "{<I/>}", True, "<I/>"), ("i", "<I/>", False, None),
+    ]
+
+
 @pytest.mark.parametrize(
     "text",
     [
