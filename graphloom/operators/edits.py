@@ -19,8 +19,10 @@ from __future__ import annotations
 import difflib
 import re
 import time
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +47,9 @@ class Edit:
     priority: int = 0
     seq: int = 0
 
-    def same(self, other: Edit) -> bool:
-        return (self.kind, self.start, self.end, self.text, self.priority) == (other.kind, other.start, other.end, other.text, other.priority)
+    def what(self) -> tuple:
+        """Equal for two edits that do the same, whenever they were asked for."""
+        return self.kind, self.start, self.end, self.text, self.priority
 
     def meets(self, other: Edit) -> bool:
         return self.start < other.end and self.end > other.start
@@ -78,12 +81,43 @@ def whole_lines(data: bytes, start: int, end: int) -> tuple[int, int]:
     return begin, stop
 
 
+def together(edits: list[Edit]) -> list[int]:
+    """The number of each edit's group; edits of different groups never meet, nor do the parts they are broken into."""
+    spans = [(min(e.start, e.end), max(e.start, e.end)) for e in edits]
+    group, n, stop = [0] * len(edits), -1, None
+    for i in sorted(range(len(edits)), key=spans.__getitem__):
+        start, end = spans[i]
+        if stop is None or start >= stop:
+            n, stop = n + 1, end
+        group[i], stop = n, max(stop, end)
+    return group
+
+
 def settle(data: bytes, edits: list[Edit]) -> list[Edit]:
-    """The edits that remain after conflicts, in the order of their execution."""
-    kept: list[Edit] = []
+    """The edits that remain after conflicts, in the order of their execution.
+
+    An edit is held against those of its own group only, so work grows with the edits, not with their square.
+    """
+    queued = []
+    for e in sorted(edits, key=lambda x: x.seq):
+        if e.kind == "remove_lines":
+            a, b = whole_lines(data, e.start, e.end)
+            e = Edit("remove", a, b, "", e.priority, e.seq)
+        queued.append(e)
+    groups: defaultdict[int, list[tuple[Edit, int]]] = defaultdict(list)
+    held: Counter[tuple] = Counter()
+    place = count()
+
+    def keep(e: Edit, kept: list[tuple[Edit, int]]) -> None:
+        kept.append((e, next(place)))
+        held[e.what()] += 1
 
-    def admit(e: Edit) -> None:
-        met = [k for k in kept if e.meets(k)]
+    def drop(e: Edit, kept: list[tuple[Edit, int]]) -> None:
+        del kept[next(i for i, (k, _) in enumerate(kept) if k == e)]
+        held[e.what()] -= 1
+
+    def admit(e: Edit, kept: list[tuple[Edit, int]]) -> None:
+        met = [k for k, _ in kept if e.meets(k)]
         cover = next((k for k in met if k.start <= e.start and e.end <= k.end), None)
         if cover is not None:
             if cover.kind == "remove":
@@ -91,35 +125,39 @@ def settle(data: bytes, edits: list[Edit]) -> list[Edit]:
             parts = around(cover, data)
             if parts is None:
                 raise Conflict(f"{e.kind} at {e.start}-{e.end} lies within an edit of {cover.start}-{cover.end}")
-            kept.remove(cover)
+            drop(cover, kept)
             for p in parts:
-                admit(p)
+                admit(p, kept)
         elif met and e.kind == "remove":
             for k in met:
-                kept.remove(k)
+                drop(k, kept)
         elif met and e.kind == "edit":
             parts = around(e, data)
             if parts is None:
                 raise Conflict(f"edit of {e.start}-{e.end} overlaps {len(met)} other edits")
             for p in parts:
-                admit(p)
+                admit(p, kept)
             return
-        kept.append(e)
+        keep(e, kept)
 
-    for e in sorted(edits, key=lambda x: x.seq):
-        if e.kind == "remove_lines":
-            a, b = whole_lines(data, e.start, e.end)
-            e = Edit("remove", a, b, "", e.priority, e.seq)
-        if not any(e.same(k) for k in kept):
-            admit(e)
-    return sorted(kept, key=Edit.sort_key)
+    for e, group in zip(queued, together(queued)):
+        if not held[e.what()]:
+            admit(e, groups[group])
+    return [e for e, _ in sorted((x for kept in groups.values() for x in kept), key=lambda x: (*x[0].sort_key(), x[1]))]
 
 
 def splice(data: bytes, edits: list[Edit]) -> bytes:
-    """The bytes after all edits, made from the back to the front."""
+    """The bytes after all edits, made from the back to the front; what lies between edits is copied once."""
+    parts, limit = [], len(data)  # data up to limit, then the parts from the last to the first, is the text so far
     for e in settle(data, edits):
-        data = data[: e.start] + e.text.encode() + data[e.end :]
-    return data
+        if not 0 <= e.start <= e.end <= limit:
+            data = data[:limit] + b"".join(reversed(parts))
+            data = data[: e.start] + e.text.encode() + data[e.end :]
+            parts, limit = [], len(data)
+            continue
+        parts += [data[e.end : limit], e.text.encode()]
+        limit = e.start
+    return data[:limit] + b"".join(reversed(parts))
 
 
 def planned(df: DataFrame, path: Column | str, kind: str, start: Column | str, end: Column | str, text: Column | str = "", priority: int = 0, seq: Column | int = 0) -> DataFrame:
@@ -183,9 +221,10 @@ def apply(sources: DataFrame, edits: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, conflict = [], []
-            for data, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for data, rows in zip(batch.column(1), batch.column(2)):  # objects of one file's edits at a time
+                data, fields = data.as_py(), [x.to_pylist() for x in rows.values.flatten()]
                 try:
-                    content.append(splice(data or b"", [Edit(r["kind"], r["start_byte"], r["end_byte"], r["text"] or "", r["priority"], r["seq"]) for r in rows]))
+                    content.append(splice(data or b"", [Edit(kind, start, end, text or "", priority, seq) for kind, start, end, text, priority, seq in zip(*fields)]))
                     conflict.append(None)
                 except Conflict as e:
                     content.append(data)

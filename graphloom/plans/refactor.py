@@ -5,6 +5,11 @@ Targets are DataFrames with a column id of symbols (as CodeGraph.resolve_target
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from graphloom.functions import scalar as S
 from graphloom.operators.edits import planned
 from graphloom.plans.codegraph import CodeGraph
 
+#: Matches that one batch of a search gives at most.
+PLACES = 100_000
+
 
 def _paths(g: CodeGraph) -> DataFrame:
     return g.files.select(F.col("id").alias("_f"), F.col("path").alias("_path"), "module_name")
@@ -312,14 +320,26 @@ def remove_unused_exports(g: CodeGraph) -> DataFrame:
 def search(g: CodeGraph | DataFrame, pattern: str, replacement: str | None = None) -> DataFrame:
     """(path, start_byte, end_byte, text) of a pattern's matches in a graph's or a table's sources; with a replacement, the edits.
 
-    Offsets come from the lengths of what lies between matches, so it stays in DataFrame functions.
+    Matches are Java's; offsets are running sums of the lengths of matches and of what lies between them, one pass a file.
     """
     sources = g if isinstance(g, DataFrame) else g.sources
     t = sources.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("_t"))
-    m = t.where(F.col("_t").rlike(pattern)).withColumn("_m", F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).withColumn("_g", F.split("_t", pattern, -1))
-    x = m.select("path", F.posexplode("_m").alias("_k", "text"), "_m", "_g")
-    before = F.aggregate(F.slice("_g", F.lit(1), F.col("_k") + 1), F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p)) + F.aggregate(F.slice("_m", F.lit(1), F.col("_k")), F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))
-    x = x.select("path", before.alias("start_byte"), (before + F.octet_length("text")).alias("end_byte"), "text")
+    m = t.where(F.col("_t").rlike(pattern)).select("path", F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)).alias("_m"), F.transform(F.split("_t", pattern, -1), F.octet_length).alias("_g"))
+    gaps = F.concat(F.array_repeat(F.lit(0), F.size("_m") + 1 - F.size("_g")), "_g")  # a split has no part before an empty match at the start
+    x = m.select("path", "_m", F.slice(gaps, F.lit(1), F.size("_m")).alias("_g")).mapInArrow(_places, schema="path string, start_byte bigint, end_byte bigint, text string")
     if replacement is None:
         return x
     return planned(x, "path", "edit", "start_byte", "end_byte", F.regexp_replace("text", pattern, replacement))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each match, from (path, matches, bytes before each since the last)."""
+    for batch in batches:
+        n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        row, text = np.repeat(np.arange(len(n)), n), batch.column(1).flatten()
+        size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(size + batch.column(2).flatten().to_numpy(zero_copy_only=False))
+        end -= np.concatenate(([0], end))[np.cumsum(n) - n][row]
+        for k in range(0, len(row), PLACES):
+            s = slice(k, k + PLACES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[s])), pa.array(end[s] - size[s]), pa.array(end[s]), text[s]], names=["path", "start_byte", "end_byte", "text"])

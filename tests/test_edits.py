@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from graphloom.operators import edits as E
@@ -19,6 +21,23 @@ def test_splice_rules():
     assert splice(b"a\n  b\nc\n", [Edit("remove_lines", 4, 5)]) == b"a\nc\n"
 
 
+def test_splice_of_many_edits_is_linear():
+    n = 20_000
+    data, began = b"ab!!" * n, time.process_time()
+    assert splice(data, [Edit("edit", 4 * i + 2, 4 * i + 4) for i in range(n)]) == b"ab" * n
+    # a pair of each four bytes meets the other, and one meets those of its own bytes only
+    wrapped = [Edit("edit", 4 * i, 4 * i + 2, "(ab)", seq=i) for i in range(n)] + [Edit("insert", 4 * i + 1, 4 * i + 1, ",", seq=n + i) for i in range(n)]
+    assert splice(data, wrapped) == b"(a,b)!!" * n
+    assert time.process_time() - began < 20  # 100 and more with each edit held against all
+
+
+def test_splice_where_edits_touch_repeat_or_leave_the_file():
+    data = b"0123456789"
+    assert splice(data, [Edit("edit", 2, 4, "b", seq=1), Edit("edit", 4, 6, "c", seq=2), Edit("insert", 4, 4, "|", seq=3), Edit("insert", 4, 4, "|", seq=4)]) == b"01b|c6789"
+    assert splice(data, [Edit("insert", 2, 5, "x", seq=1), Edit("insert", 4, 7, "y", seq=2)]) == b"01x789"
+    assert splice(data, [Edit("insert", 12, 12, "z"), Edit("remove", 8, 15)]) == b"01234567"
+
+
 FILES = {
     "m.py": "import os, sys\nfrom n import helper\n\n\ndef old(a, b=1):\n    'doc'\n    local = a\n    return helper(local, b)\n\n\ndef caller():\n    return old(1, b=2)\n",
     "n.py": "def helper(x, y):\n    return sys_like(x)\n\n\ndef sys_like(x):\n    return x\n",
@@ -95,6 +114,23 @@ def test_search_offsets_are_bytes(spark):
     assert after(h, R.search(h, r"!!(\w+)", "Boolean($1)"))["x.ts"] == "const é = Boolean(a);\nconst b = Boolean(c);\n"
 
 
+def test_search_of_many_matches(spark):
+    text = "é!!" * 30_000
+    docs = spark.createDataFrame([("a", text.encode()), ("b", b"plain"), ("c", b"!!"), ("c", b"x!!")], "path string, content binary")
+    began = time.time()
+    found = R.search(docs, "!!").where("path = 'a'").selectExpr("count(*) n", "sum(start_byte) s", "min(end_byte - start_byte) l", "max(end_byte) e").first()
+    assert tuple(found) == (30_000, sum(4 * i + 2 for i in range(30_000)), 2, 120_000)
+    assert sorted((r.start_byte, r.text) for r in R.search(docs, "!!").where("path = 'c'").collect()) == [(0, "!!"), (1, "!!")]
+    out = {r.path: bytes(r.content).decode() for r in E.apply(docs.where("path <> 'c'"), R.search(docs, "!!", "")).collect()}
+    assert out == {"a": "é" * 30_000, "b": "plain"}
+    assert time.time() - began < 60
+
+
+def test_search_of_empty_matches(spark):
+    docs = spark.createDataFrame([("a", b"abc"), ("b", b"xab")], "path string, content binary")
+    assert sorted((r.path, r.start_byte, r.end_byte) for r in R.search(docs, "x*").collect()) == [("a", 0, 0), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 0, 1), ("b", 1, 1), ("b", 2, 2), ("b", 3, 3)]
+
+
 def test_markup(spark):
     h = CodeGraph.from_files(spark, {"x.tsx": "export const V = () => <Box a='1'><Leaf /></Box>;\nconst w = 1;\n"})
     assert after(h, R.rename_tag(h, "Box", "Panel"))["x.tsx"].startswith("export const V = () => <Panel a='1'><Leaf /></Panel>;")
