@@ -136,7 +136,10 @@ def line_count(text: str) -> int:
 
 
 def parse(files: DataFrame, language: str, hash_contents: bool = False, roots: tuple[str, ...] = ()) -> DataFrame:
-    """One row per file with an array of each kind of record (schema.PARSED). No shuffle: files are independent.
+    """One row per file with an array of each kind of record (schema.PARSED). Files are independent of each other.
+
+    They are dealt out first, as sources made from a table may lie in one or two partitions; the number is given, since by
+    size Spark would join small ones again, and parsing takes far longer than a shuffle of the same bytes.
 
     Bytes that are no UTF-8 become replacement characters, and offsets are those of the decoded text. Contents are
     hashed with SHA-256 unless hash_contents asks for the slower FNV-1a. A file with a syntax error keeps its row.
@@ -169,7 +172,9 @@ def parse(files: DataFrame, language: str, hash_contents: bool = False, roots: t
             yield pa.RecordBatch.from_struct_array(pa.array(rows, types))
 
     wanted = filtered(files, EXTENSIONS[language]).select("path", F.col("content").cast("binary").alias("content"))
-    return wanted.mapInArrow(run, schema=schema.PARSED)
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return wanted.repartition(n, "path").mapInArrow(run, schema=schema.PARSED)
 
 
 def module_of(path: str, roots: tuple[str, ...] = ()) -> str | None:

@@ -113,3 +113,17 @@ def test_long_constants_are_told_apart(spark):
     long = "x" * 100
     tokens = CodeGraph.from_files(spark, {"a.ts": f"function f() {{ return '{long}1' + '{long}2' + '{long}1' }}\n"}, language="typescript").tokens.where("group = 'operand' and token like 'sha256:%'").collect()
     assert len(tokens) == 3 and len({t.token for t in tokens}) == 2
+
+
+@pytest.mark.parametrize(("language", "path", "text"), [("typescript", "src/m%d.ts", "export class F%d {}"), ("python", "pkg/m%d.py", "def f%d(): pass")])
+def test_sources_of_one_partition_are_parsed_by_many_tasks(spark, language, path, text):
+    from pyspark.sql import functions as F
+
+    from graphloom.sources import repo
+
+    sources = spark.range(400).coalesce(1).select(F.format_string(path, "id").alias("path"), F.encode(F.format_string(text, "id"), "UTF-8").alias("content"))
+    assert sources.rdd.getNumPartitions() == 1
+    parsed = repo.parse(sources, language).select("path", F.size("symbols").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.path for r in parsed) == sorted(path % i for i in range(400)) and {r.n for r in parsed} == {1}
+    share = [sum(r.task == k for r in parsed) for k in {r.task for r in parsed}]
+    assert len(share) >= 4 and max(share) < 200
